@@ -32,22 +32,54 @@ _loaded: dict[str, Bpe] = {}
 _near_space = re.compile(r" \s|\s ")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in the vocabulary: printable ones for themselves,
+    the others in order from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class Bpe:
     """Byte-level BPE ids of whole texts, a distinct chunk at a time.
 
     Where no space stands beside other white space, each space starts a new pre-token, so the
-    chunks between spaces are encoded apart. Other texts go to the library whole.
+    chunks between spaces are encoded apart. Other texts go to the library whole. A chunk of
+    letters, with or without marks behind, has one or two pre-tokens, which go to the library's
+    BPE model straight; all other chunks pass its whole chain.
     """
 
+    MARKS = ".,;:!?%$#*&@|()"
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(vocabulary)
         self.lib.encode_special_tokens = True
-        self.table = ChunkTable(self._encode)
+        self.letters = _byte_letters()
+        self.table = ChunkTable(self._encode, limit=200_000)
+
+    def _model(self, pre_token: str) -> bytes:
+        if not pre_token:
+            return b""
+        letters = pre_token.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.lib.model.tokenize(letters)])
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [packed(x.ids) for x in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
+        out: list[bytes] = []
+        others = []
+        for i, c in enumerate(chunks):
+            core = c.rstrip(self.MARKS)
+            if core.removeprefix(" ").isalpha():
+                out.append(self._model(core) + self._model(c[len(core) :]))
+            else:
+                out.append(b"")
+                others.append(i)
+        for start in range(0, len(others), 500):
+            part = others[start : start + 500]
+            for i, x in zip(part, self.lib.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = packed(x.ids)
+        return out
 
     def code(self, texts: list[str], end: bytes) -> list[bytes]:
         documents = []
@@ -77,7 +109,7 @@ def tokenize(df: DataFrame, keep: list[str], text: str = "text", end_id: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, end, row = bpe(vocabulary), packed([end_id]), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, 4 << 20):
                 ids = b.code(texts_of(part, text), end)
                 rows = pa.array(np.arange(row, row + len(ids), dtype=np.int64))
                 row += len(ids)
