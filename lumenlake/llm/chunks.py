@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from array import array
+from collections.abc import Callable, Hashable, Iterable
 
 
 class ChunkTable:
     """Encodes each distinct chunk once and keeps its ids as little-endian 32-bit bytes.
 
-    ``encode`` gets the list of chunks that are not known yet. The table is emptied when it
-    holds ``limit`` chunks, so its memory is bounded whatever the corpus; chunks longer than
-    ``longest`` are encoded each time and never kept.
+    ``encode`` gets the list of chunks that are not known yet. There are two generations: once the
+    young one holds ``limit`` chunks it becomes the old one, and what is used again moves on. So
+    frequent chunks stay and memory is bounded whatever the corpus. Chunks longer than ``longest``
+    are encoded each time and never kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 200):
+    def __init__(self, encode: Callable[[list], list[bytes]], limit: int = 250_000, longest: int = 200):
         self.encode, self.limit, self.longest = encode, limit, longest
-        self.known: dict[str, bytes] = {}
+        self.young: dict[Hashable, bytes] = {}
+        self.old: dict[Hashable, bytes] = {}
 
-    def ids(self, documents: list[list[str]]) -> list[bytes]:
+    def ids(self, documents: list[list]) -> list[bytes]:
         """For each document, given as its chunks in order, the joined ids."""
-        distinct: set[str] = set()
+        distinct: set = set()
         for chunks in documents:
             distinct.update(chunks)
-        if len(self.known) + len(distinct) > self.limit:
-            self.known.clear()
-        new = list(distinct.difference(self.known))
-        added = dict(zip(new, self.encode(new), strict=True)) if new else {}
-        known = self.known
-        known.update(added)
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        known, old = self.young, self.old
+        distinct.difference_update(known)
+        new = []
+        for c in distinct:
+            if (ids := old.get(c)) is None:
+                new.append(c)
+            else:
+                known[c] = ids
+        if new:
+            known.update(zip(new, self.encode(new), strict=True))
         out = [b"".join([known[c] for c in chunks]) for chunks in documents]
         for c in new:
             if len(c) > self.longest:
@@ -36,4 +45,4 @@ class ChunkTable:
 
 
 def packed(ids: Iterable[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return array("I", ids).tobytes()

@@ -15,7 +15,6 @@ key stays null; an empty table gives no piece.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +28,6 @@ from lumenlake.llm.chunks import ChunkTable, packed
 from lumenlake.llm.common import arrow_batch, stored, text_slices, texts_of, with_fields
 
 _loaded: dict[str, Bpe] = {}
-_near_space = re.compile(r" \s|\s ")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -44,9 +42,12 @@ class Bpe:
     """Byte-level BPE ids of whole texts, a distinct chunk at a time.
 
     Where no space stands beside other white space, each space starts a new pre-token, so the
-    chunks between spaces are encoded apart. Other texts go to the library whole. A chunk of
-    letters, with or without marks behind, has one or two pre-tokens, which go to the library's
-    BPE model straight; all other chunks pass its whole chain.
+    chunks between spaces are encoded apart. A text with a space beside other white space goes to
+    the library whole. A chunk of letters, with or without marks behind, has one or two
+    pre-tokens, which go to the library's BPE model straight; other chunks pass its whole chain.
+
+    In the table a string stands for the chunk with a space before it; the first chunk of a text,
+    and a last one that ends in white space, are marked by tuples.
     """
 
     MARKS = ".,;:!?%$#*&@|()"
@@ -57,39 +58,66 @@ class Bpe:
         self.lib = Tokenizer.from_file(vocabulary)
         self.lib.encode_special_tokens = True
         self.letters = _byte_letters()
-        self.table = ChunkTable(self._encode, limit=200_000)
-
-    def _model(self, pre_token: str) -> bytes:
-        if not pre_token:
-            return b""
-        letters = pre_token.encode().decode("latin-1").translate(self.letters)
-        return packed([t.id for t in self.lib.model.tokenize(letters)])
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+        self.space = chr(self.letters[32])
+        self.loose: set[str] = set()  # chunks with white space at an end
+        self.table = ChunkTable(self._encode)
+
+    def _model(self, pre_token: str, spaced: bool) -> list[int]:
+        letters = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.lib.model.tokenize(self.space + letters if spaced else letters)]
+
+    def _encode(self, chunks: list) -> list[bytes]:
+        if len(self.loose) > self.table.limit:
+            self.loose.clear()
+            self.table.young.clear()
+            self.table.old.clear()
         out: list[bytes] = []
         others = []
         for i, c in enumerate(chunks):
-            core = c.rstrip(self.MARKS)
-            if core.removeprefix(" ").isalpha():
-                out.append(self._model(core) + self._model(c[len(core) :]))
+            if isinstance(c, str):
+                core = c.rstrip(self.MARKS)
+                if core.isalpha():
+                    ids = self._model(core, True)
+                    if len(core) < len(c):
+                        ids += self._model(c[len(core) :], False)
+                    out.append(packed(ids))
+                    continue
+                if not c or c[0].isspace() or c[-1].isspace():
+                    self.loose.add(c)
+                    out.append(b"")
+                    continue
+                c = " " + c
             else:
-                out.append(b"")
-                others.append(i)
+                c = c[0] if len(c) == 1 else " " + c[1]
+            out.append(b"")
+            others.append((i, c))
         for start in range(0, len(others), 500):
             part = others[start : start + 500]
-            for i, x in zip(part, self.lib.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
+            for (i, _), x in zip(part, self.lib.encode_batch_fast([c for _, c in part], add_special_tokens=False), strict=True):
                 out[i] = packed(x.ids)
         return out
 
+    @staticmethod
+    def chunks(text: str) -> list:
+        words: list = text.split(" ")
+        words[0] = (words[0],)
+        if len(words) > 1 and (not words[-1] or words[-1][-1].isspace() and not words[-1][0].isspace()):
+            words[-1] = ("last", words[-1])
+        return words
+
     def code(self, texts: list[str], end: bytes) -> list[bytes]:
-        documents = []
-        for t in texts:
-            if _near_space.search(t):
-                documents.append([t])
-            else:
-                first, *rest = t.split(" ")
-                documents.append([first, *[" " + x for x in rest]] if t else [])
-        return [x + end for x in self.table.ids(documents)]
+        documents = [self.chunks(t) for t in texts]
+        out = self.table.ids(documents)
+        for i, chunks in enumerate(documents):
+            first = chunks[0][0]
+            if first and first[-1].isspace() and len(chunks) > 1 or len(chunks) > 1 and chunks[-1] == ("last", "") and _ends_loose(texts[i]) or self.loose and not self.loose.isdisjoint(chunks):
+                out[i] = packed(self.lib.encode(texts[i], add_special_tokens=False).ids)
+        return [x + end for x in out]
+
+
+def _ends_loose(text: str) -> bool:
+    """Whether white space stands before the space that ends the text."""
+    return text[-2:-1].isspace()
 
 
 def bpe(vocabulary: str | None = None) -> Bpe:
