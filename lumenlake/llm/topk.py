@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import stored
 
+#: Share of |q|^2 + M^2 that rounding may take from a bound: a distance from cancelled squares has an
+#: error of up to the square root of double precision.
 MARGIN = 1e-6
 
 
@@ -143,7 +145,7 @@ def top_k(vectors: DataFrame, key: str, embedding: str, is_query: str, k: int =
                     for number, pivot, low, high, parts in cells[int(dim)]:
                         gap = np.maximum(0, np.maximum(d[:, pivot] - high, low - d[:, pivot]))
                         best = (norm + index.largest - gap**2) / 2
-                        ask = np.flatnonzero(best + MARGIN * (1 + np.abs(best)) >= floor)
+                        ask = np.flatnonzero(best + MARGIN * (norm + index.largest) >= floor)
                         if len(ask):
                             payload = part.take(pa.array(ask))
                             for p in range(parts):
@@ -193,7 +195,7 @@ def _expand(v, dist, rows, ids, q, row, dq, floor, largest, k, step) -> list[tup
         down = dq - dist[low - 1] if low > 0 else np.inf
         up = dist[high] - dq if high < len(dist) else np.inf
         bound = (reach - max(0.0, min(down, up)) ** 2) / 2
-        if bound + MARGIN * (1 + abs(bound)) < floor:
+        if bound + MARGIN * reach < floor:
             break
         if down <= up:
             a, b = max(0, low - step), low

@@ -55,7 +55,7 @@ class Model:
     weights: np.ndarray
     intercept: float
 
-    def scorer(self, limit: int = 400_000):
+    def scorer(self, limit: int = 200_000):
         """A function from text to score with a bounded table of word scores."""
         weights, known = self.weights, {}
 
