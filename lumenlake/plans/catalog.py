@@ -105,7 +105,7 @@ def j1(spark, d):
     return intervals.merge_intervals(v.intervals(spark, d)).withColumns(r6("start_sec", "end_sec"))
 
 
-@query("j2_overlap_duration", f"""WITH {WINDOWS_SQL}, {MERGED_SQL} SELECT w.session_id, window_index, round(least(coalesce(sum(least(end_sec, m_end) - greatest(start_sec, m_start)), 0), any_value(end_sec - start_sec)), 4) AS covered
+@query("j2_overlap_duration", f"""WITH {WINDOWS_SQL}, {MERGED_SQL} SELECT w.session_id, window_index, round(least(coalesce(sum(least(end_sec, m_end) - greatest(start_sec, m_start)) FILTER (WHERE m_end IS NOT NULL), 0), any_value(end_sec - start_sec)), 4) AS covered
   FROM windows w LEFT JOIN merged m ON w.session_id = m.session_id AND start_sec < m_end AND m_start < end_sec GROUP BY 1, 2""", "signals", "sessions", "intervals")
 def j2(spark, d):
     w = windows(spark, d)
