@@ -40,10 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the stored tables but the last ``keep``; call it once nothing reads them any more."""
-    gone = _written[: len(_written) - keep]
-    del _written[: len(gone)]
+def written() -> int:
+    """How many tables are stored so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables stored after the first ``since``, but the last ``keep``.
+
+    Call it once nothing reads them any more.
+    """
+    gone = _written[since : len(_written) - keep]
+    del _written[since : since + len(gone)]
     for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
