@@ -137,7 +137,7 @@ def tokenize(df: DataFrame, keep: list[str], text: str = "text", end_id: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, end, row = bpe(vocabulary), packed([end_id]), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in text_slices(batch, text, 4 << 20):
+            for part in text_slices(batch, text, 1 << 20):
                 ids = b.code(texts_of(part, text), end)
                 rows = pa.array(np.arange(row, row + len(ids), dtype=np.int64))
                 row += len(ids)
