@@ -466,3 +466,6 @@ def l1_violations(spark, d):
 def l4(spark, d):
     e = v.table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", (F.floor("value") + 1).alias("cost"))
     return records.within_budget(e, "run_id", "event_id", "cost", 2400).select("run_id", "event_id", F.col("used").cast("long").alias("used"), F.col("remaining").cast("long").alias("remaining"), "fits")
+
+
+from lumenlake.plans import more  # noqa: E402, F401  (its queries use those above)
