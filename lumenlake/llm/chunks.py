@@ -15,7 +15,7 @@ class ChunkTable:
     are encoded each time and never kept.
     """
 
-    def __init__(self, encode: Callable[[list], list[bytes]], limit: int = 150_000, longest: int = 200):
+    def __init__(self, encode: Callable[[list], list[bytes]], limit: int = 50_000, longest: int = 200):
         self.encode, self.limit, self.longest = encode, limit, longest
         self.young: dict[Hashable, bytes] = {}
         self.old: dict[Hashable, bytes] = {}

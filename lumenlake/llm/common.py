@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,6 +71,36 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Ite
         yield batch.slice(start)
 
 
+#: Rows of texts that one Arrow batch may hold. Spark's own 10,000 make batches of any size.
+BATCH_ROWS = 500
+
+
+def map_texts(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for rows that carry texts.
+
+    Batches have at most ``BATCH_ROWS`` rows: the session's limit is lowered to that, since a batch
+    is held whole by the executor and by its worker. After a task the worker, which stays for
+    later stages, gives back what it freed.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def give_back() -> None:
+    """Returns free memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import arrow_batch, stored, text_slices, with_fields
+from lumenlake.llm.common import arrow_batch, map_texts, stored, text_slices, with_fields
 
 
 def normalised(text: str | None) -> bytes:
@@ -134,7 +134,7 @@ def suspect_filter(docs: DataFrame, text: str = "text", owner_bits: int | None =
                 h = b"".join([hashlib.sha256(normalised(x)).digest()[:8] for x in some.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, part, dtype=np.int64)), pa.array(np.frombuffer(h, ">i8").astype(np.int64))], names=["part", "h"])
 
-    prints = stored(docs.select(text).mapInArrow(hashes, "part long, h long"), "exact-prints")
+    prints = stored(map_texts(docs.select(text), hashes, "part long, h long"), "exact-prints")
     if owner_bits is None:
         owner_bits = max(3, min(16, (prints.count() >> 16).bit_length()))
     sent = prints.groupBy("part").applyInArrow(_send(owner_bits), "owner long, part long, data binary, twice binary")
@@ -175,8 +175,8 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
 
     names = list(dict.fromkeys([*carry, key]))
     rows = docs.select(*columns)
-    alone = rows.mapInArrow(scan(False), with_fields(docs, names, _sha="string"))
-    suspects = stored(rows.mapInArrow(scan(True), with_fields(docs, names, _sha="string", _row="long", _norm="binary")), "exact-suspects")
+    alone = map_texts(rows, scan(False), with_fields(docs, names, _sha="string"))
+    suspects = stored(map_texts(rows, scan(True), with_fields(docs, names, _sha="string", _row="long", _norm="binary")), "exact-suspects")
     groups = suspects.groupBy("_sha", "_norm").agg(F.count("*").alias("_size"), F.max(F.struct(F.col(key).alias("k"), F.col("_row").alias("r"))).alias("_best"))
     together = suspects.join(stored(groups, "exact-groups"), ["_sha", "_norm"])
     out = lambda df, keep, n, kept: df.select(*carry, F.col("_sha").alias("text_sha256"), keep.alias("keep_id"), n.alias("group_size"), kept.alias("kept"))

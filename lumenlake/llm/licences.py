@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import arrow_batch, text_slices, with_fields
+from lumenlake.llm.common import arrow_batch, map_texts, text_slices, with_fields
 
 #: Public notices of licence families, fixed values.
 TEMPLATES = {
@@ -205,7 +205,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", least: float = 0.
                 found = [sent.value.findings(x or "", least, overlap) for x in part.column(text).to_pylist()]
                 yield arrow_batch(part, keep, findings=pa.array(found, t))
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return map_texts(docs.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
 def op5_licences(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm.chunks import ChunkTable, packed
-from lumenlake.llm.common import arrow_batch, stored, text_slices, texts_of, with_fields
+from lumenlake.llm.common import arrow_batch, map_texts, stored, text_slices, texts_of, with_fields
 
 _loaded: dict[str, Bpe] = {}
 
@@ -143,7 +143,7 @@ def tokenize(df: DataFrame, keep: list[str], text: str = "text", end_id: int = 2
                 row += len(ids)
                 yield arrow_batch(part, keep, row=rows, ids=pa.array(ids, pa.binary()))
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, with_fields(df, keep, row="long", ids="binary"))
+    return map_texts(df.select(*dict.fromkeys([*keep, text])), run, with_fields(df, keep, row="long", ids="binary"))
 
 
 def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:

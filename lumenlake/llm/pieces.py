@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.chunks import ChunkTable, packed
-from lumenlake.llm.common import arrow_batch, text_slices, texts_of, with_fields
+from lumenlake.llm.common import arrow_batch, map_texts, text_slices, texts_of, with_fields
 
 MARKER = "▁"
 _spaced = re.compile(r" ( *[^ ]+| *\Z)")
@@ -105,7 +105,7 @@ def encode_decode(df: DataFrame, keep: list[str], text: str = "text", model: str
                 ids, decoded = c.code(texts_of(part, text))
                 yield arrow_batch(part, keep, ids=pa.array(ids, pa.binary()), decoded=pa.array(decoded, pa.string()))
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, with_fields(df, keep, ids="binary", decoded="string"))
+    return map_texts(df.select(*dict.fromkeys([*keep, text])), run, with_fields(df, keep, ids="binary", decoded="string"))
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

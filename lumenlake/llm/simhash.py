@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import arrow_batch, stored, text_slices, with_fields
+from lumenlake.llm.common import arrow_batch, map_texts, stored, text_slices, with_fields
 from lumenlake.llm.components import components
 
 
@@ -56,7 +56,7 @@ def fingerprints(df: DataFrame, keep: list[str], text: str = "text", words: int
                 fps = np.array([fingerprint(x or "", words) for x in part.column(text).to_pylist()], dtype=np.uint64)
                 yield arrow_batch(part, keep, fp=pa.array(fps.view(np.int64)))
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, with_fields(df, keep, fp="long"))
+    return map_texts(df.select(*dict.fromkeys([*keep, text])), run, with_fields(df, keep, fp="long"))
 
 
 class BkTree:

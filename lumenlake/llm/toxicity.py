@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import arrow_batch, text_slices, with_fields
+from lumenlake.llm.common import arrow_batch, map_texts, text_slices, with_fields
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
@@ -151,7 +151,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -
             for part in text_slices(batch, text):
                 yield arrow_batch(part, keep, score=pa.array([score(x) for x in part.column(text).to_pylist()], pa.float64()))
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, with_fields(docs, keep, score="double"))
+    return map_texts(docs.select(*dict.fromkeys([*keep, text])), run, with_fields(docs, keep, score="double"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
