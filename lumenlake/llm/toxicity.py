@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import arrow_batch, map_texts, text_slices, with_fields
+from lumenlake.llm.common import arrow_batch, give_back, map_texts, text_slices, with_fields
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
@@ -138,7 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     picked = own.filter("toxic = 1").orderBy(*order).limit(per_class).union(own.filter("toxic = 0").orderBy(*order).limit(per_class))
     rows = docs.select(key, text).join(F.broadcast(picked), key).filter(F.length(text) <= longest).collect()
     rows.sort(key=lambda r: (r[key], r[text]))
-    return fit([r[text] for r in rows], [int(r["toxic"]) for r in rows], n_toxic / n if n else None)
+    texts, toxic = [r[text] for r in rows], [int(r["toxic"]) for r in rows]
+    del rows
+    model = fit(texts, toxic, n_toxic / n if n else None)
+    del texts
+    give_back()  # the driver goes on for long after this
+    return model
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
