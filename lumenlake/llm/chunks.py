@@ -13,10 +13,15 @@ class ChunkTable:
     young one holds ``limit`` chunks it becomes the old one, and what is used again moves on. So
     frequent chunks stay and memory is bounded whatever the corpus. Chunks longer than ``longest``
     are encoded each time and never kept.
+
+    ``marks`` is a set or dict in which ``encode`` notes some chunks. Once it holds over ``limit`` it
+    is cleared with both generations, before a call reads either, so that each chunk that is met
+    again is encoded and noted again.
     """
 
-    def __init__(self, encode: Callable[[list], list[bytes]], limit: int = 50_000, longest: int = 200):
+    def __init__(self, encode: Callable[[list], list[bytes]], limit: int = 50_000, longest: int = 200, marks: set | dict | None = None):
         self.encode, self.limit, self.longest = encode, limit, longest
+        self.marks = set() if marks is None else marks
         self.young: dict[Hashable, bytes] = {}
         self.old: dict[Hashable, bytes] = {}
 
@@ -25,6 +30,9 @@ class ChunkTable:
         distinct: set = set()
         for chunks in documents:
             distinct.update(chunks)
+        if len(self.marks) > self.limit:
+            self.marks.clear()
+            self.young, self.old = {}, {}
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         known, old = self.young, self.old

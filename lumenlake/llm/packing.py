@@ -60,17 +60,13 @@ class Bpe:
         self.letters = _byte_letters()
         self.space = chr(self.letters[32])
         self.loose: set[str] = set()  # chunks with white space at an end
-        self.table = ChunkTable(self._encode)
+        self.table = ChunkTable(self._encode, marks=self.loose)
 
     def _model(self, pre_token: str, spaced: bool) -> list[int]:
         letters = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.lib.model.tokenize(self.space + letters if spaced else letters)]
 
     def _encode(self, chunks: list) -> list[bytes]:
-        if len(self.loose) > self.table.limit:
-            self.loose.clear()
-            self.table.young.clear()
-            self.table.old.clear()
         out: list[bytes] = []
         others = []
         for i, c in enumerate(chunks):

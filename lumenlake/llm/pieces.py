@@ -41,13 +41,9 @@ class Coder:
         self.begin, self.end = packed([self.lib.bos_id()]), packed([self.lib.eos_id()])
         self.guard = self.lib.encode("a")
         self.odd: dict[str, str] = {}  # chunks that are not decoded to themselves
-        self.table = ChunkTable(self._encode)
+        self.table = ChunkTable(self._encode, marks=self.odd)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        if len(self.odd) > self.table.limit:
-            self.odd.clear()
-            self.table.young.clear()
-            self.table.old.clear()
         return [x for i in range(0, len(chunks), 20_000) for x in self._encode_some(chunks[i : i + 20_000])]
 
     def _encode_some(self, chunks: list[str]) -> list[bytes]:

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import public_tokenizers
 import pytest
 
 from lumenlake.llm import packing, pieces
@@ -38,6 +39,38 @@ def test_bpe_equals_the_library():
         assert b.code(own, b"") == [packed(b.lib.encode(t, add_special_tokens=False).ids) for t in own]
 
 
+def indented():
+    return [f"def f{i}:\n  if x{i}:\n    a{i % 7} \t▁b{i} = the\n the\x02{i} end" for i in range(60)] + HARD
+
+
+class Lossy:
+    """The library, but x is decoded to ?: the public vocabulary decodes every chunk to itself."""
+
+    def __init__(self, lib):
+        self.encode, self.piece_to_id, self.inner = lib.encode, lib.piece_to_id, lib
+
+    def decode(self, ids, **options):
+        out = self.inner.decode(ids, **options)
+        return out.replace("x", "?") if isinstance(out, str) else [t.replace("x", "?") for t in out]
+
+
+def test_pieces_past_the_limit_of_marks():
+    own, c = indented(), pieces.Coder(public_tokenizers.path("piece_bpe_32k.model"))
+    whole, c.lib = c.lib, Lossy(c.lib)
+    c.table.limit = 3
+    for i in [*range(0, len(own), 2), *range(len(own) - 2)]:
+        ids, decoded = c.code(own[i : i + 2])
+        assert ids == [packed(whole.encode(t, add_bos=True, add_eos=True)) for t in own[i : i + 2]]
+        assert decoded == [c.lib.decode(whole.encode(t, add_bos=True, add_eos=True)) for t in own[i : i + 2]]
+
+
+def test_bpe_past_the_limit_of_marks():
+    own, b = indented(), packing.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    b.table.limit = 3
+    for i in [*range(0, len(own), 2), *range(len(own) - 2)]:
+        assert b.code(own[i : i + 2], b"") == [packed(b.lib.encode(t, add_special_tokens=False).ids) for t in own[i : i + 2]]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_best_two_fit(seed):
     r = random.Random(seed)
