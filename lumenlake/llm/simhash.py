@@ -30,20 +30,27 @@ from lumenlake.llm.common import arrow_batch, map_texts, stored, text_slices, wi
 from lumenlake.llm.components import components
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """Bits that over half of the shingles' hashes have."""
+def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, in arrays of at most 65,536; none for a text without words."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     if len(tokens) < words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = list(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
-    n, digest, counts = len(shingles), xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 16):
-        hashes = np.fromiter([digest(s, seed) for s in shingles[i : i + (1 << 16)]], dtype="<u8")
+    digest = xxhash.xxh64_intdigest
+    for i in range(0, len(shingles), 1 << 16):
+        yield np.fromiter([digest(s, seed) for s in shingles[i : i + (1 << 16)]], dtype="<u8")
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """Bits that over half of the shingles' hashes have."""
+    n, counts = 0, np.zeros(64, dtype=np.int64)
+    for hashes in shingle_hashes(text, words, seed):
         bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 

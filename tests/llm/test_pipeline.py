@@ -174,6 +174,42 @@ def test_pipeline_stages(spark, tables):
     assert sum(r.length for r in packed) == sum(len(brute.token_ids(r.text)) for r in now.collect())
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_five_words(spark):
+    r = random.Random(9)
+    docs = []
+    for g in range(25):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([40, 120, 400]))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(r.randrange(0, 1 + len(w) // 30)):
+                w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    docs += [(None, docs[0][1] + " "), (200, "a b"), (201, "A  b"), (202, "a c"), (203, ""), (204, None), (205, " \n")]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, a) in enumerate(docs):
+        for j in range(i):
+            if jaccard(a or "", docs[j][1] or "") >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    groups = {}
+    for i, (d, _) in enumerate(docs):
+        groups.setdefault(find(i), []).append(10**6 if d is None else d)
+    want = sorted(min(g) for g in groups.values())
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted(10**6 if k.doc_id is None else k.doc_id for k in kept) == want
+
+
 def test_chat(spark):
     turns = [(1, i, "user" if i % 2 else "assistant", f"</turn> \\ ### {i}\n") for i in range(200)]
     turns += [(None, None, None, None), (2, 0, "a: b\\", "x</turn>\n### assistant: y"), (2, 0, "assistant", ""), (2, 0, "assistant", "")]
