@@ -12,12 +12,13 @@ what these find, leftmost and without overlaps,
 
 and matches that fail the condition are dropped.
 
-Terms: a protected entity is a distinct value of a base span. Its contexts are the
-``context`` characters on each side. A word of at least four letters in the contexts of an entity
-discloses it by the pointwise mutual information of both over documents, as a share of what
-naming the entity itself would disclose: log(p(e|t) / p(e)) / -log p(e). A word whose share
-reaches ``disclosure`` and that has ``support`` different contexts with the entity, so that copies
-of one text prove nothing, is a span of kind ``term`` there. Word counts cover all documents.
+Terms: a protected entity is a distinct value of a base span, whatever its case or separators. A
+word of at least four letters outside base spans discloses it by the pointwise mutual information
+of both over the corpus's distinct texts, as a share of what naming the entity itself would
+disclose: log(p(e|t) / p(e)) / -log p(e). p(e|t) is the lower bound of its one-sided 95 % Wilson
+interval, so that few texts prove less than many, and copies of one text count once. A word whose
+share reaches ``disclosure`` for any entity is a span of kind ``term`` wherever it stands, in every
+text.
 
 Edge cases: null counts as empty; a row is judged by itself, so repeated rows have equal results;
 an empty table gives an empty result; positions are code points, ends exclusive.
@@ -47,12 +48,12 @@ def _quoted(pattern: str) -> str:
 
 
 def _found(df: DataFrame, text: str, pattern: str, ord_: int, sign: str, out: str) -> DataFrame:
-    """Adds the located matches of a pattern as ``out``."""
+    """Adds the located matches of ``pattern``, an SQL expression, as ``out``."""
     m, g = f"_{out}_m", f"_{out}_g"
     df = df.withColumns(
         {
-            m: F.expr(f"case when {sign.format(t=text)} then regexp_extract_all({text}, {_quoted(pattern)}, 0) end"),
-            g: F.expr(f"case when {sign.format(t=text)} then split({text}, {_quoted(pattern)}, -1) end"),
+            m: F.expr(f"case when {sign.format(t=text)} then regexp_extract_all({text}, {pattern}, 0) end"),
+            g: F.expr(f"case when {sign.format(t=text)} then split({text}, {pattern}, -1) end"),
         }
     )
     located = f"""case when coalesce(size({m}), 0) <= 0 then cast(array() as {SPAN}) else aggregate(
@@ -87,63 +88,59 @@ def base_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
     """Adds the base spans, sorted by start, then kind. ``text`` must not be null."""
     parts = []
     for i, kind in enumerate(PATTERNS):
-        df = _found(df, text, PATTERNS[kind], i, SIGNS[kind], f"_{kind}")
+        df = _found(df, text, _quoted(PATTERNS[kind]), i, SIGNS[kind], f"_{kind}")
         parts.append(f"filter(_{kind}, x -> {CHECKS[kind]})")
     df = df.withColumn(out, F.expr(f"array_sort(concat({', '.join(parts)}))"))
     return df.drop(*[f"_{k}" for k in PATTERNS])
 
 
-def disclosing_terms(spotted: DataFrame, texts: DataFrame, text: str, context: int = 60, support: int = 3, disclosure: float = 0.8) -> DataFrame:
-    """(``_row``, ``terms``: spans) for rows of ``spotted`` that have some.
+def _lowered(text: str, spans: str) -> str:
+    """``text`` in lower case with blanks for base spans; positions stay. Only U+0130 would grow."""
+    blank = f"""case when size({spans}) = 0 then {text} else aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)),
+        (a, x) -> case when x.end <= a.at then a
+            else named_struct('at', x.end, 'out', concat(a.out, array(substring({text}, a.at + 1, x.start - a.at), repeat(' ', x.end - greatest(x.start, a.at))))) end,
+        a -> concat(array_join(a.out, ''), substring({text}, a.at + 1))) end"""
+    return f"lower(translate({blank}, '\u0130', 'i'))"
 
-    ``spotted`` is a stored table of ``_row``, ``_text`` and ``spans``; ``texts`` has all texts.
-    """
-    ctx = spotted.select("_row", "_text", F.explode("spans").alias("s")).select(
-        "_row",
-        F.col("s.value").alias("entity"),
-        F.expr(f"greatest(s.start - {context}, 0)").alias("from"),
-        F.expr(f"substring(_text, greatest(s.start - {context}, 0) + 1, s.start - greatest(s.start - {context}, 0))").alias("left"),
-        F.col("s.end").alias("till"),
-        F.expr(f"substring(_text, s.end + 1, {context})").alias("right"),
-    )
-    sides = ctx.select("_row", "entity", F.explode(F.expr("array(named_struct('at', `from`, 'part', left), named_struct('at', till, 'part', right))")).alias("p")).select(
-        "_row", "entity", F.col("p.at").alias("at"), F.lower("p.part").alias("part")
-    )
-    words = _found(sides, "part", r"\p{L}{4,}", len(KINDS) - 1, "true", "words")
-    words = stored(words.select("_row", "entity", "at", "part", "words"), "pii-contexts")
-    seen = words.groupBy("entity", "part").agg(F.countDistinct("_row").alias("docs"), F.first("words").alias("words"))
-    pairs = seen.select("entity", "docs", F.explode(F.expr("array_distinct(transform(words, w -> w.value))")).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("docs").alias("together"), F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
-    pairs = stored(pairs, "pii-pairs")
-    if pairs.isEmpty():
-        return words.limit(0).select("_row", F.col("words").alias("terms"))
-    total = texts.count()
-    in_docs = texts.select(F.explode(F.expr(f"array_distinct(split(lower({text}), '[^\\\\p{{L}}]+'))")).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    entity_docs = words.groupBy("entity").agg(F.countDistinct("_row").alias("entity_docs"))
-    known = pairs.join(in_docs, "term").join(entity_docs, "entity")
+
+#: One value for each entity: its kind, and its digits or lower case.
+ENTITY = f"concat(s.ord, ':', case when s.ord in (2, 3) then {_digits('s.value')} else lower(s.value) end)"
+#: The lower bound of p(entity | term), one-sided, 95 %.
+WILSON = "(k / n + {zz} / (2 * n) - {z} * sqrt((k / n) * (1 - k / n) / n + {zz} / (4 * n * n))) / (1 + {zz} / n)".format(z=1.6449, zz=1.6449**2)
+
+
+def disclosing_terms(rows: DataFrame, disclosure: float = 0.8) -> DataFrame:
+    """The ``term``s that disclose an entity of ``rows``, a stored table of ``_row``, ``_low`` (by
+    ``_lowered``) and ``spans``."""
+    texts = rows.select("spans", F.xxhash64("_low").alias("copy"), F.expr("filter(array_distinct(split(_low, '[^\\\\p{L}]+')), w -> length(w) >= 4)").alias("words"))
+    entities = texts.filter("size(spans) > 0").select("copy", "words", F.explode("spans").alias("s")).select("copy", "words", F.expr(ENTITY).alias("entity"))
+    entities = stored(entities.dropDuplicates(["copy", "entity"]), "pii-entities")
+    total = texts.agg(F.countDistinct("copy")).first()[0]
+    entity_docs = entities.groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    pairs = entities.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("k"))
+    in_docs = texts.select("copy", F.explode("words").alias("term")).groupBy("term").agg(F.countDistinct("copy").alias("n"))
     e = F.col("entity_docs") / F.lit(float(max(total, 1)))
-    given = F.least(F.col("together") / F.col("term_docs"), F.lit(1.0))
-    share = F.when(e >= 1, F.lit(0.0)).otherwise(F.log(given / e) / -F.log(e))
-    told = stored(known.filter(share >= disclosure).select("entity", "term"), "pii-terms")
-    spans = words.select("_row", "entity", "at", F.explode("words").alias("w"))
-    spans = spans.join(told, (spans["entity"] == told["entity"]) & (F.col("w.value") == told["term"]), "left_semi")
-    one = F.expr("named_struct('start', at + w.start, 'ord', w.ord, 'end', at + w.end, 'value', w.value)")
-    return spans.groupBy("_row").agg(F.array_sort(F.collect_set(one)).alias("terms"))
+    share = F.when(e >= 1, F.lit(0.0)).otherwise(F.log(F.expr(WILSON) / e) / -F.log(e))
+    known = pairs.join(in_docs, "term").join(entity_docs, "entity")
+    return stored(known.filter(share >= disclosure).select("term").distinct(), "pii-terms")
 
 
 def find(docs: DataFrame, carry: list[str], text: str = "text", **settings) -> DataFrame:
-    """``carry``, ``base`` (base spans), ``spans`` (with terms) and ``_text`` where spans exist."""
-    rows = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = base_spans(rows, "_text").select(
-        *carry, "spans", F.expr("case when size(spans) > 0 then _text end").alias("_text"), F.monotonically_increasing_id().alias("_row")
-    )
-    rows = stored(rows, "pii-rows")
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    terms = stored(disclosing_terms(rows.filter("size(spans) > 0").select("_row", "_text", "spans"), texts, "_text", **settings), "pii-spans")
-    return rows.join(terms, "_row", "left").select(
+    """``carry``, ``base`` (base spans), ``spans`` (with terms) and ``_text``."""
+    rows = docs.select(*dict.fromkeys([*carry, text]), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = stored(base_spans(rows, "_text").drop("_text").withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
+    rows = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    low = rows.select("_row", "spans", F.expr(_lowered("_text", "spans")).alias("_low"))
+    told = disclosing_terms(low, **settings)
+    held = low.select("_row", F.explode(F.expr("array_distinct(split(_low, '[^\\\\p{L}]+'))")).alias("term")).join(told, "term", "left_semi")
+    held = stored(held.groupBy("_row").agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms")), "pii-held")
+    rows = rows.join(held, "_row", "left").withColumn("_low", F.expr(f"case when terms is not null then {_lowered('_text', 'spans')} end"))
+    pattern = "concat('(?<!\\\\p{L})(?:', terms, ')(?!\\\\p{L})')"
+    rows = _found(rows, "_low", pattern, len(KINDS) - 1, "terms is not null", "_terms")
+    return rows.select(
         *carry,
         F.col("spans").alias("base"),
-        F.expr("case when terms is null then spans else array_sort(concat(spans, terms)) end").alias("spans"),
+        F.expr("case when terms is null then spans else array_sort(concat(spans, _terms)) end").alias("spans"),
         "_text",
     )
 

@@ -135,6 +135,35 @@ def test_pii_terms(spark):
         assert [s for s in found[i].spans if s.ord < 4] == found[i].base
 
 
+def terms_of(spark, docs):
+    found = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"]).collect()
+    text = dict(docs)
+    return {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if s.ord == 4] for r in found}
+
+
+def test_pii_terms_of_rare_entities(spark):
+    """An address in one text, and one in three that differ in case, have terms; copies are one text."""
+    docs = [(i, f"common words {'odd' if i % 2 else 'even'} {i}") for i in range(4000)]
+    docs[0] = (0, "common words quuxly bob@mail.example.com")
+    docs[1] = docs[2] = (1, "common words")
+    docs[2] = (2, "common words twicer eve@mail.example.com")
+    docs += [(4000, "common words twicer without"), (4001, "common words twicer")]
+    docs += [(5000 + i, f"common frobnix words {i} {a}@mail.example.com") for i, a in enumerate(["ann", "Ann", "ANN"])]
+    docs += [(6000 + i, docs[0][1]) for i in range(3)]
+    got = terms_of(spark, docs)
+    assert {d: t for d, t in got.items() if t} == {0: ["quuxly"]} | {5000 + i: ["frobnix"] for i in range(3)} | {6000 + i: ["quuxly"] for i in range(3)}
+
+
+def test_pii_terms_everywhere(spark):
+    """A term is masked beside its address, far from it, and in texts without it."""
+    gap = "common words " * 20
+    docs = [(i, f"İ {i} bob@mail.example.com {gap}Zorblax wrote {i} zorblax, zorblaxes") for i in range(30)]
+    docs += [(30, "only ZORBLAX, no address")] + [(i, f"{gap} wrote zorblaxes {i}") for i in range(31, 400)]
+    got = terms_of(spark, docs)
+    assert all(got[i] == ["Zorblax", "zorblax"] for i in range(30)) and got[30] == ["ZORBLAX"]
+    assert not any(got[i] for i in range(31, 400))
+
+
 def test_toxicity(spark, tables):
     folder, docs = tables
     frame = spark.read.parquet(f"{folder}/documents.parquet")
