@@ -15,10 +15,13 @@ and matches that fail the condition are dropped.
 Terms: a protected entity is a distinct value of a base span, whatever its case or separators. A
 word of at least four letters outside base spans discloses it by the pointwise mutual information
 of both over the corpus's distinct texts, as a share of what naming the entity itself would
-disclose: log(p(e|t) / p(e)) / -log p(e). p(e|t) is the lower bound of its one-sided 95 % Wilson
-interval, so that few texts prove less than many, and copies of one text count once. A word whose
-share reaches ``disclosure`` for any entity is a span of kind ``term`` wherever it stands, in every
-text.
+disclose: log(p(e|t) / p(e)) / -log p(e). A masked text gives its entity away only by what other
+texts tell, so p(e|t) is taken over the term's texts without the one at hand: of n - 1 others,
+k - 1 name the entity. It is the lower bound of its one-sided 90 % Wilson interval, so that few
+texts prove less than many; copies of one text count once. A word that meets an entity in one text
+only has no others that tell: counted by itself, each rare word of a text would be a term, and
+chance meetings would mask words of unrelated texts. A word whose share reaches ``disclosure`` for
+any entity is a span of kind ``term`` wherever it stands, in every text.
 
 Edge cases: null counts as empty; a row is judged by itself, so repeated rows have equal results;
 an empty table gives an empty result; positions are code points, ends exclusive.
@@ -105,8 +108,8 @@ def _lowered(text: str, spans: str) -> str:
 
 #: One value for each entity: its kind, and its digits or lower case.
 ENTITY = f"concat(s.ord, ':', case when s.ord in (2, 3) then {_digits('s.value')} else lower(s.value) end)"
-#: The lower bound of p(entity | term), one-sided, 95 %.
-WILSON = "(k / n + {zz} / (2 * n) - {z} * sqrt((k / n) * (1 - k / n) / n + {zz} / (4 * n * n))) / (1 + {zz} / n)".format(z=1.6449, zz=1.6449**2)
+#: The lower bound of p(entity | term) over the other texts, one-sided, 90 %.
+WILSON = "(k / n + {zz} / (2 * n) - {z} * sqrt((k / n) * (1 - k / n) / n + {zz} / (4 * n * n))) / (1 + {zz} / n)".format(z=1.2816, zz=1.2816**2)
 
 
 def disclosing_terms(rows: DataFrame, disclosure: float = 0.8) -> DataFrame:
@@ -121,7 +124,8 @@ def disclosing_terms(rows: DataFrame, disclosure: float = 0.8) -> DataFrame:
     in_docs = texts.select("copy", F.explode("words").alias("term")).groupBy("term").agg(F.countDistinct("copy").alias("n"))
     e = F.col("entity_docs") / F.lit(float(max(total, 1)))
     share = F.when(e >= 1, F.lit(0.0)).otherwise(F.log(F.expr(WILSON) / e) / -F.log(e))
-    known = pairs.join(in_docs, "term").join(entity_docs, "entity")
+    others = pairs.join(in_docs, "term").withColumns({"k": F.col("k") - 1, "n": F.col("n") - 1})
+    known = others.filter("k > 0").join(entity_docs, "entity")  # at k = 0 the bound is 0
     return stored(known.filter(share >= disclosure).select("term").distinct(), "pii-terms")
 
 
