@@ -28,12 +28,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenlake.llm.common import stored, text_slices
 
 ORDER = 5
 BITS = 8 * ORDER
 PAD = b"\n" * (ORDER - 1)
+#: Bytes of text that are compressed together: small payloads cost more to open.
+SLICE = 8 << 20
 
 
 def key_of(k: int, gram) -> int:
@@ -45,7 +48,7 @@ def _minis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one block within a slice to one compressed row."""
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
     for batch in batches:
-        for part in text_slices(batch, "text"):
+        for part in text_slices(batch, "text", SLICE):
             part = part.take(pc.sort_indices(part.column("block")))
             block = part.column("block").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
@@ -161,7 +164,14 @@ def probabilities(grams: np.ndarray, keys: np.ndarray, alpha: np.ndarray, gamma:
     return p
 
 
-def _score(key: tuple, minis: pa.Table, answers: pa.Table) -> pa.Table:
+def _scorer(kind):
+    """``_score`` for keys of a Spark type; a block without documents has an empty result."""
+    own = to_arrow_type(kind)
+    none = pa.table([pa.array([], t) for t in (own, pa.string(), pa.float64())], names=["key", "lang", "perplexity"])
+    return lambda key, minis, answers: t if (t := _score(key, minis, answers)) is not None else none
+
+
+def _score(key: tuple, minis: pa.Table, answers: pa.Table) -> pa.Table | None:
     langs = np.array(answers.column("lang").to_pylist(), dtype=object)
     columns = {c: answers.column(c).to_numpy() for c in ("key", "alpha", "gamma")}
     models = {}
@@ -172,17 +182,17 @@ def _score(key: tuple, minis: pa.Table, answers: pa.Table) -> pa.Table:
     none = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
     ids, of, values = [], [], []
     for rows, lang, which in _opened(minis):
-        own, texts = rows.column("key").to_pylist(), rows.column("text").to_pylist()
+        kind, own, texts = rows.column("key").type, rows.column("key").to_pylist(), rows.column("text").to_pylist()
         for part in _parts([(texts[i] or "", own[i]) for i in which]):
             grams, owner = grams_of([t for t, _ in part])
             coded = pa.array(grams).dictionary_encode()
             p = np.log(probabilities(coded.dictionary.to_numpy(), *models.get(lang, none)))
             n = np.bincount(owner, minlength=len(part))
             total = np.bincount(owner, p[coded.indices.to_numpy()], minlength=len(part))
-            ids += [i for _, i in part]
+            ids.append(pa.array([i for _, i in part], kind))
             of += [lang] * len(part)
             values += [float(np.exp(-t / m)) if m else None for t, m in zip(total, n, strict=True)]
-    return pa.table([pa.array(ids, pa.int64()), pa.array(of, pa.string()), pa.array(values, pa.float64())], names=["key", "lang", "perplexity"])
+    return pa.table([pa.chunked_array(ids), pa.array(of, pa.string()), pa.array(values, pa.float64())], names=["key", "lang", "perplexity"]) if ids else None
 
 
 def model_of(counts: DataFrame) -> DataFrame:
@@ -224,15 +234,17 @@ def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(8, -(-total // block_bytes))
     at = lambda c: F.expr(f"pmod(xxhash64({c}), {blocks})").alias("block")
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"))
+    kind = docs.schema[key].dataType
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"))
     minis = rows.select("key", "lang", "text", at("key")).mapInArrow(_minis, "block long, payload binary")
-    by_block = minis.groupBy("block")
-    learned = trusted.select(F.col(key).cast("long").alias("key")).distinct().select("key", at("key"))
+    by_block = minis.repartition(blocks, "block").groupBy("block")  # a task's share stays a few blocks
+    learned = trusted.select(F.col(key).cast(kind).alias("key")).distinct().select("key", at("key")).repartition(blocks, "block")
     counts = by_block.cogroup(learned.groupBy("block")).applyInArrow(_count, "lang string, gram long, c long")
-    model = stored(model_of(counts), "quality-model")
+    model = stored(model_of(stored(counts, "quality-counts")), "quality-model")
     asked = by_block.applyInArrow(_ask, "block long, lang string, key long")
     answers = asked.join(model, ["lang", "key"]).select("block", "lang", "key", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma"))
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score, "key long, lang string, perplexity double")
+    answers = answers.repartition(blocks, "block")
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_scorer(kind), f"key {kind.simpleString()}, lang string, perplexity double")
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
