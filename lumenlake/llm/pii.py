@@ -24,7 +24,9 @@ chance meetings would mask words of unrelated texts. A word whose share reaches
 any entity is a span of kind ``term`` wherever it stands, in every text.
 
 Edge cases: null counts as empty; a row is judged by itself, so repeated rows have equal results;
-an empty table gives an empty result; positions are code points, ends exclusive.
+an empty table gives an empty result; positions are code points, ends exclusive; columns of any
+name are carried in a struct, so none can clash. Lists of matches are built in blocks of the root
+of their number, so a text with many matches costs n^1.5 steps and not n^2.
 """
 
 from __future__ import annotations
@@ -50,6 +52,21 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _prefix(items: str, step: str) -> str:
+    """Folds of the items before each item, from 0; ``step`` is of ``_c.at`` and ``_x``."""
+    width = f"cast(ceil(sqrt(size({items}))) as int)"
+    inner = f"""aggregate(slice({items}, _b * _w + 1, _w), named_struct('at', _a.at, 'own', cast(array() as array<int>)),
+        (_c, _x) -> named_struct('at', {step}, 'own', concat(_c.own, array(_c.at))),
+        _c -> named_struct('at', _c.at, 'out', concat(_a.out, array(_c.own))))"""
+    blocks = f"aggregate(sequence(0, cast((size({items}) - 1) div _w as int)), named_struct('at', 0, 'out', cast(array() as array<array<int>>)), (_a, _b) -> {inner}, _a -> flatten(_a.out))"
+    return _let(width, "_w", blocks)
+
+
 def _found(df: DataFrame, text: str, pattern: str, ord_: int, sign: str, out: str) -> DataFrame:
     """Adds the located matches of ``pattern``, an SQL expression, as ``out``."""
     m, g = f"_{out}_m", f"_{out}_g"
@@ -59,14 +76,10 @@ def _found(df: DataFrame, text: str, pattern: str, ord_: int, sign: str, out: st
             g: F.expr(f"case when {sign.format(t=text)} then split({text}, {pattern}, -1) end"),
         }
     )
-    located = f"""case when coalesce(size({m}), 0) <= 0 then cast(array() as {SPAN}) else aggregate(
-        sequence(0, size({m}) - 1),
-        named_struct('at', 0, 'out', cast(array() as {SPAN})),
-        (a, i) -> named_struct(
-            'at', a.at + length({g}[i]) + length({m}[i]),
-            'out', concat(a.out, array(named_struct('start', a.at + length({g}[i]), 'ord', {ord_}, 'end', a.at + length({g}[i]) + length({m}[i]), 'value', {m}[i])))),
-        a -> a.out) end"""
-    return df.withColumn(out, F.expr(located)).drop(m, g)
+    sizes = f"transform({m}, (_x, _i) -> length({g}[_i]) + length(_x))"
+    span = f"named_struct('start', _at[_i] + length({g}[_i]), 'ord', {ord_}, 'end', _at[_i] + length({g}[_i]) + length(_m), 'value', _m)"
+    located = _let(sizes, "_n", _let(_prefix("_n", "_c.at + _x"), "_at", f"transform({m}, (_m, _i) -> {span})"))
+    return df.withColumn(out, F.expr(f"case when coalesce(size({m}), 0) <= 0 then cast(array() as {SPAN}) else {located} end")).drop(m, g)
 
 
 def _digits(x: str) -> str:
@@ -97,55 +110,93 @@ def base_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
     return df.drop(*[f"_{k}" for k in PATTERNS])
 
 
+def _replaced(text: str, spans: str, label: str) -> str:
+    """``text`` with each span exchanged for ``label`` (of ``_x``); overlapping spans become one."""
+    ends = f"transform({spans}, _s -> _s.end)"
+    merged = "transform(_first, (_i, _k) -> named_struct('start', {s}[_i].start, 'ord', {s}[_i].ord, 'end', case when _k + 1 < size(_first) then _before[_first[_k + 1]] else array_max({e}) end))".format(s=spans, e=ends)
+    merged = _let(_let(ends, "_e", _prefix("_e", "greatest(_c.at, _x)")), "_before", _let(f"filter(sequence(0, size({spans}) - 1), _i -> {spans}[_i].start >= _before[_i])", "_first", merged))
+    # a substring costs its distance from the start, so texts are cut into blocks of spans first
+    low = "case when {b} = 0 then 0 else _m[{b} * _w - 1].end end"
+    block = "cast(_i div _w as int)"
+    pieces = f"transform(sequence(0, cast((size(_m) - 1) div _w as int)), _b -> substring({text}, {low.format(b='_b')} + 1, _m[least((_b + 1) * _w, size(_m)) - 1].end - {low.format(b='_b')}))"
+    prev = "case when _i = 0 then 0 else _m[_i - 1].end end"
+    parts = f"transform(_m, (_x, _i) -> concat(substring(_p[{block}], {prev} - {low.format(b=block)} + 1, _x.start - {prev}), {label}))"
+    whole = f"concat(array_join({parts}, ''), substring({text}, _m[size(_m) - 1].end + 1))"
+    out = _let(merged, "_m", _let("cast(ceil(sqrt(size(_m))) as int)", "_w", _let(pieces, "_p", whole)))
+    return f"case when size({spans}) = 0 then {text} else {out} end"
+
+
 def _lowered(text: str, spans: str) -> str:
     """``text`` in lower case with blanks for base spans; positions stay. Only U+0130 would grow."""
-    blank = f"""case when size({spans}) = 0 then {text} else aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, x) -> case when x.end <= a.at then a
-            else named_struct('at', x.end, 'out', concat(a.out, array(substring({text}, a.at + 1, x.start - a.at), repeat(' ', x.end - greatest(x.start, a.at))))) end,
-        a -> concat(array_join(a.out, ''), substring({text}, a.at + 1))) end"""
-    return f"lower(translate({blank}, '\u0130', 'i'))"
+    return f"lower(translate({_replaced(text, spans, "repeat(' ', _x.end - _x.start)")}, '\u0130', 'i'))"
 
 
 #: One value for each entity: its kind, and its digits or lower case.
 ENTITY = f"concat(s.ord, ':', case when s.ord in (2, 3) then {_digits('s.value')} else lower(s.value) end)"
 #: The lower bound of p(entity | term) over the other texts, one-sided, 90 %.
 WILSON = "(k / n + {zz} / (2 * n) - {z} * sqrt((k / n) * (1 - k / n) / n + {zz} / (4 * n * n))) / (1 + {zz} / n)".format(z=1.2816, zz=1.2816**2)
+#: The most terms that are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def _by_copy(base: DataFrame) -> DataFrame:
+    """Adds ``low``, and ``copy`` and ``check``, two hashes of it."""
+    return base.withColumn("low", F.expr(_lowered("text", "spans"))).withColumns({"copy": F.xxhash64("low"), "check": F.xxhash64(F.lit(7), "low")})
 
 
-def disclosing_terms(rows: DataFrame, disclosure: float = 0.8) -> DataFrame:
-    """The ``term``s that disclose an entity of ``rows``, a stored table of ``_row``, ``_low`` (by
-    ``_lowered``) and ``spans``."""
-    texts = rows.select("spans", F.xxhash64("_low").alias("copy"), F.expr("filter(array_distinct(split(_low, '[^\\\\p{L}]+')), w -> length(w) >= 4)").alias("words"))
-    entities = texts.filter("size(spans) > 0").select("copy", "words", F.explode("spans").alias("s")).select("copy", "words", F.expr(ENTITY).alias("entity"))
-    entities = stored(entities.dropDuplicates(["copy", "entity"]), "pii-entities")
-    total = texts.agg(F.countDistinct("copy")).first()[0]
-    entity_docs = entities.groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    pairs = entities.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("k"))
-    in_docs = texts.select("copy", F.explode("words").alias("term")).groupBy("term").agg(F.countDistinct("copy").alias("n"))
+def distinct_texts(base: DataFrame) -> DataFrame:
+    """``copy, check, entities, words`` of each distinct text of ``base`` (``text``, ``spans``), stored.
+    ``words`` are its distinct words, joined by blanks: texts meet by their words, once each."""
+    words = F.expr("array_join(filter(array_distinct(split(low, '[^\\\\p{L}]+')), w -> length(w) >= 4), ' ')")
+    own = _by_copy(base).select("copy", "check", F.expr(f"array_distinct(transform(spans, s -> {ENTITY}))").alias("entities"), words.alias("words"))
+    return stored(own.dropDuplicates(["copy", "check"]), "pii-texts")
+
+
+def disclosing_terms(texts: DataFrame, disclosure: float = 0.8) -> DataFrame:
+    """The ``term``s that disclose an entity of ``texts`` (by ``distinct_texts``)."""
+    each = F.explode(F.expr("filter(split(words, ' '), w -> w <> '')")).alias("term")
+    total = texts.count()
+    entity_docs = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    told_twice = entity_docs.filter("entity_docs > 1")  # in a single text no other tells
+    named = texts.filter("size(entities) > 0").select(F.explode("entities").alias("entity"), "words").join(told_twice, "entity", "left_semi")
+    pairs = named.select("entity", each).groupBy("entity", "term").agg(F.count("*").alias("k")).filter("k > 1")
+    in_docs = texts.select(each).groupBy("term").agg(F.count("*").alias("n"))
     e = F.col("entity_docs") / F.lit(float(max(total, 1)))
     share = F.when(e >= 1, F.lit(0.0)).otherwise(F.log(F.expr(WILSON) / e) / -F.log(e))
-    others = pairs.join(in_docs, "term").withColumns({"k": F.col("k") - 1, "n": F.col("n") - 1})
-    known = others.filter("k > 0").join(entity_docs, "entity")  # at k = 0 the bound is 0
-    return stored(known.filter(share >= disclosure).select("term").distinct(), "pii-terms")
+    others = pairs.join(in_docs, "term").withColumns({"k": F.col("k") - 1, "n": F.col("n") - 1})  # at k = 0 the bound is 0
+    return stored(others.join(entity_docs, "entity").filter(share >= disclosure).select("term").distinct(), "pii-terms")
+
+
+def _held(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """``copy, check, terms`` of the distinct texts that hold told terms, stored."""
+    told = F.broadcast(told) if told.count() <= BROADCAST_TERMS else told
+    words = texts.select("copy", "check", F.explode(F.split("words", " ")).alias("term")).join(told, "term", "left_semi")
+    return stored(words.groupBy("copy", "check").agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms")), "pii-held")
+
+
+def _split(rows: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` without and with a chance of a ``copy`` in ``held``, told by a filter of at most 8 MB, so
+    that texts without terms are not shuffled."""
+    bits = 1 << min(26, max(16, (16 * held.count()).bit_length()))
+    word, bit = F.expr(f"shiftright(pmod(copy, {bits}), 6)"), F.expr("cast(pmod(copy, 64) as int)")
+    words = held.groupBy(word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(copy, 64) as int))")).alias("_bits"))
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.expr("shiftright(_bits, _bit) & 1 = 1"), F.lit(False))
+    return marked.filter(~hit).select(*rows.columns), marked.filter(hit).select(*rows.columns)
 
 
 def find(docs: DataFrame, carry: list[str], text: str = "text", **settings) -> DataFrame:
-    """``carry``, ``base`` (base spans), ``spans`` (with terms) and ``_text``."""
-    rows = docs.select(*dict.fromkeys([*carry, text]), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = stored(base_spans(rows, "_text").drop("_text").withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    rows = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    low = rows.select("_row", "spans", F.expr(_lowered("_text", "spans")).alias("_low"))
-    told = disclosing_terms(low, **settings)
-    held = low.select("_row", F.explode(F.expr("array_distinct(split(_low, '[^\\\\p{L}]+'))")).alias("term")).join(told, "term", "left_semi")
-    held = stored(held.groupBy("_row").agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms")), "pii-held")
-    rows = rows.join(held, "_row", "left").withColumn("_low", F.expr(f"case when terms is not null then {_lowered('_text', 'spans')} end"))
+    """``row`` (a struct of ``carry``), ``text``, ``base`` (base spans) and ``spans`` (with terms)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    base = base_spans(rows, "text")
+    texts = distinct_texts(base.select("text", "spans"))
+    held = _held(texts, disclosing_terms(texts, **settings))
+    clear, doubtful = _split(_by_copy(base), held)
+    told = doubtful.join(held, ["copy", "check"], "left")
     pattern = "concat('(?<!\\\\p{L})(?:', terms, ')(?!\\\\p{L})')"
-    rows = _found(rows, "_low", pattern, len(KINDS) - 1, "terms is not null", "_terms")
-    return rows.select(
-        *carry,
-        F.col("spans").alias("base"),
-        F.expr("case when terms is null then spans else array_sort(concat(spans, _terms)) end").alias("spans"),
-        "_text",
+    told = _found(told, "low", pattern, len(KINDS) - 1, "terms is not null", "more")
+    return clear.select("row", "text", F.col("spans").alias("base"), "spans").unionByName(
+        told.select("row", "text", F.col("spans").alias("base"), F.expr("case when terms is null then spans else array_sort(concat(spans, more)) end").alias("spans"))
     )
 
 
@@ -158,15 +209,10 @@ def listed(spans: str) -> F.Column:
 def redacted(text: str, spans: str) -> F.Column:
     """``text`` with each span generalised to its kind; overlapping spans become one."""
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    return F.expr(
-        f"""aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, x) -> case when x.start < a.at then named_struct('at', greatest(a.at, x.end), 'out', a.out)
-            else named_struct('at', x.end, 'out', concat(a.out, array(substring({text}, a.at + 1, x.start - a.at), element_at(array({kinds}), x.ord + 1)))) end,
-        a -> concat(array_join(a.out, ''), substring({text}, a.at + 1)))"""
-    )
+    return F.expr(_replaced(text, spans, f"element_at(array({kinds}), _x.ord + 1)"))
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     counts = [F.expr(f"cast(size(filter(base, x -> x.ord = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
-    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

@@ -79,6 +79,23 @@ def op3(docs):
     return [(d, f"{f:016x}", find(d)) for d, f in prints]
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def first_of_near_copies(docs):
+    """The smallest id, null as a million, of each group linked by five-word Jaccard of 0.8 or more."""
+    groups = [{i} for i in range(len(docs))]
+    for i, (_, a) in enumerate(docs):
+        for j in range(i):
+            if groups[i] is not groups[j] and jaccard(a or "", docs[j][1] or "") >= 0.8:
+                groups[i] |= groups[j]
+                for k in groups[i]:
+                    groups[k] = groups[i]
+    return sorted(min(10**6 if docs[k][0] is None else docs[k][0] for k in g) for i, g in enumerate(groups) if i == min(g))
+
+
 def op8(docs):
     groups = defaultdict(list)
     norm = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")

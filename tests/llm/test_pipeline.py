@@ -122,13 +122,13 @@ def test_pii_base(spark):
     docs = list(enumerate(own))
     found = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"])
     counts = [f"size(filter(base, x -> x.ord = {i})) c{i}" for i in range(4)]
-    got = found.withColumn("h", pii.F.sha2(pii.listed("base"), 256)).selectExpr("doc_id", *counts, "h")
+    got = found.withColumn("h", pii.F.sha2(pii.listed("base"), 256)).selectExpr("row.doc_id", *counts, "h")
     assert sorted(tuple(x) for x in got.collect()) == sorted(brute.op10(docs))
 
 
 def test_pii_terms(spark):
     docs = [(i, f"n{i} report{i} zorblax wrote with bob@mail.example.com today {i}") for i in range(5)] + [(i, f"the report number with today {i} wrote") for i in range(5, 60)]
-    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"]).collect()}
+    found = {r.row.doc_id: r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"]).collect()}
     for i, text in docs:
         terms = [text[s.start : s.end] for s in found[i].spans if s.ord == 4]
         assert terms == (["zorblax"] if i < 5 else [])
@@ -138,7 +138,22 @@ def test_pii_terms(spark):
 def terms_of(spark, docs):
     found = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"]).collect()
     text = dict(docs)
-    return {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if s.ord == 4] for r in found}
+    return {r.row.doc_id: [text[r.row.doc_id][s.start : s.end] for s in r.spans if s.ord == 4] for r in found}
+
+
+def test_pii_many_matches(spark):
+    """Blocks of matches give the same spans and texts as a plain pass."""
+    r = random.Random(8)
+    docs = [(i, " ".join(r.choice(["a@b.co", "1.2.3.4", "+1 555 123 4567 8", "x" * r.randrange(9), "é🙂"]) for _ in range(n))) for i, n in enumerate([1, 2, 3, 10, 30, 5000])]
+    rows = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"]).withColumn("new", pii.redacted("text", "base")).collect()
+    for row in rows:
+        text, out, at = dict(docs)[row.row.doc_id], [], 0
+        for s in row.base:
+            assert text[s.start : s.end] == s.value
+            if s.start >= at:
+                out += [text[at : s.start], f"[{pii.KINDS[s.ord].upper()}]"]
+            at = max(at, s.end)
+        assert row.new == "".join(out) + text[at:]
 
 
 def test_pii_terms_of_rare_entities(spark):
@@ -190,8 +205,7 @@ def test_pipeline_stages(spark, tables):
         elif name == "exact_dedup":
             assert len(kept) == len({(t or "").lower() for t in texts.values()})
         elif name == "near_dedup":
-            groups = brute.op3([(d if d is not None else 10**6, t) for d, t in texts.items()])
-            assert {r.doc_id if r.doc_id is not None else 10**6 for r in kept} == {c for _, _, c in groups}
+            assert sorted(10**6 if r.doc_id is None else r.doc_id for r in kept) == brute.first_of_near_copies(list(texts.items()))
         else:
             by = {r.doc_id: r for r in kept}
             assert by[None].text == "mail [EMAIL] now" and by[None].n_chars == 16
@@ -201,11 +215,6 @@ def test_pipeline_stages(spark, tables):
     assert sum(r.length for r in packed) == sum(len(brute.token_ids(r.text)) for r in now.collect())
 
 
-def jaccard(a, b):
-    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
-    return len(x & y) / len(x | y)
-
-
 def test_near_copies_by_five_words(spark):
     r = random.Random(9)
     docs = []
@@ -217,22 +226,7 @@ def test_near_copies_by_five_words(spark):
                 w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
             docs.append((len(docs), " ".join(w)))
     docs += [(None, docs[0][1] + " "), (200, "a b"), (201, "A  b"), (202, "a c"), (203, ""), (204, None), (205, " \n")]
-    root = list(range(len(docs)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, (_, a) in enumerate(docs):
-        for j in range(i):
-            if jaccard(a or "", docs[j][1] or "") >= 0.8:
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    groups = {}
-    for i, (d, _) in enumerate(docs):
-        groups.setdefault(find(i), []).append(10**6 if d is None else d)
-    want = sorted(min(g) for g in groups.values())
+    want = brute.first_of_near_copies(docs)
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
     assert sorted(10**6 if k.doc_id is None else k.doc_id for k in kept) == want
 
