@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,13 +41,18 @@ def pick_segments(groups: list[Column], available: Column, most: int = 3) -> Col
 
 
 def risk_threshold(risks: DataFrame, rate: float) -> DataFrame:
-    """The risk at or above which a share ``rate`` lies: the k-th largest, k rounded half to even."""
-    n = risks.groupBy().agg(F.count("*").alias("n")).withColumn("k", F.bround(F.col("n") * rate).cast("long"))
-    counts = risks.groupBy("risk").agg(F.count("*").alias("m"))
-    from pyspark.sql import Window
+    """The risk at or above which a share ``rate`` lies: the k-th largest, k rounded half to even.
 
-    at = counts.withColumn("upto", F.sum("m").over(Window.orderBy(F.desc("risk"))))  # one row for each distinct risk
-    found = at.crossJoin(F.broadcast(n)).filter("upto >= k").groupBy().agg(F.max("risk").alias("t"))
+    Counts by bucket of risk find the bucket of the k-th largest; only that one is ranked.
+    """
+    n = risks.groupBy().agg(F.count("*").alias("n")).withColumn("k", F.bround(F.col("n") * rate).cast("long"))
+    bucket = F.floor(F.col("risk") * 4096)
+    counts = risks.groupBy(bucket.alias("_b")).agg(F.count("*").alias("m"))  # 4,097 rows at most
+    before = F.coalesce(F.sum("m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    home = counts.withColumn("before", before).crossJoin(F.broadcast(n)).filter("before < k and before + m >= k").select("_b", "before", "k")
+    own = risks.groupBy(bucket.alias("_b"), "risk").agg(F.count("*").alias("m")).join(F.broadcast(home), "_b")  # one bucket
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy("_b").orderBy(F.desc("risk")))
+    found = own.withColumn("upto", upto).filter("upto >= k").groupBy().agg(F.max("risk").alias("t"))
     return n.crossJoin(found).select(F.when(F.col("k") <= 0, F.lit(1.0)).otherwise(F.col("t")).alias("threshold"))
 
 
@@ -74,3 +79,86 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, penalty: floa
         if np.abs(step).max() < tolerance:
             break
     return w[:-1], float(w[-1])
+
+
+def evidence_overlap(supporting: Column, contradictory: Column) -> dict[str, Column]:
+    """Shared ids in the order of support, their share of all ids, and whether both sides have any."""
+    empty = F.array().cast("array<string>")
+    a, b = F.array_distinct(F.coalesce(supporting, empty)), F.array_distinct(F.coalesce(contradictory, empty))
+    either = F.size(F.array_union(a, b))
+    shared = F.filter(a, lambda i: F.array_contains(b, i))
+    return {"overlap": shared, "overlap_ratio": F.when(either > 0, F.size(shared) / either).otherwise(F.lit(0.0)), "coexists": (F.size(a) > 0) & (F.size(b) > 0)}
+
+
+def trigger_score(uncertainty: Column, confidence: Column, disagreement: Column, mean_reliability: Column, least_reliability: Column, coexists: Column) -> Column:
+    """The largest of six signals, within 0 and 1; missing reliabilities give no deficit."""
+    zero = F.lit(0.0)
+    parts = [uncertainty, 1 - confidence, disagreement, F.coalesce(1 - mean_reliability, zero), F.coalesce(1 - least_reliability, zero), F.when(coexists, 1.0).otherwise(0.0)]
+    return F.least(F.lit(1.0), F.greatest(zero, *parts))
+
+
+def natural_key(identifier: Column) -> Column:
+    """A sort key in which runs of digits compare as numbers and come before text."""
+    parts = F.regexp_extract_all(F.lower(identifier), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    number = lambda p: p.rlike("^[0-9]")
+    return F.transform(parts, lambda p: F.struct((~number(p)).cast("int").alias("kind"), F.when(number(p), p.cast("decimal(38,0)")).alias("number"), F.when(~number(p), p).alias("text")))
+
+
+AUDIT_FEATURES = ("confidence", "reliability_audio", "reliability_visual", "reliable_disagreement", "unreliable_disagreement", "missing_fraction", "entropy")
+
+
+def audit_features(rows: DataFrame, validity: dict[str, float], threshold: float = 0.6) -> DataFrame:
+    """Adds the audit's features to assessments (``risk, confidence, audio_risk, audio_rel, visual_risk, visual_rel``).
+
+    A source without a reliability counts 0 there and as missing.
+    """
+    c = F.col
+    d = F.abs(c("audio_risk") - c("visual_risk"))
+    good, bad = pair_disagreement(d, c("audio_rel"), c("visual_rel"), F.lit(validity.get("audio", 1.0)), F.lit(validity.get("visual", 1.0)), threshold)
+    missing = (c("audio_rel").isNull().cast("int") + c("visual_rel").isNull().cast("int")) / 2.0
+    return rows.withColumns({
+        "reliability_audio": F.coalesce("audio_rel", F.lit(0.0)), "reliability_visual": F.coalesce("visual_rel", F.lit(0.0)), "reliable_disagreement": good, "unreliable_disagreement": bad,
+        "missing_fraction": missing, "entropy": entropy(c("risk")),
+    })
+
+
+def source_validity(rows: DataFrame, label: str, sources: dict[str, str]) -> DataFrame:
+    """``source, validity``: 2 AUC - 1 within 0 and 1, over the rows where the source has a risk."""
+    from lumenlake.operators.metrics import auc
+
+    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(c).alias("p")) for s, c in sources.items()]))
+    own = rows.select(F.col(label).alias("y"), cells.alias("c")).select("y", "c.source", "c.p").filter("p is not null and y is not null")
+    return auc(own, ["source"]).select("source", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * F.col("auc") - 1)).alias("validity"))
+
+
+def fit_audit(rows: DataFrame, target: str, penalty: float = 1.0) -> dict:
+    """Means, scales, weights and intercept of the audit on ``AUDIT_FEATURES``; a scale of 0 counts 1.
+
+    All that comes to the driver are sums of fixed size. ``rows`` is read once a step: pass a
+    stored table.
+    """
+    names = list(AUDIT_FEATURES)
+    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    scale = {c: stats[f"s_{c}"] if (stats[f"s_{c}"] or 0) > 1e-12 else 1.0 for c in names}
+    z = rows.select(*[((F.col(c) - stats[f"m_{c}"]) / scale[c]).alias(c) for c in names], target)
+    w, b = fit_logistic(z, names, target, penalty)
+    return {"mean": {c: stats[f"m_{c}"] for c in names}, "scale": scale, "weights": dict(zip(names, map(float, w), strict=True)), "intercept": b}
+
+
+def audit_risk(model: dict) -> Column:
+    """The probability that a first decision is wrong; logits are cut at 30."""
+    z = F.lit(float(model["intercept"]))
+    for c, w in model["weights"].items():
+        z = z + (F.col(c) - model["mean"][c]) / model["scale"][c] * w
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
+def decide(rows: DataFrame, model: dict, threshold: float, failed: Column) -> DataFrame:
+    """Adds ``audit_risk`` and ``should_rethink``; a failed first pass has no risk and is always looked at again."""
+    risk = F.when(~failed, audit_risk(model))
+    return rows.withColumns({"audit_risk": risk, "should_rethink": failed | F.coalesce(risk >= threshold, F.lit(False))})
+
+
+def error_target(p: Column, threshold: Column, label: Column) -> Column:
+    """1 where the first decision was wrong."""
+    return ((p >= threshold) != (label == 1)).cast("int")
