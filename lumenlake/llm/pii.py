@@ -135,6 +135,8 @@ def _lowered(text: str, spans: str) -> str:
 ENTITY = f"concat(s.ord, ':', case when s.ord in (2, 3) then {_digits('s.value')} else lower(s.value) end)"
 #: The lower bound of p(entity | term) over the other texts, one-sided, 90 %.
 WILSON = "(k / n + {zz} / (2 * n) - {z} * sqrt((k / n) * (1 - k / n) / n + {zz} / (4 * n * n))) / (1 + {zz} / n)".format(z=1.2816, zz=1.2816**2)
+#: A text's distinct words of four letters or more.
+WORDS = "filter(array_distinct(split(low, '[^\\\\p{L}]+')), w -> length(w) >= 4)"
 #: The most terms that are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -144,40 +146,14 @@ def _by_copy(base: DataFrame) -> DataFrame:
     return base.withColumn("low", F.expr(_lowered("text", "spans"))).withColumns({"copy": F.xxhash64("low"), "check": F.xxhash64(F.lit(7), "low")})
 
 
-def distinct_texts(base: DataFrame) -> DataFrame:
-    """``copy, check, entities, words`` of each distinct text of ``base`` (``text``, ``spans``), stored.
-    ``words`` are its distinct words, joined by blanks: texts meet by their words, once each."""
-    words = F.expr("array_join(filter(array_distinct(split(low, '[^\\\\p{L}]+')), w -> length(w) >= 4), ' ')")
-    own = _by_copy(base).select("copy", "check", F.expr(f"array_distinct(transform(spans, s -> {ENTITY}))").alias("entities"), words.alias("words"))
-    return stored(own.dropDuplicates(["copy", "check"]), "pii-texts")
-
-
-def disclosing_terms(texts: DataFrame, disclosure: float = 0.8) -> DataFrame:
-    """The ``term``s that disclose an entity of ``texts`` (by ``distinct_texts``)."""
-    each = F.explode(F.expr("filter(split(words, ' '), w -> w <> '')")).alias("term")
-    total = texts.count()
-    entity_docs = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    told_twice = entity_docs.filter("entity_docs > 1")  # in a single text no other tells
-    named = texts.filter("size(entities) > 0").select(F.explode("entities").alias("entity"), "words").join(told_twice, "entity", "left_semi")
-    pairs = named.select("entity", each).groupBy("entity", "term").agg(F.count("*").alias("k")).filter("k > 1")
-    in_docs = texts.select(each).groupBy("term").agg(F.count("*").alias("n"))
-    e = F.col("entity_docs") / F.lit(float(max(total, 1)))
-    share = F.when(e >= 1, F.lit(0.0)).otherwise(F.log(F.expr(WILSON) / e) / -F.log(e))
-    others = pairs.join(in_docs, "term").withColumns({"k": F.col("k") - 1, "n": F.col("n") - 1})  # at k = 0 the bound is 0
-    return stored(others.join(entity_docs, "entity").filter(share >= disclosure).select("term").distinct(), "pii-terms")
-
-
-def _held(texts: DataFrame, told: DataFrame) -> DataFrame:
-    """``copy, check, terms`` of the distinct texts that hold told terms, stored."""
-    told = F.broadcast(told) if told.count() <= BROADCAST_TERMS else told
-    words = texts.select("copy", "check", F.explode(F.split("words", " ")).alias("term")).join(told, "term", "left_semi")
-    return stored(words.groupBy("copy", "check").agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms")), "pii-held")
+def _few(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
 
 def _split(rows: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` without and with a chance of a ``copy`` in ``held``, told by a filter of at most 8 MB, so
-    that texts without terms are not shuffled."""
-    bits = 1 << min(26, max(16, (16 * held.count()).bit_length()))
+    that few texts or words are shuffled."""
+    bits = 1 << min(26, max(16, (64 * held.count()).bit_length()))
     word, bit = F.expr(f"shiftright(pmod(copy, {bits}), 6)"), F.expr("cast(pmod(copy, 64) as int)")
     words = held.groupBy(word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(copy, 64) as int))")).alias("_bits"))
     marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word", "left")
@@ -185,11 +161,43 @@ def _split(rows: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(~hit).select(*rows.columns), marked.filter(hit).select(*rows.columns)
 
 
+def disclosing_terms(texts: DataFrame, disclosure: float = 0.8) -> DataFrame:
+    """The ``term``s that disclose an entity of ``texts`` (by ``_by_copy``, with ``spans``).
+
+    Only words that meet an entity in two texts are counted in the others. A word's texts are its
+    rows whose text surely occurs once, and its distinct texts among the other rows.
+    """
+    each = F.explode(F.expr(WORDS)).alias("term")
+    entities = F.expr(f"array_distinct(transform(spans, s -> {ENTITY}))")
+    narrow = stored(texts.select("copy", "check", entities.alias("entities"), F.expr(f"case when size(spans) > 0 then {WORDS} end").alias("words")), "pii-narrow")
+    copies = stored(narrow.groupBy("copy", "check").agg(F.count("*").alias("n")), "pii-copies")
+    named = stored(narrow.filter("size(entities) > 0").dropDuplicates(["copy", "check"]).select("words", F.explode("entities").alias("entity")), "pii-named")
+    entity_docs = named.groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    twice = named.join(entity_docs.filter("entity_docs > 1"), "entity", "left_semi")  # in a single text no other tells
+    pairs = twice.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("k"))
+    pairs = stored(pairs.filter("k > 1"), "pii-pairs")
+    candidates = _few(stored(pairs.select("term").distinct(), "pii-candidates"))
+    once, others = _split(texts, copies.filter("n > 1"))
+    counted = once.select(each).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    rest = others.select("copy", "check", each).join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    in_docs = counted.unionByName(rest).groupBy("term").agg(F.sum("n").alias("n"))
+    e = F.col("entity_docs") / F.lit(float(max(copies.count(), 1)))
+    share = F.when(e >= 1, F.lit(0.0)).otherwise(F.log(F.expr(WILSON) / e) / -F.log(e))
+    known = pairs.join(in_docs, "term").withColumns({"k": F.col("k") - 1, "n": F.col("n") - 1})  # at k = 0 the bound is 0
+    return stored(known.join(entity_docs, "entity").filter(share >= disclosure).select("term").distinct(), "pii-terms")
+
+
+def _held(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """``copy, check, terms`` of the distinct texts that hold told terms, stored."""
+    words = texts.select("copy", "check", F.explode(F.expr(WORDS)).alias("term")).join(_few(told), "term", "left_semi")
+    return stored(words.groupBy("copy", "check").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("terms")), "pii-held")
+
+
 def find(docs: DataFrame, carry: list[str], text: str = "text", **settings) -> DataFrame:
     """``row`` (a struct of ``carry``), ``text``, ``base`` (base spans) and ``spans`` (with terms)."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     base = base_spans(rows, "text")
-    texts = distinct_texts(base.select("text", "spans"))
+    texts = _by_copy(base.select("text", "spans"))
     held = _held(texts, disclosing_terms(texts, **settings))
     clear, doubtful = _split(_by_copy(base), held)
     told = doubtful.join(held, ["copy", "check"], "left")
