@@ -5,15 +5,17 @@
    ``2 + log2(2**64 / n)`` bits for each of ``n`` fingerprints less the owner's share.
 2. An owner decodes the streams of all parts, and answers each with a bitmap of the fingerprints
    that occur more than once (``_owner``). A part says itself which it holds twice.
-3. Parts turn bitmaps into suspects. These set bits of a filter of fixed size, which reaches the
-   second scan as a broadcast of at most ``filter_bits / 8`` bytes, whatever the corpus.
+3. Parts turn bitmaps into suspects. These set bits of a filter with 16 bits for each of them, which
+   reaches the second scan as a broadcast of at most ``most_bits / 8`` bytes, whatever the corpus.
+   Beyond that size it lets more unique texts through, up to all.
 4. Only texts that pass the filter are shuffled. They are grouped by digest and by their bytes,
    with counts combined before the shuffle, so a group of copies of any size is one row a task.
 
 False suspects cost a shuffle, not an error: the groups compare whole texts.
 
 Edge cases: null counts as empty; of rows that repeat both key and text one stays; null keys are
-smaller than any other; an empty table gives an empty result.
+smaller than any other; an empty table gives an empty result; columns of any name are carried in a
+struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -88,22 +90,23 @@ def _send(owner_bits: int):
 
 
 def _owner(table: pa.Table) -> pa.Table:
-    """All streams of one owner to (part, data, bitmap)."""
+    """All streams of one owner to (part, data, bitmap, n), n the number of bits set."""
     streams = [decode_gaps(x) for x in table.column("data").to_pylist()]
     twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)).astype(bool) for x, v in zip(table.column("twice").to_pylist(), streams, strict=True)]
     values, counts = np.unique(np.concatenate(streams), return_counts=True)
     repeated = values[counts > 1]
-    bitmaps = []
+    bitmaps, set_ = [], []
     for v, t in zip(streams, twice, strict=True):
         at = np.searchsorted(repeated, v)
         hit = np.zeros(len(v), dtype=bool)
         if len(repeated):
             hit = repeated[np.minimum(at, len(repeated) - 1)] == v
         bitmaps.append(np.packbits(hit | t).tobytes())
-    return pa.table([table.column("part"), table.column("data"), pa.chunked_array([pa.array(bitmaps, pa.binary())])], names=["part", "data", "bitmap"])
+        set_.append(int((hit | t).sum()))
+    return pa.table([table.column("part"), table.column("data"), pa.chunked_array([pa.array(bitmaps, pa.binary())]), pa.chunked_array([pa.array(set_, pa.int64())])], names=["part", "data", "bitmap", "n"])
 
 
-def _words(filter_bits: int):
+def _words(bits_: int):
     """Bitmaps that came back to the parts, to the words of the filter of suspects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +115,7 @@ def _words(filter_bits: int):
             for data, bitmap in zip(batch.column("data").to_pylist(), batch.column("bitmap").to_pylist(), strict=True):
                 v = decode_gaps(data)
                 found.append(v[np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(v)).astype(bool)])
-            bits = np.unique(np.concatenate(found) % np.uint64(filter_bits))
+            bits = np.unique(np.concatenate(found) % np.uint64(bits_))
             words, starts = np.unique(bits >> np.uint64(6), return_index=True)
             if len(words):
                 values = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), starts)
@@ -121,10 +124,10 @@ def _words(filter_bits: int):
     return run
 
 
-def suspect_filter(docs: DataFrame, text: str = "text", owner_bits: int | None = None, filter_bits: int = 1 << 23) -> np.ndarray:
-    """The filter of fixed size that every fingerprint held more than once passes.
+def suspect_filter(docs: DataFrame, text: str = "text", owner_bits: int | None = None, most_bits: int = 1 << 27) -> np.ndarray:
+    """The filter that every fingerprint held more than once passes.
 
-    It comes to the driver: ``filter_bits / 64`` words at most, one mebibyte as set here.
+    It comes to the driver: ``most_bits / 64`` words of 16 bytes at most.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,55 +141,56 @@ def suspect_filter(docs: DataFrame, text: str = "text", owner_bits: int | None =
     if owner_bits is None:
         owner_bits = max(3, min(16, (prints.count() >> 16).bit_length()))
     sent = prints.groupBy("part").applyInArrow(_send(owner_bits), "owner long, part long, data binary, twice binary")
-    answered = sent.groupBy("owner").applyInArrow(_owner, "part long, data binary, bitmap binary")
-    words = answered.mapInArrow(_words(filter_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(filter_bits // 64, dtype=np.int64)
-    for word, bits in words.collect():
-        out[word] = bits
+    answered = stored(sent.groupBy("owner").applyInArrow(_owner, "part long, data binary, bitmap binary, n long"), "exact-answers")
+    suspects = answered.agg(F.sum("n")).first()[0] or 0
+    bits = min(most_bits, max(1 << 16, 1 << (16 * suspects).bit_length()))
+    words = answered.mapInArrow(_words(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, **settings) -> DataFrame:
-    """One row for each row of ``docs``: ``carry`` (the key by default), ``text_sha256``,
-    ``keep_id``, ``group_size`` and ``kept``. Of equal texts the row with the largest key stays."""
+    """One row for each row of ``docs``: ``row`` (a struct of ``carry``, the key by default, without the text),
+    ``text`` if ``carry`` names it, ``text_sha256``, ``keep_id``, ``group_size`` and ``kept``. Of equal texts the row
+    with the largest key stays."""
     carry = carry or [key]
-    columns = list(dict.fromkeys([*carry, key, text]))
-    bits = docs.sparkSession.sparkContext.broadcast(suspect_filter(docs, text, **settings))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry if c != text] or [F.lit(None).alias("none")]).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    names = ["row", "key", *(["text"] if text in carry else [])]
+    bits = docs.sparkSession.sparkContext.broadcast(suspect_filter(rows.select("text"), **settings))
 
     def scan(suspects: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, words = TaskContext.get().partitionId() << 33, bits.value
             size = np.uint64(len(words) * 64)
             for batch in batches:
-                for part in text_slices(batch, text):
-                    texts = [normalised(x) for x in part.column(text).to_pylist()]
+                for part in text_slices(batch, "text"):
+                    texts = [normalised(x) for x in part.column("text").to_pylist()]
                     digests = [hashlib.sha256(x).digest() for x in texts]
                     at = np.frombuffer(b"".join([d[:8] for d in digests]), ">u8").astype(np.uint64) % size
                     hit = (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == (1 if suspects else 0)
                     which = np.flatnonzero(hit)
-                    added = {"_sha": pa.array([digests[i].hex() for i in which], pa.string())}
+                    added = {"sha": pa.array([digests[i].hex() for i in which], pa.string())}
                     if suspects:
-                        added |= {"_row": pa.array(row + which), "_norm": pa.array([texts[i] for i in which], pa.binary())}
+                        added |= {"n": pa.array(row + which), "norm": pa.array([texts[i] for i in which], pa.binary())}
                     row += part.num_rows
-                    names = list(dict.fromkeys([*carry, key]))
                     yield arrow_batch(part.take(pa.array(which)) if len(which) < part.num_rows else part, names, **added)
 
         return run
 
-    names = list(dict.fromkeys([*carry, key]))
-    rows = docs.select(*columns)
-    alone = map_texts(rows, scan(False), with_fields(docs, names, _sha="string"))
-    suspects = stored(map_texts(rows, scan(True), with_fields(docs, names, _sha="string", _row="long", _norm="binary")), "exact-suspects")
-    groups = suspects.groupBy("_sha", "_norm").agg(F.count("*").alias("_size"), F.max(F.struct(F.col(key).alias("k"), F.col("_row").alias("r"))).alias("_best"))
-    together = suspects.join(stored(groups, "exact-groups"), ["_sha", "_norm"])
-    out = lambda df, keep, n, kept: df.select(*carry, F.col("_sha").alias("text_sha256"), keep.alias("keep_id"), n.alias("group_size"), kept.alias("kept"))
-    return out(alone, F.col(key), F.lit(1).cast("long"), F.lit(True)).unionByName(
-        out(together, F.col("_best.k"), F.col("_size"), F.col("_row") == F.col("_best.r"))
+    alone = map_texts(rows, scan(False), with_fields(rows, names, sha="string"))
+    suspects = stored(map_texts(rows, scan(True), with_fields(rows, names, sha="string", n="long", norm="binary")), "exact-suspects")
+    groups = suspects.groupBy("sha", "norm").agg(F.count("*").alias("size"), F.max(F.struct(F.col("key").alias("k"), F.col("n").alias("r"))).alias("best"))
+    together = suspects.join(stored(groups, "exact-groups"), ["sha", "norm"])
+    own = [n for n in names if n != "key"]
+    out = lambda df, keep, n, kept: df.select(*own, F.col("sha").alias("text_sha256"), keep.alias("keep_id"), n.alias("group_size"), kept.alias("kept"))
+    return out(alone, F.col("key"), F.lit(1).cast("long"), F.lit(True)).unionByName(
+        out(together, F.col("best.k"), F.col("size"), F.col("n") == F.col("best.r"))
     )
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP8_SQL = """

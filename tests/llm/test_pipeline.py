@@ -55,13 +55,16 @@ def plain(rows):
 def test_exact(spark, tables):
     folder, docs = tables
     rows = exact.exact_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
-    own = rows_of(rows, "doc_id", "keep_id", "group_size", "text_sha256")
+    own = rows_of(rows.select("row.doc_id", "keep_id", "group_size", "text_sha256"), "doc_id", "keep_id", "group_size", "text_sha256")
     want = []
     for d, t in docs:
         group = [e for e, u in docs if (u or "").lower() == (t or "").lower()]
         want.append((d, max((g for g in group if g is not None), default=None), len(group), brute.sha((t or "").lower().encode())))
     assert own == plain(want)
     assert rows.filter("kept").count() == len({(t or "").lower() for _, t in docs})
+    keyed = [d for d in docs if d[0] is not None and docs.count(d) == 1]
+    got = exact.exact_duplicates(spark.createDataFrame(keyed, "doc_id long, text string"), most_bits=1 << 7)  # a filter that is full
+    assert rows_of(got.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256"), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == plain(brute.op8(keyed))
 
 
 def test_gaps_round_trip():
