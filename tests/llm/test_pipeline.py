@@ -284,3 +284,25 @@ def test_licences(spark):
     assert named == [["MIT"], [], [], [], ["Apache-2.0"], []]
     at = rows[4].findings[0]
     assert texts[4][at.start : at.end] == "Licensed under the Apache License, Version 2.0."
+    assert licences.scan(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).collect() == []
+
+
+def test_licence_model():
+    """Short forms, other licences, every paragraph against a plain scorer, and families never seen."""
+    model = licences.Model()
+    names = lambda x: [f["family"] for f in model.findings([x], 0.6, 0.8)[0]]
+    short = {"Distributed under the GNU GPL v3.": "GPL", "CC BY-SA 4.0": "CC-BY-SA", "Available under the Apache 2.0 terms.": "Apache-2.0", "All rights reserved.": "proprietary", "MIT License": "MIT"}
+    assert all(names(x) == [f] for x, f in short.items())
+    assert all(names(x) == ["unknown"] for x in ("Licensed under the EUPL 1.2.", "ISC License", "This file is in the public domain.", "Released under the Quux License."))
+    assert model.calibration_error < 0.05
+    r = random.Random(3)
+    words = [*model.words, "nie", "zero", "plum"]
+    texts = ["\n".join(" ".join(r.choice(words) for _ in range(r.randrange(0, 12))) for _ in range(r.randrange(0, 5))) for _ in range(60)] + [t for ts in licences.TEMPLATES.values() for t in ts]
+    units = [licences.units_of(t) for t in texts]
+    named, p = model._scores(texts, units)
+    flat = [t[a:b] for t, own in zip(texts, units, strict=True) for a, b in own]
+    want = model.probabilities(np.array([model.vector(t) for t in flat]))
+    assert np.allclose(p, want[named])
+    assert all(not model.vector(flat[i]).any() for i in set(range(len(flat))) - set(named.tolist()))
+    left = licences.Model(leave="MPL-2.0").findings(licences.TEMPLATES["MPL-2.0"], 0.6, 0.8)
+    assert {f["family"] for own in left for f in own} <= {"unknown"}
