@@ -229,6 +229,11 @@ def test_near_copies_by_five_words(spark):
                 w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
             docs.append((len(docs), " ".join(w)))
     docs += [(None, docs[0][1] + " "), (200, "a b"), (201, "A  b"), (202, "a c"), (203, ""), (204, None), (205, " \n")]
+    for k in range(150):  # a crowd on both sides of the threshold
+        w = [f"c{i}" for i in range(80)]
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(80)] = f"odd{r.randrange(10**6)}"
+        docs.append((1000 + k, " ".join(w)))
     want = brute.first_of_near_copies(docs)
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
     assert sorted(10**6 if k.doc_id is None else k.doc_id for k in kept) == want
@@ -259,6 +264,18 @@ def test_topk(spark):
     assert rows == sorted(want)
 
 
+def test_topk_keys_and_limits(spark):
+    """String keys, an empty table, and sizes that 64 bits cannot hold."""
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.5, 0.0]), (None, [2.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "name string, e array<double>"), "name", "e", "{key} = 'a'", k=3, sample=3, pivots=2, rings=2)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1, None, 2097152), ("a", 2, "b", 1048576), ("a", 3, "c", 524288)]
+    assert topk.top_k(spark.createDataFrame([], "name string, e array<double>"), "name", "e", "true").collect() == []
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([("a", [1e17])], "name string, e array<double>"), "name", "e", "true").collect()
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[4e12]]), np.array([4e12]))
+
+
 def test_kneser_ney(spark, tables):
     counts = {}
     for t in ("abracadabra", "abba", "barbara"):
