@@ -13,7 +13,8 @@ task. Scores are exact integers; bounds carry a margin above the rounding of dou
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; only vectors
 of equal length are compared; repeated rows are candidates of each other, a row never of itself;
-fewer candidates than k are all returned; an empty table gives no row.
+fewer candidates than k are all returned; keys may be numbers or strings, ties go to the smaller one,
+null last; an empty table gives no row; components or products beyond 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenlake.llm.common import stored
 
@@ -39,12 +41,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products as 64-bit integers; beyond double precision in Python's integers."""
+    """Inner products as 64-bit integers, by Python's integers beyond double precision; what does not fit is an error."""
     top = np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(1, vectors.shape[-1])
     if top < 2**53:
         return (vectors @ query).astype(np.int64)
     exact = vectors.astype(object) @ query.astype(object) if vectors.shape[-1] else np.zeros(len(vectors), dtype=object)
-    return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in exact], dtype=np.int64)
+    return np.array([int(x) for x in exact], dtype=np.int64)  # an OverflowError beyond 64 bits
 
 
 class Index:
@@ -84,13 +86,16 @@ class Index:
 def top_k(vectors: DataFrame, key: str, embedding: str, is_query: str, k: int = 10, scale: int = 1024, pivots: int = 32, rings: int = 8, sample: int = 2048, cell: int = 8192) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows that ``is_query`` selects."""
     spark = vectors.sparkSession
+    kind = vectors.schema[key].dataType
+    ddl, arrow = kind.simpleString(), to_arrow_type(kind)
     e = f"`{embedding}`"
+    fits = f"if(abs({scale}D * cast(x as double)) < 9.2e18D, cast(floor({scale}D * cast(x as double)) as bigint), cast(raise_error('a component does not fit in 64 bits') as bigint))"
     rows = vectors.filter(f"{e} is not null and forall({e}, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))").select(
-        F.col(key).cast("long").alias("id"),
-        F.expr(f"transform({e}, x -> cast(floor({scale}D * cast(x as double)) as bigint))").alias("v"),
+        F.col(key).alias("id"),
+        F.expr(f"transform({e}, x -> {fits})").alias("v"),
         F.expr(f"coalesce({is_query.format(key=f'`{key}`')}, false)").alias("asks"),
     )
-    rows = rows.mapInArrow(_pack, "id long, v binary, asks boolean, dim int, norm double").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(_pack, f"id {ddl}, v binary, asks boolean, dim int, norm double").withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "topk-rows")
     largest = {r["dim"]: r["m"] for r in rows.groupBy("dim").agg(F.max("norm").alias("m")).collect()}
     picked = rows.orderBy(F.xxhash64("row"), "row").limit(sample).select("row", "dim", "v").collect()
@@ -116,7 +121,7 @@ def top_k(vectors: DataFrame, key: str, embedding: str, is_query: str, k: int =
                     names=["row", "id", "v", "asks", "dim", "pivot", "ring", "dist"],
                 )
 
-    placed = stored(rows.mapInArrow(place, "row long, id long, v binary, asks boolean, dim int, pivot long, ring long, dist double"), "topk-placed")
+    placed = stored(rows.mapInArrow(place, f"row long, id {ddl}, v binary, asks boolean, dim int, pivot long, ring long, dist double"), "topk-placed")
     # one row for each annulus: pivots times rings at most
     stats = [tuple(r) for r in placed.groupBy("dim", "pivot", "ring").agg(F.min("dist"), F.max("dist"), F.count("*")).orderBy("dim", "pivot", "ring").collect()]
     cells: dict[int, list] = {}
@@ -137,7 +142,7 @@ def top_k(vectors: DataFrame, key: str, embedding: str, is_query: str, k: int =
                     floor = np.full(len(q), -np.inf)
                     if len(own) > k:
                         for i in range(len(q)):
-                            s = products(index.sample, q[i])[np.array(own) != rid[i]]
+                            s = products(index.sample[np.array(own) != rid[i]], q[i])
                             floor[i] = np.partition(s, len(s) - k)[len(s) - k]
                     norm = (q**2).sum(axis=1)
                     d = index.distances(np.hstack([q, np.zeros((len(q), 1))]))
@@ -151,11 +156,11 @@ def top_k(vectors: DataFrame, key: str, embedding: str, is_query: str, k: int =
                             for p in range(parts):
                                 out.append((number, p, payload.column("row").to_pylist(), payload.column("id").to_pylist(), b"".join(payload.column("v").to_pylist()), d[ask, pivot].tolist(), floor[ask].tolist(), index.largest))
                     if out:
-                        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64())
+                        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(arrow), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["cell", "part", "rows", "ids", "vs", "dists", "floors", "largest"])
 
-    asked = placed.filter("asks").select("row", "id", "v", "dim").mapInArrow(route, "cell long, part long, rows array<long>, ids array<long>, vs binary, dists array<double>, floors array<double>, largest double")
-    found = dealt.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(_search(k), "query_row long, query_id long, vec_id long, score long")
+    asked = placed.filter("asks").select("row", "id", "v", "dim").mapInArrow(route, f"cell long, part long, rows array<long>, ids array<{ddl}>, vs binary, dists array<double>, floors array<double>, largest double")
+    found = dealt.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(_search(k, arrow), f"query_row long, query_id {ddl}, vec_id {ddl}, score long")
     order = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -169,12 +174,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _search(k: int, step: int = 512):
+def _search(k: int, arrow: pa.DataType, step: int = 512):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             left = left.sort_by("dist").combine_chunks()
-            dist, rows, ids = (left.column(c).to_numpy() for c in ("dist", "row", "id"))
+            dist, rows = (left.column(c).to_numpy() for c in ("dist", "row"))
+            ids = np.array(left.column("id").to_pylist(), dtype=object)
             v = _matrix(left.column("v").combine_chunks())
             for block in right.to_pylist():
                 qs = np.frombuffer(block["vs"], "<i8").reshape(len(block["rows"]), -1).astype(np.float64)
@@ -182,7 +188,8 @@ def _search(k: int, step: int = 512):
                     for s, i in _expand(v, dist, rows, ids, q, row, dq, floor, block["largest"], k, step):
                         out.append((row, id_, i, s))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
+        kinds = (pa.int64(), arrow, arrow, pa.int64())
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -203,10 +210,11 @@ def _expand(v, dist, rows, ids, q, row, dq, floor, largest, k, step) -> list[tup
         else:
             a, b = high, min(len(dist), high + step)
             high = b
-        scores = products(v[a:b], q)
-        keep = np.flatnonzero((scores >= floor) & (rows[a:b] != row))
+        others = a + np.flatnonzero(rows[a:b] != row)
+        scores = products(v[others], q)
+        keep = np.flatnonzero(scores >= floor)
         if len(keep):
-            best += zip(scores[keep].tolist(), ids[a:b][keep].tolist(), strict=True)
+            best += zip(scores[keep].tolist(), ids[others[keep]].tolist(), strict=True)
             best.sort(key=lambda x: (-x[0], x[1] is None, x[1]))
             del best[k:]
             if len(best) == k:
