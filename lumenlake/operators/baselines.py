@@ -58,3 +58,60 @@ def bootstrap(rows: DataFrame, key: str, value: str, stratum: str, samples: int,
     means = sums.join(shares, stratum).filter("_n > 0").groupBy("_b").agg((F.sum(F.col("_m") * F.col("_x") / F.col("_n")) / F.sum("_m")).alias("_mean"))
     ends = means.agg(F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).select(F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
     return rows.agg(F.avg(value).alias("estimate")).crossJoin(ends)  # one row each
+
+
+def session_features(units: DataFrame, observations: DataFrame) -> DataFrame:
+    """Long features (session_id, feature, value) of units and their measurements: length, units, the share of each
+    availability, and eight statistics and the slope over time of every quality and measurement."""
+    from lumenlake.operators.features import session_stats
+
+    mid = F.col("start_sec")
+    length = units.groupBy("session_id").agg(F.max("start_sec").alias("value")).select("session_id", F.lit("session.duration_seconds").alias("feature"), "value")
+    n = units.groupBy("session_id", "modality").agg(F.count("*").cast("double").alias("unit_count"), *[F.avg((F.col("availability") == s).cast("double")).alias(f"availability.{s}_fraction") for s in ("present", "partial", "unavailable")])
+    names = [c for c in n.columns if c not in ("session_id", "modality")]
+    shares = n.select("session_id", "modality", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"`{c}`").alias("value")) for c in names])).alias("x")).select("session_id", F.concat_ws(".", "modality", "x.f").alias("feature"), "x.value")
+    quality = units.select("session_id", F.concat("modality", F.lit(".quality.valid_ratio")).alias("name"), mid.alias("t_sec"), F.col("valid_ratio").alias("value"))
+    told = units.select("unit_id", "session_id", "modality", mid.alias("t_sec")).join(observations.select("unit_id", F.col("name").alias("_n"), "value"), "unit_id").select("session_id", F.concat("modality", F.lit(".observation."), "_n").alias("name"), "t_sec", "value")
+    stats = session_stats(quality.unionByName(told), ["session_id", "name"])
+    cells = [F.struct(F.lit(f).alias("f"), F.col(c).cast("double").alias("value")) for f, c in {"count": "n", "mean": "mean", "std": "std", "median": "median", "q10": "q10", "q90": "q90", "min": "lowest", "max": "highest", "slope": "slope"}.items()]
+    long = stats.select("session_id", "name", F.explode(F.array(*cells)).alias("x")).select("session_id", F.concat_ws(".", "name", "x.f").alias("feature"), "x.value")
+    return length.unionByName(shares).unionByName(long)
+
+
+def feature_matrix(features: DataFrame, train: DataFrame, most: int = 2000) -> DataFrame:
+    """Wide rows of the features that some training session has, by name; others are dropped, missing cells are null.
+
+    The names are the schema, so they come to the driver: at most ``most``, more is an error.
+    """
+    names = [r[0] for r in features.join(train, "session_id", "left_semi").select("feature").distinct().orderBy("feature").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} features")
+    return features.groupBy("session_id").pivot("feature", names).agg(F.first("value"))
+
+
+def class_weights(rows: DataFrame, label: str) -> DataFrame:
+    """Adds ``weight``: rows / (2 * rows of the class)."""
+    n = rows.groupBy(label).agg(F.count("*").alias("_m"))
+    total = n.agg(F.sum("_m").alias("_n"))
+    return rows.join(F.broadcast(n.crossJoin(F.broadcast(total))), label).withColumn("weight", F.col("_n") / (2 * F.col("_m"))).drop("_m", "_n")  # two classes
+
+
+def out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str, folds: int, penalty: float) -> DataFrame:
+    """``session_id, label, probability, fold, prediction_origin`` of a class-balanced logistic regression that never sees the
+    fold it predicts. ``rows`` should be stored: each fit reads it a few times."""
+    from lumenlake.operators.policy import fit_logistic
+
+    out = None
+    for k in range(folds):  # a few fits
+        w, b = fit_logistic(class_weights(rows.filter(F.col(fold) != k), label), features, label, penalty, weight="weight")
+        z = F.lit(float(b))
+        for c, x in zip(features, w, strict=True):
+            z = z + F.col(c) * F.lit(float(x))
+        own = rows.filter(F.col(fold) == k).select("session_id", F.col(label).alias("label"), (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("probability"), F.lit(k).alias("fold"), F.lit("participant_out_of_fold").alias("prediction_origin"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def by_view(predictions: DataFrame) -> DataFrame:
+    """``session_id, views``: each session's probabilities as a map from view."""
+    return predictions.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("view", "probability")))).alias("views"))  # a few views

@@ -56,8 +56,8 @@ def risk_threshold(risks: DataFrame, rate: float) -> DataFrame:
     return n.crossJoin(found).select(F.when(F.col("k") <= 0, F.lit(1.0)).otherwise(F.col("t")).alias("threshold"))
 
 
-def fit_logistic(rows: DataFrame, features: list[str], label: str, penalty: float, rounds: int = 50, tolerance: float = 1e-10) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression by Newton steps; the intercept is free.
+def fit_logistic(rows: DataFrame, features: list[str], label: str, penalty: float, rounds: int = 50, tolerance: float = 1e-10, weight: str = "1D") -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression by Newton steps; the intercept is free, rows may have a weight.
 
     Every step is one aggregation of the gradient and the curvature, a row of fixed size.
     """
@@ -67,7 +67,7 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, penalty: floa
     for _ in range(rounds):
         z = " + ".join(f"({float(c)!r}D) * {x}" for c, x in zip(w, names, strict=True))
         p = f"(1 / (1 + exp(-greatest(-30D, least(30D, {z})))))"
-        scored = rows.select(*features, F.expr(f"{p} - {label}").alias("_e"), F.expr(f"{p} * (1 - {p})").alias("_c"))
+        scored = rows.select(*features, F.expr(f"{weight} * ({p} - {label})").alias("_e"), F.expr(f"{weight} * {p} * (1 - {p})").alias("_c"))
         sums = [F.expr(f"sum(_e * {a})") for a in names] + [F.expr(f"sum(_c * {a} * {b})") for i, a in enumerate(names) for b in names[i:]]
         got = np.array([x or 0.0 for x in scored.agg(*sums).first()])
         gradient, curve = got[:k], np.zeros((k, k))
