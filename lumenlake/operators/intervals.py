@@ -52,11 +52,9 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, width: float) -
     at = F.floor(F.col("r_start") / width)
     ranges = ranges.withColumn("bucket", F.explode(F.sequence(at, F.greatest(at, F.ceil(F.col("r_end") / width) - 1))))
     dealt = points.withColumn("bucket", F.floor(F.col("t_sec") / width))
-    p, r = dealt.alias("p"), ranges.alias("r")
-    hit = p.join(r, (F.col("p.session_id") == F.col("r.session_id")) & (F.col("p.bucket") == F.col("r.bucket")) & (F.col("t_sec") >= F.col("r_start")) & (F.col("t_sec") < F.col("r_end")), "left_semi")
-    return hit.withColumn("inside", F.lit(True)).unionByName(
-        p.join(r, (F.col("p.session_id") == F.col("r.session_id")) & (F.col("p.bucket") == F.col("r.bucket")) & (F.col("t_sec") >= F.col("r_start")) & (F.col("t_sec") < F.col("r_end")), "left_anti").withColumn("inside", F.lit(False))
-    ).drop("bucket")
+    near = ranges.groupBy("session_id", "bucket").agg(F.collect_list(F.struct("r_start", "r_end")).alias("_ranges"))  # those of one bucket
+    hit = F.exists("_ranges", lambda r: (F.col("t_sec") >= r["r_start"]) & (F.col("t_sec") < r["r_end"]))
+    return dealt.join(near, ["session_id", "bucket"], "left").withColumn("inside", F.coalesce(hit, F.lit(False))).drop("bucket", "_ranges")
 
 
 def align_by_midpoint(utterances: DataFrame, ranges: DataFrame, width: float) -> DataFrame:

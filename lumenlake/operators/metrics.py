@@ -1,10 +1,13 @@
-"""Scores of binary predictions. Rankings aggregate by distinct score before any running sum."""
+"""Scores of binary predictions. Rankings aggregate by distinct score before any running sum,
+and sums run within buckets of scores, so that no task has a whole ranking."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.operators.quantiles import prefix_sums
+
 
 def confusion(predictions: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Counts at a threshold and the rates they give; an empty denominator gives 0."""
@@ -33,23 +36,23 @@ def _by_score(predictions: DataFrame, keys: list[str]) -> DataFrame:
 
 def auc(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs won plus half the ties, over all pairs; null with one class."""
-    w = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _by_score(predictions, keys).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    rows = prefix_sums(_by_score(predictions, keys), keys, "p", [F.col("p")], ["neg"])
     total = F.sum("pos") * F.sum("neg")
-    return rows.groupBy(*keys).agg(F.when(total > 0, F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / total).alias("auc"))
+    return rows.groupBy(*keys).agg(F.when(total > 0, F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / total).alias("auc"))
 
 
 def average_precision(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Steps of recall times precision at each distinct score; null without positives."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _by_score(predictions, keys).withColumns({"tp": F.sum("pos").over(w), "seen": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    rows = prefix_sums(_by_score(predictions, keys), keys, "p", [F.desc("p")], ["pos", "neg"], descending=True)
+    tp = F.col("pos_before") + F.col("pos")
+    rows = rows.withColumns({"tp": tp, "seen": tp + F.col("neg_before") + F.col("neg")})
     return rows.groupBy(*keys).agg(F.when(F.sum("pos") > 0, F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")).alias("average_precision"))
 
 
 def average_precision_ranked(predictions: DataFrame, keys: list[str], index: str) -> DataFrame:
     """The same with ties broken by row index."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("p"), index)
-    rows = predictions.withColumns({"rank": F.row_number().over(order), "tp": F.sum("y").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = prefix_sums(predictions.withColumn("_one", F.lit(1)), keys, "p", [F.desc("p"), F.col(index)], ["y", "_one"], descending=True)
+    rows = rows.withColumns({"rank": F.col("_one_before") + 1, "tp": F.col("y_before") + F.col("y")})
     return rows.groupBy(*keys).agg(F.when(F.sum("y") > 0, F.sum(F.col("y") * F.col("tp") / F.col("rank")) / F.sum("y")).alias("average_precision"))
 
 
@@ -60,13 +63,8 @@ def best_threshold(predictions: DataFrame, keys: list[str]) -> DataFrame:
     midpoint or 0.5 classifies as the next score above it does.
     """
     scores = _by_score(predictions, keys)
-    up = Window.partitionBy(*keys).orderBy("p")
     total = scores.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    below = scores.withColumns({
-        "pos_below": F.coalesce(F.sum("pos").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "neg_below": F.coalesce(F.sum("neg").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "last": F.lag("p").over(up),
-    })
+    below = prefix_sums(scores, keys, "p", [F.col("p")], ["pos", "neg"]).select(*keys, "p", F.col("pos_before").alias("pos_below"), F.col("neg_before").alias("neg_below"), F.col("last_by").alias("last"))
     own = below.select(*keys, F.explode(F.array("p", (F.col("p") + F.col("last")) / 2)).alias("threshold"), "pos_below", "neg_below").filter("threshold is not null")
     half = scores.groupBy(*keys).agg(
         F.lit(0.5).alias("threshold"), F.sum(F.when(F.col("p") < 0.5, F.col("pos")).otherwise(0)).alias("pos_below"), F.sum(F.when(F.col("p") < 0.5, F.col("neg")).otherwise(0)).alias("neg_below")
@@ -85,8 +83,8 @@ def transition(y: Column, before: Column, after: Column, referred: Column) -> Co
 
 def selective(predictions: DataFrame, keys: list[str], index: str, limit: float) -> DataFrame:
     """The largest share, most confident first, whose miss rate stays within ``limit``."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("confidence"), index).rowsBetween(Window.unboundedPreceding, 0)
-    miss = F.sum(((F.col("y") == 1) & (F.col("p") < 0.5)).cast("int")).over(order)
-    pos = F.sum((F.col("y") == 1).cast("int")).over(order)
-    rows = predictions.withColumns({"n": F.count("*").over(order), "fnr": F.when(pos > 0, miss / pos), "all": F.count("*").over(Window.partitionBy(*keys))})
-    return rows.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("fnr") <= limit + 1e-12, F.col("n"))) / F.max("all"), F.lit(0.0)).alias("coverage"))
+    own = predictions.withColumns({"_miss": ((F.col("y") == 1) & (F.col("p") < 0.5)).cast("int"), "_pos": (F.col("y") == 1).cast("int"), "_one": F.lit(1)})
+    rows = prefix_sums(own, keys, "confidence", [F.desc("confidence"), F.col(index)], ["_miss", "_pos", "_one"], descending=True)
+    pos = F.col("_pos_before") + F.col("_pos")
+    rows = rows.withColumns({"n": F.col("_one_before") + 1, "fnr": F.when(pos > 0, (F.col("_miss_before") + F.col("_miss")) / pos)})
+    return rows.groupBy(*keys).agg((F.coalesce(F.max(F.when(F.col("fnr") <= limit + 1e-12, F.col("n"))), F.lit(0)) / F.count("*")).alias("coverage"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +31,16 @@ def round_robin(rows: DataFrame, stratum: str, order: list, limit: int) -> DataF
 
 
 def balanced_epoch(rows: DataFrame, stratum: str, order: list) -> DataFrame:
-    """Repeats rows so that every stratum has as many as the largest; ``copy`` counts from 0."""
+    """Repeats rows so that every stratum has as many as the largest; ``copy`` counts from 0. Which rows of a stratum get
+    one copy more goes by ``order``, ranked within 1,024 hash buckets of it and these in turn."""
     counts = rows.groupBy(stratum).agg(F.count("*").alias("_m"))
     most = counts.groupBy().agg(F.max("_m").alias("_most"))
-    n = F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) - 1
-    all_ = rows.withColumn("_n", n).join(counts, stratum).crossJoin(F.broadcast(most))
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(1024)))
+    sizes = dealt.groupBy(stratum, "_b").agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy(*order)) - 1
+    ranked = dealt.withColumn("_n", within).join(sizes.withColumn("_before", before), [stratum, "_b"]).withColumn("_n", F.col("_n") + F.col("_before")).drop("_b", "_k", "_before")
+    all_ = ranked.join(counts, stratum).crossJoin(F.broadcast(most))
     copies = F.floor((F.col("_most") - F.col("_n") - 1) / F.col("_m"))
     return all_.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies))).drop("_n", "_m", "_most")
 
@@ -51,22 +60,34 @@ def overlapping_splits(rows: DataFrame, key: str, split: str) -> DataFrame:
 def chain(events: DataFrame) -> DataFrame:
     """Sequence, previous hash and own hash of each run's ``payload`` rows (run_id, order_key, payload).
 
-    Entry n's hash covers its sequence, payload and the previous hash: a fold over the run.
+    Entry n's hash covers its sequence, payload and the previous hash, so a run is folded in order:
+    rows stream through their partition, sorted, and only the last hash is kept.
     """
-    runs = events.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("order_key", "payload"))).alias("e"))
-    folded = F.expr(
-        """aggregate(e, named_struct('last', repeat('0', 64), 'out', cast(array() as array<struct<sequence:int,payload:string,previous:string,entry:string>>)),
-        (a, x) -> named_struct('last', sha2(concat(size(a.out), '|', x.payload, '|', a.last), 256), 'out', concat(a.out, array(named_struct(
-            'sequence', size(a.out), 'payload', x.payload, 'previous', a.last, 'entry', sha2(concat(size(a.out), '|', x.payload, '|', a.last), 256))))), a -> a.out)"""
-    )
-    return runs.select("run_id", F.explode(folded).alias("x")).select("run_id", "x.*")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, n, last, started = None, 0, "", False
+        for batch in batches:
+            runs, payloads = batch.column("run_id").to_pylist(), batch.column("payload").to_pylist()
+            at, before, own = [], [], []
+            for r, payload in zip(runs, payloads, strict=True):
+                if not started or r != run:
+                    run, n, last, started = r, 0, "0" * 64, True
+                at.append(n)
+                before.append(last)
+                last = hashlib.sha256(f"{n}|{payload or ''}|{last}".encode()).hexdigest()
+                own.append(last)
+                n += 1
+            yield pa.RecordBatch.from_arrays([batch.column("run_id"), pa.array(at, pa.int32()), batch.column("payload"), pa.array(before, pa.string()), pa.array(own, pa.string())], names=["run_id", "sequence", "payload", "previous", "entry"])
+
+    ordered = events.select("run_id", "order_key", "payload").repartition("run_id").sortWithinPartitions("run_id", "order_key")
+    return ordered.mapInArrow(fold, f"run_id {events.schema['run_id'].dataType.simpleString()}, sequence int, payload string, previous string, entry string")
 
 
 def chain_violations(ledger: DataFrame) -> DataFrame:
     """Entries whose sequence, previous hash or own hash does not follow."""
     w = Window.partitionBy("run_id").orderBy("sequence")
     rows = ledger.withColumns({"_last": F.coalesce(F.lag("entry").over(w), F.repeat(F.lit("0"), 64)), "_n": F.row_number().over(w) - 1})
-    own = F.sha2(F.concat(F.col("sequence").cast("string"), F.lit("|"), "payload", F.lit("|"), "previous"), 256)
+    own = F.sha2(F.concat(F.col("sequence").cast("string"), F.lit("|"), F.coalesce("payload", F.lit("")), F.lit("|"), "previous"), 256)
     return rows.filter((F.col("sequence") != F.col("_n")) | (F.col("previous") != F.col("_last")) | (F.col("entry") != own)).drop("_last", "_n")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.operators.quantiles import PLAIN, exact_quantiles, largest_group
+
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 TINY = 1e-12
 
@@ -14,10 +16,15 @@ def robust_scale(mad: Column, iqr: Column, std: Column) -> Column:
     return F.when(1.4826 * mad > TINY, 1.4826 * mad).when(iqr / 1.349 > TINY, iqr / 1.349).when(std > TINY, std).otherwise(F.lit(0.0))
 
 
-def fit(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """``n, median, mad, scale, knots`` of the finite values for each key."""
+def fit(values: DataFrame, keys: list[str], value: str = "value", bucketed: bool | None = None) -> DataFrame:
+    """``n, median, mad, scale, knots`` of the finite values for each key.
+
+    Up to ``PLAIN`` values of a key are ranked by one aggregate, more by bucket counts; both are exact.
+    """
     v = F.col(value)
     finite = values.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    if bucketed if bucketed is not None else largest_group(finite, keys) > PLAIN:
+        return _fit_by_buckets(finite, keys, value)
     basic = finite.groupBy(*keys).agg(
         F.count("*").alias("n"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.percentile(v, F.array(*map(F.lit, QUANTILES))).alias("knots")
     )
@@ -26,6 +33,15 @@ def fit(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return basic.join(spread, keys).withColumn("scale", robust_scale(F.col("mad"), iqr, F.col("std"))).drop("std")
 
 
+def _fit_by_buckets(finite: DataFrame, keys: list[str], value: str) -> DataFrame:
+    std = finite.groupBy(*keys).agg(F.stddev_pop(value).alias("std"))
+    basic = exact_quantiles(finite, keys, value, list(QUANTILES)).withColumnRenamed("q", "knots").join(std, keys).withColumn("median", F.element_at("knots", 4))
+    apart = finite.join(F.broadcast(basic.select(*keys, "median")), keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))  # one row a key that has over PLAIN values
+    mad = exact_quantiles(apart, keys, "_d", [0.5]).select(*keys, F.col("q")[0].alias("mad"))
+    iqr = F.element_at("knots", 5) - F.element_at("knots", 3)
+    return basic.join(mad, keys).withColumn("scale", robust_scale(F.col("mad"), iqr, F.col("std"))).drop("std")
+
+
 def percentile_of(value: str, knots: str) -> Column:
     """Piecewise-linear percentile through the knots; equal knots share their mean, ends clamp."""
     p = ", ".join(f"{q * 100:g}D" for q in QUANTILES)
@@ -60,6 +76,6 @@ def enrich(values: DataFrame, reference: DataFrame, keys: list[str]) -> DataFram
 
 def subject_z(values: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the robust z within ``keys``; null under three values or without spread."""
-    own = fit(values, keys).select(*keys, "n", "median", "scale")
+    own = fit(values, keys, bucketed=False).select(*keys, "n", "median", "scale")  # one session's values
     z = F.when((F.col("n") >= 3) & (F.col("scale") > 0), (F.col("value") - F.col("median")) / F.col("scale"))
     return values.join(own, keys, "left").withColumn("subject_z", z).drop("n", "median", "scale")

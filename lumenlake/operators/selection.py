@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.operators.quantiles import prefix_sums
+
 
 def hash_rank(rows: DataFrame, stratum: str, key: str, seed: int, digits: int = 3) -> DataFrame:
     """Adds ``place``, from 0: the row's rank in its stratum by sha256(seed:key).
@@ -32,13 +34,16 @@ def balanced_subset(rows: DataFrame, label: str, key: str, per_class: int, seed:
 def lowest_quota(rows: DataFrame, value: str, key: str, share: float) -> DataFrame:
     """The max(1, round(share * n)) rows of smallest (value, key).
 
-    The cut comes from counts of distinct values; only rows at the cut itself are ranked.
+    The cut comes from running counts of distinct values, kept by bucket of their range; only rows at
+    the cut itself are ranked.
     """
-    counts = rows.groupBy(value).agg(F.count("*").alias("_m"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    counts = rows.groupBy(value).agg(F.count("*").alias("_m")).crossJoin(F.broadcast(ends))  # one row
+    counts = counts.withColumn("_u", F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))).drop("_lo", "_hi")
+    counts = prefix_sums(counts, [], "_u", [F.col(value)], ["_m"]).withColumnRenamed("_m_before", "_before")
     quota = F.greatest(F.lit(1), F.bround(F.col("_all") * share).cast("long"))
     total = rows.groupBy().agg(F.count("*").alias("_all")).select(quota.alias("_k"))
-    cut = counts.withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0))).crossJoin(F.broadcast(total))
+    cut = counts.crossJoin(F.broadcast(total))
     cut = cut.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_m") >= F.col("_k"))).select(F.col(value).alias("_cut"), (F.col("_k") - F.col("_before")).alias("_room"))
     marked = rows.crossJoin(F.broadcast(cut))  # one row
     at = marked.filter(F.col(value) == F.col("_cut"))
@@ -70,7 +75,13 @@ def spread(rows: DataFrame, group: str, order: str, places) -> DataFrame:
 
 
 def id_range(ids: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``a to b`` for consecutive ids, else the ids, comma-separated."""
+    """How a group's ids are told: ``a to b`` for consecutive E-ids, up to four others one by one, and else the ends
+    with their number; ``none`` for none."""
+    own = ids.filter(F.col(name).isNotNull()).select(*keys, name).distinct()
     n = F.regexp_extract(name, r"(\d+)$", 1).cast("long")
-    run = (F.max(n) - F.min(n) + 1 == F.countDistinct(name)) & (F.countDistinct(name) > 1)
-    return ids.groupBy(*keys).agg(F.when(run, F.concat(F.min_by(name, n), F.lit(" to "), F.max_by(name, n))).otherwise(F.array_join(F.array_sort(F.collect_set(name)), ", ")).alias("label"))
+    c = own.groupBy(*keys).agg(F.count("*").alias("_c"), F.min_by(name, n).alias("_a"), F.max_by(name, n).alias("_b"), (F.max(n) - F.min(n) + 1).alias("_w"), F.bool_and(F.col(name).rlike("^E[0-9]+$")).alias("_e"))
+    ordered = Window.partitionBy(*keys).orderBy(n, name)
+    few = own.withColumn("_n", F.row_number().over(ordered)).filter("_n <= 4").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", name))), lambda x: x[name]), ", ").alias("_l"))
+    span = F.concat("_a", F.lit(" to "), "_b")
+    label = F.when(F.col("_c").isNull(), "none").when(F.col("_e") & (F.col("_c") == 1), F.col("_a")).when(F.col("_e") & (F.col("_w") == F.col("_c")), span).when(~F.col("_e") & (F.col("_c") <= 4), F.col("_l")).otherwise(F.concat(span, F.lit(" ("), F.col("_c").cast("string"), F.lit(" refs; exact list in segment plan)")))
+    return ids.select(*keys).distinct().join(c, keys, "left").join(few, keys, "left").select(*keys, label.alias("label"))

@@ -60,8 +60,8 @@ def in_window(spark, d):
 def w2(spark, d):
     """W2 with A1: samples to windows, then median and interquartile range."""
     return in_window(spark, d).groupBy("session_id", "source_id", "window_index").agg(
-        F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median"), F.round(features.iqr(F.col("value")), 6).alias("iqr")
-    )
+        F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    ).select("session_id", "source_id", "window_index", "n", F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"))
 
 
 @query("w4_sampling_rate", """WITH s AS (SELECT session_id, source_id, t_sec, t_sec - lag(t_sec) OVER (PARTITION BY session_id, source_id ORDER BY t_sec) AS step FROM signals)
@@ -431,10 +431,13 @@ def d12r(spark, d):
     return records.round_robin(v.table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 50).withColumn("turn", F.col("turn").cast("long"))
 
 
-@query("d13r_balanced_epoch", """WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS m FROM documents), x AS (SELECT max(m) AS most FROM n)
-  SELECT doc_id, lang, c AS copy FROM n, x, range(0, 1000) r(c) WHERE i + c * m < most""")
+@query("d13r_balanced_epoch", """WITH n AS (SELECT lang, count(*) AS m FROM documents GROUP BY 1), x AS (SELECT max(m) AS most FROM n)
+  SELECT lang, most AS rows, m AS documents, (most // m)::BIGINT AS fewest, ((most + m - 1) // m)::BIGINT AS most_copies FROM n, x""")
 def d13r(spark, d):
-    return records.balanced_epoch(v.table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"]).select("doc_id", "lang", "copy")
+    """Every language gets as many rows as the largest, its documents as evenly as can be."""
+    rows = records.balanced_epoch(v.table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"])
+    each = rows.groupBy("lang", "doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"))
+    return each.filter("last = n - 1").groupBy("lang").agg(F.sum("n").alias("rows"), F.count("*").alias("documents"), F.min("n").alias("fewest"), F.max("n").alias("most_copies"))
 
 
 @query("j10_cohort_check", """WITH b AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1), a AS (SELECT doc_id, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
@@ -454,9 +457,11 @@ def l1(spark, d):
     return records.chain(e)
 
 
-@query("l1_chain_violations", "SELECT user_id AS run_id, 0 AS violations FROM events GROUP BY 1")
+@query("l1_chain_violations", "SELECT user_id AS run_id, CASE WHEN user_id % 4 = 0 AND count(*) > 1 THEN 1 WHEN user_id % 4 = 1 AND count(*) > 2 THEN least(count(*) - 2, 2)::INTEGER ELSE 0 END AS violations FROM events GROUP BY 1")
 def l1_violations(spark, d):
-    ledger = l1(spark, d)
+    """A ledger in which some payloads were changed, and some entries left out: what follows a gap has another sequence and predecessor."""
+    ledger = l1(spark, d).filter("not (run_id % 4 = 1 and (sequence = 1 or sequence > 3))")
+    ledger = ledger.withColumn("payload", F.expr("if(run_id % 4 = 0 and sequence = 1, 'changed', payload)"))
     bad = records.chain_violations(ledger).groupBy("run_id").agg(F.count("*").alias("n"))
     return ledger.select("run_id").distinct().join(bad, "run_id", "left").select("run_id", F.coalesce("n", F.lit(0)).cast("int").alias("violations"))
 

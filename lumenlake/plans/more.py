@@ -97,7 +97,7 @@ def p6(spark, d):
 
 
 @query("g13_short_ids", """WITH n AS (SELECT run_id, min(n) AS a, max(n) AS b, count(*) AS c, string_agg(id, ', ' ORDER BY id) AS l FROM (SELECT DISTINCT session_id AS run_id, utterance_id + (utterance_id > 3)::INT * (session_id % 2) AS n, printf('E%04d', utterance_id + (utterance_id > 3)::INT * (session_id % 2)) AS id FROM utterances) GROUP BY 1)
-  SELECT run_id, CASE WHEN c > 1 AND b - a + 1 = c THEN printf('E%04d to E%04d', a, b) ELSE l END AS label FROM n""", "utterances")
+  SELECT run_id, CASE WHEN c = 1 THEN l WHEN b - a + 1 = c THEN printf('E%04d to E%04d', a, b) ELSE printf('E%04d to E%04d (%d refs; exact list in segment plan)', a, b, c) END AS label FROM n""", "utterances")
 def g13(spark, d):
     u = v.utterances(spark, d)
     n = F.expr("cast(utterance_id + if(utterance_id > 3, session_id % 2, 0) as int)")

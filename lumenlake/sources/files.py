@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; fails on a blank or malformed line."""
+    """JSON lines; fails on a blank or malformed line, and where there is none at all."""
     lines = spark.read.text(path)
+    if lines.isEmpty():
+        raise ValueError(f"{path} is empty")
     parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.expr("try_parse_json(value)").alias("j"))
     ok = F.expr("trim(value) <> '' and j is not null and schema_of_variant(j) like 'OBJECT%'")
     return parsed.select(F.when(ok, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))).alias("r")).select("r.*")
@@ -41,10 +43,12 @@ def read_arrays(spark: SparkSession, path: str, width: int) -> DataFrame:
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated transcripts with start_time, stop_time, speaker and value; bad rows are skipped.
 
-    Scrubbed rows keep their times and lose their text.
+    Scrubbed rows keep their times and lose their text. A file without these columns has no rows.
     """
     raw = spark.read.option("sep", "\t").option("header", True).csv(path)
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
+    if not {"start_time", "stop_time", "speaker", "value"} <= set(raw.columns):
+        return spark.createDataFrame([], "start_sec double, end_sec double, text string, privacy_scrubbed boolean, speaker_role string")
     text = F.trim("value")
     rows = raw.select(
         F.expr("try_cast(start_time as double)").alias("start_sec"), F.expr("try_cast(stop_time as double)").alias("end_sec"),
@@ -65,7 +69,11 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest_digest(files: DataFrame) -> str:
-    """One digest of a folder's manifest, in order of path."""
+    """One digest of a folder's manifest: of the lines of each folder in order of path, then of the folders' digests.
+
+    No task joins more than the files of one folder, or one digest for each folder.
+    """
     line = F.concat("path", F.lit("\x00"), F.col("size").cast("string"), F.lit("\x00"), "sha256", F.lit("\n"))
-    rows = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
-    return files.agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), ""), 256)).first()[0]
+    joined = lambda at, x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, x.alias("_x")))), lambda r: r["_x"]), ""), 256)
+    each = files.groupBy(F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("folder")).agg(joined("path", line).alias("digest"))
+    return each.agg(joined("folder", F.concat("folder", F.lit("\x00"), "digest", F.lit("\n")))).first()[0]
