@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import text_slices
@@ -118,16 +118,11 @@ def format_conversations(turns: DataFrame, run: int = 64) -> DataFrame:
     runs = dealt.select("conv_id", "run", "role", "text").mapInArrow(
         _runs, f"conv_id {kind}, run long, seq long, turns long, formatted string, loss_from array<long>, loss_till array<long>"
     )
-    whole = runs.groupBy("conv_id").agg(
-        F.sum("turns").alias("n_turns"),
-        F.expr("array_sort(collect_list(named_struct('run', coalesce(run, -9223372036854775808), 'seq', seq, 'formatted', formatted, 'loss_from', loss_from, 'loss_till', loss_till)))").alias("runs"),
-    )
-    shifted = F.expr(
-        """aggregate(runs, named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint>>)),
-        (a, r) -> named_struct('at', a.at + length(r.formatted), 'out', concat(a.out,
-            transform(r.loss_from, (x, i) -> named_struct('start', a.at + x, 'end', a.at + r.loss_till[i])))), a -> a.out)"""
-    )
-    return whole.select("conv_id", "n_turns", F.expr("array_join(transform(runs, r -> r.formatted), '')").alias("formatted"), shifted.alias("loss"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("run").asc_nulls_first(), "seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("at", F.coalesce(F.sum(F.length("formatted")).over(order), F.lit(0)))
+    placed = placed.withColumn("loss", F.expr("transform(loss_from, (x, i) -> named_struct('start', at + x, 'end', at + loss_till[i]))"))
+    whole = placed.groupBy("conv_id").agg(F.sum("turns").alias("n_turns"), F.expr("array_sort(collect_list(named_struct('at', at, 'seq', seq, 'formatted', formatted, 'loss', loss)))").alias("runs"))
+    return whole.select("conv_id", "n_turns", F.expr("array_join(transform(runs, r -> r.formatted), '')").alias("formatted"), F.expr("flatten(transform(runs, r -> r.loss))").alias("loss"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,13 +21,18 @@ _written: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A local folder of our own stands in only where the setting is absent, as in tests.
+    A local folder of our own stands in only for a local session without the setting, as in tests,
+    and goes when Python ends. On a cluster executors would not see it: there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="lumenlake-"))
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="lumenlake-")
+        atexit.register(shutil.rmtree, own, True)
+        _own_folder.append(f"file://{own}")
     return _own_folder[0]
 
 
