@@ -85,8 +85,8 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, smoothin
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS, dtype=np.float32), -1e3)
     words: dict[str, np.ndarray] = {}
-    rows = []
-    for text in texts:
+
+    def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         own = rates(text)
         for w in own:
             if w not in words:
@@ -94,17 +94,20 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, smoothin
         at = np.concatenate([words[w] for w in own]) if own else np.zeros(0, dtype=np.int32)
         of = np.repeat(list(own.values()), [len(words[w]) for w in own]) if own else np.zeros(0)
         found, where = np.unique(at, return_inverse=True)
-        rows.append((found, np.bincount(where, of, len(found))))
+        return found, np.bincount(where, of, len(found))
+
+    # the texts' buckets are made twice, since those of all texts at once would fill the driver
     p, q = np.full(BUCKETS, smoothing), np.full(BUCKETS, smoothing)
-    for (found, _), t in zip(rows, toxic, strict=True):
-        (p if t else q)[found] += 1
+    for text, t in zip(texts, toxic, strict=True):
+        (p if t else q)[features(text)[0]] += 1
     n_toxic = y.sum()
     ratio = np.log(p / (n_toxic + 2 * smoothing)) - np.log(q / (len(y) - n_toxic + 2 * smoothing))
     used = np.flatnonzero(np.abs(ratio) >= certain * np.sqrt(1 / p + 1 / q))
     column = np.full(BUCKETS, -1, dtype=np.int64)
     column[used] = np.arange(len(used))
     index, values, starts = [], [], [0]
-    for found, rate in rows:
+    for text in texts:
+        found, rate = features(text)
         keep = column[found] >= 0
         index.append(column[found[keep]])
         values.append(rate[keep] * ratio[found[keep]])
