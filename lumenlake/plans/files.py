@@ -171,9 +171,9 @@ def k2(spark, d):
     return sinks.canonical_json(r.select(F.col("r_regionkey").alias("key"), F.lit(None).cast("string").alias("none"), F.struct(F.col("r_regionkey").alias("z"), F.col("r_name").alias("b")).alias("a")))
 
 
-@query("k3_session_manifest", "SELECT o_custkey AS session_id, count(*) AS files, sum(o_totalprice) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'O') AS ok, count(*) FILTER (WHERE o_orderstatus <> 'O') AS failed FROM orders GROUP BY 1")
+@query("k3_session_manifest", "SELECT o_custkey AS session_id, count(*) AS files, round(sum(o_totalprice), 4) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'O') AS ok, count(*) FILTER (WHERE o_orderstatus <> 'O') AS failed FROM orders GROUP BY 1")
 def k3(spark, d):
-    return sinks.session_manifest(v.table(spark, d, "orders").selectExpr("o_custkey as session_id", "o_totalprice as size", "if(o_orderstatus = 'O', 'ok', 'x') as status")).withColumn("bytes", F.round("bytes", 6))
+    return sinks.session_manifest(v.table(spark, d, "orders").selectExpr("o_custkey as session_id", "o_totalprice as size", "if(o_orderstatus = 'O', 'ok', 'x') as status")).withColumn("bytes", F.round("bytes", 4))
 
 
 @query("k6_package", "SELECT 'nations' AS \"table\", count(*) AS rows, true AS verified FROM nation UNION ALL SELECT 'regions', count(*), true FROM region")

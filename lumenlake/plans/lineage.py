@@ -187,11 +187,11 @@ def features(spark, d):
 
 @query("f2_session_features", """WITH l AS (SELECT session_id, modality || '.quality.valid_ratio' AS name, start_sec AS t, valid_ratio AS value FROM units UNION ALL SELECT session_id, modality || '.observation.' || name, start_sec, value FROM units JOIN observations USING (unit_id)),
   s AS (SELECT session_id, name, count(*)::DOUBLE AS count, avg(value) AS mean, median(value) AS median, max(value) AS max FROM l GROUP BY 1, 2)
-  SELECT session_id, name || '.' || f AS feature, round(v, 6) AS value FROM s, LATERAL (SELECT unnest(['count', 'mean', 'median', 'max']) AS f, unnest([count, mean, median, max]) AS v)
-  UNION ALL SELECT session_id, 'session.duration_seconds', max(start_sec) FROM units GROUP BY 1 UNION ALL SELECT session_id, modality || '.unit_count', count(*) FROM units GROUP BY session_id, modality UNION ALL SELECT session_id, modality || '.availability.partial_fraction', round(avg((availability = 'partial')::INT), 6) FROM units GROUP BY session_id, modality""", "units", "observations")
+  SELECT session_id, name || '.' || f AS feature, round(v, 9) AS value FROM s, LATERAL (SELECT unnest(['count', 'mean', 'median', 'max']) AS f, unnest([count, mean, median, max]) AS v)
+  UNION ALL SELECT session_id, 'session.duration_seconds', max(start_sec) FROM units GROUP BY 1 UNION ALL SELECT session_id, modality || '.unit_count', count(*) FROM units GROUP BY session_id, modality UNION ALL SELECT session_id, modality || '.availability.partial_fraction', round(avg((availability = 'partial')::INT), 9) FROM units GROUP BY session_id, modality""", "units", "observations")
 def f2(spark, d):
     keep = F.col("feature").rlike(r"\.(count|mean|median|max|unit_count|partial_fraction|duration_seconds)$")
-    return features(spark, d).filter(keep).select("session_id", "feature", F.round("value", 6).alias("value"))
+    return features(spark, d).filter(keep).select("session_id", "feature", F.round("value", 9).alias("value"))
 
 
 @query("p14_feature_views", "SELECT session_id, 1 + count(DISTINCT modality) FILTER (WHERE modality = 'audio') AS features FROM units GROUP BY 1", "units")
