@@ -133,12 +133,14 @@ def _lowered(text: str, spans: str) -> str:
 
 #: One value for each entity: its kind, and its digits or lower case.
 ENTITY = f"concat(s.ord, ':', case when s.ord in (2, 3) then {_digits('s.value')} else lower(s.value) end)"
-#: The lower bound of p(entity | term) over the other texts, one-sided, 90 %.
-WILSON = "(k / n + {zz} / (2 * n) - {z} * sqrt((k / n) * (1 - k / n) / n + {zz} / (4 * n * n))) / (1 + {zz} / n)".format(z=1.2816, zz=1.2816**2)
+#: The lower bound of p(entity | term) over the other texts, one-sided, 90 %: of n texts k name the entity. For k > 1.
+WILSON = "({k} / {n} + {zz} / (2 * {n}) - {z} * sqrt(({k} / {n}) * (1 - {k} / {n}) / {n} + {zz} / (4 * {n} * {n}))) / (1 + {zz} / {n})".format(k="(k - 1)", n="(n - 1)", z=1.2816, zz=1.2816**2)
 #: A text's distinct words of four letters or more.
 WORDS = "filter(array_distinct(split(low, '[^\\\\p{L}]+')), w -> length(w) >= 4)"
 #: The most terms that are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: The most bytes of texts' terms that are broadcast; with more, texts that may hold some are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def _by_copy(base: DataFrame) -> DataFrame:
@@ -164,27 +166,30 @@ def _split(rows: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
 def disclosing_terms(texts: DataFrame, disclosure: float = 0.8) -> DataFrame:
     """The ``term``s that disclose an entity of ``texts`` (by ``_by_copy``, with ``spans``).
 
-    Only words that meet an entity in two texts are counted in the others. A word's texts are its
-    rows whose text surely occurs once, and its distinct texts among the other rows.
+    Only words that meet an entity in two texts are counted in the others, and of these only those
+    whose share could be large enough by the texts with entities. A word's texts are its rows whose
+    text surely occurs once, and its distinct texts among the other rows.
     """
     each = F.explode(F.expr(WORDS)).alias("term")
     entities = F.expr(f"array_distinct(transform(spans, s -> {ENTITY}))")
     narrow = stored(texts.select("copy", "check", entities.alias("entities"), F.expr(f"case when size(spans) > 0 then {WORDS} end").alias("words")), "pii-narrow")
     copies = stored(narrow.groupBy("copy", "check").agg(F.count("*").alias("n")), "pii-copies")
-    named = stored(narrow.filter("size(entities) > 0").dropDuplicates(["copy", "check"]).select("words", F.explode("entities").alias("entity")), "pii-named")
-    entity_docs = named.groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    twice = named.join(entity_docs.filter("entity_docs > 1"), "entity", "left_semi")  # in a single text no other tells
-    pairs = twice.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("k"))
-    pairs = stored(pairs.filter("k > 1"), "pii-pairs")
-    candidates = _few(stored(pairs.select("term").distinct(), "pii-candidates"))
+    named = stored(narrow.filter("size(entities) > 0").dropDuplicates(["copy", "check"]).select("entities", "words"), "pii-named")
+    entity_docs = named.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    twice = named.select(F.explode("entities").alias("entity"), "words").join(entity_docs.filter("entity_docs > 1"), "entity", "left_semi")  # in a single text no other tells
+    pairs = twice.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("k")).filter("k > 1")
+    e = F.col("entity_docs") / F.lit(float(max(copies.count(), 1)))
+    share = F.when(e >= 1, F.lit(0.0)).otherwise(F.log(F.expr(WILSON) / e) / -F.log(e))
+    # a share falls with n, and the texts with entities alone are a part of a word's texts
+    in_named = named.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    able = pairs.join(in_named, "term").join(entity_docs, "entity").filter(share >= disclosure).drop("n")
+    able = stored(able, "pii-pairs")
+    candidates = _few(stored(able.select("term").distinct(), "pii-candidates"))
     once, others = _split(texts, copies.filter("n > 1"))
     counted = once.select(each).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     rest = others.select("copy", "check", each).join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
     in_docs = counted.unionByName(rest).groupBy("term").agg(F.sum("n").alias("n"))
-    e = F.col("entity_docs") / F.lit(float(max(copies.count(), 1)))
-    share = F.when(e >= 1, F.lit(0.0)).otherwise(F.log(F.expr(WILSON) / e) / -F.log(e))
-    known = pairs.join(in_docs, "term").withColumns({"k": F.col("k") - 1, "n": F.col("n") - 1})  # at k = 0 the bound is 0
-    return stored(known.join(entity_docs, "entity").filter(share >= disclosure).select("term").distinct(), "pii-terms")
+    return stored(able.join(in_docs, "term").filter(share >= disclosure).select("term").distinct(), "pii-terms")
 
 
 def _held(texts: DataFrame, told: DataFrame) -> DataFrame:
@@ -199,13 +204,18 @@ def find(docs: DataFrame, carry: list[str], text: str = "text", **settings) -> D
     base = base_spans(rows, "text")
     texts = _by_copy(base.select("text", "spans"))
     held = _held(texts, disclosing_terms(texts, **settings))
-    clear, doubtful = _split(_by_copy(base), held)
-    told = doubtful.join(held, ["copy", "check"], "left")
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("terms")), F.lit(0)).alias("chars")).first()
     pattern = "concat('(?<!\\\\p{L})(?:', terms, ')(?!\\\\p{L})')"
-    told = _found(told, "low", pattern, len(KINDS) - 1, "terms is not null", "more")
-    return clear.select("row", "text", F.col("spans").alias("base"), "spans").unionByName(
-        told.select("row", "text", F.col("spans").alias("base"), F.expr("case when terms is null then spans else array_sort(concat(spans, more)) end").alias("spans"))
-    )
+
+    def told(rows: DataFrame) -> DataFrame:
+        rows = _found(rows, "low", pattern, len(KINDS) - 1, "terms is not null", "more")
+        spans = F.expr("case when terms is null then spans else array_sort(concat(spans, more)) end")
+        return rows.select("row", "text", F.col("spans").alias("base"), spans.alias("spans"))
+
+    if 64 * size["n"] + 4 * size["chars"] <= BROADCAST_BYTES:
+        return told(_by_copy(base).join(F.broadcast(held), ["copy", "check"], "left"))
+    clear, doubtful = _split(_by_copy(base), held)
+    return clear.select("row", "text", F.col("spans").alias("base"), "spans").unionByName(told(doubtful.join(held, ["copy", "check"], "left")))
 
 
 def listed(spans: str) -> F.Column:

@@ -170,8 +170,11 @@ def test_pii_terms_of_rare_entities(spark):
     assert {d: t for d, t in got.items() if t} == {0: ["quuxly"], 1: ["quuxly"], 5000: ["frobnix"], 5001: ["frobnix"]}
 
 
-def test_pii_terms_everywhere(spark):
-    """A term is masked beside its address, far from it, and in texts without it."""
+@pytest.mark.parametrize("least", [0, 32 << 20])
+def test_pii_terms_everywhere(spark, monkeypatch, least):
+    """A term is masked beside its address, far from it, and in texts without it; with and without a broadcast."""
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", least)
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", least)
     gap = "common words " * 20
     docs = [(i, f"İ {i} bob@mail.example.com {gap}Zorblax wrote {i} zorblax, zorblaxes") for i in range(30)]
     docs += [(30, "only ZORBLAX, no address")] + [(i, f"{gap} wrote zorblaxes {i}") for i in range(31, 400)]
