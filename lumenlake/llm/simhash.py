@@ -143,7 +143,8 @@ def near_duplicates(prints: DataFrame, key: str = "doc_id", radius: int = 2) ->
     """``prints`` (a stored table with ``key`` and ``fp``) with ``component_id``, the smallest key
     of those reachable over links."""
     distinct = stored(prints.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
-    roots = components(links(distinct, radius))
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the stored table has few files
+    roots = components(links(distinct.repartition(tasks, "fp"), radius))
     grouped = roots.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first").alias("component_id"))
     grouped = stored(grouped, "simhash-groups")
     of_fp = roots.join(grouped, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("in_group"))
