@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from lumenlake.llm.alignment import op11_alignment
 from lumenlake.llm.chat import OP6_SQL, op6_chat
 from lumenlake.llm.exact import OP8_SQL, op8_exact_dedup
 from lumenlake.llm.licences import op5_licences
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_alignment": op11_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL}
