@@ -14,6 +14,7 @@ from lumenlake.llm.quality import op4_quality
 from lumenlake.llm.simhash import op3_simhash
 from lumenlake.llm.topk import OP7_SQL, op7_topk
 from lumenlake.llm.toxicity import op9_toxicity
+from lumenlake.llm.variants import OP12_SQL, op12_variants
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
     "op11_alignment": op11_alignment,
+    "op12_variants": op12_variants,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op12_variants": OP12_SQL}
