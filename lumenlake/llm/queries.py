@@ -11,6 +11,7 @@ from lumenlake.llm.packing import op2_packing
 from lumenlake.llm.pieces import op1_sentencepiece
 from lumenlake.llm.pii import op10_pii
 from lumenlake.llm.quality import op4_quality
+from lumenlake.llm.sharding import op13_sharding
 from lumenlake.llm.simhash import op3_simhash
 from lumenlake.llm.topk import OP7_SQL, op7_topk
 from lumenlake.llm.toxicity import op9_toxicity
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_alignment": op11_alignment,
     "op12_variants": op12_variants,
+    "op13_sharding": op13_sharding,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op12_variants": OP12_SQL}
