@@ -18,9 +18,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from lumenlake.llm.common import map_texts, stored, text_slices, texts_of, with_
 
 MARKER = "▁"
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 16 << 20
 _loaded: dict[tuple, Pair] = {}
 
 
@@ -67,6 +69,8 @@ class Pair:
         if " " not in self.starts:
             raise ValueError("these vocabularies merge across spaces")
         self.cuts = re.compile(rf"(?<=\S)(?=[{self.starts}])")
+        # the same where there is no other white space, and faster
+        self.others, self.words = re.compile(rf"[^\S{self.starts}]"), re.compile(r"\s*\S+|\s+")
         self.guard = "a"
         self.guard_ids = len(self.b.encode(self.guard))
 
@@ -74,33 +78,55 @@ class Pair:
         """Whether B's pieces spell the text after a space; A's always do."""
         return MARKER not in text and self.b.normalize(text) == MARKER + text.replace(" ", MARKER)
 
-    def segments(self, text: str) -> list:
-        """Of a space and the text: a string stands for itself after a space, a tuple for itself."""
-        words = text.split(" ")
-        if "" not in words and len(text.split()) == len(words):
-            return words
-        return [s[1:] if s[0] == " " else (s,) for s in self.cuts.split(" " + text)]
-
-    def tokens(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of segments in A and in B. A guard before a segment takes B's space of the beginning."""
-        a = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        return a, [x[self.guard_ids :] for x in self.b.encode([self.guard + s for s in segments], num_threads=1)]
-
-    def aligned(self, a: list[int], b: list[int]) -> tuple[str, int, dict[tuple[int, int], int]]:
-        """The groups as text and their number, and how many links join each pair of ids."""
-        links: dict[tuple[int, int], int] = {}
-        groups, i, j, first_a, first_b = [], 0, 0, 0, 0
-        end_a, end_b = np.cumsum(self.a_size[a]).tolist(), np.cumsum(self.b_size[b]).tolist()
-        while i < len(a):
-            pair = a[i], b[j]
-            links[pair] = links.get(pair, 0) + 1
-            x, y = end_a[i], end_b[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-        return ";".join(groups), len(groups), links
+    def segments(self, text: str) -> list[str]:
+        """The segments of a space and the text; each but the first begins with the white space before a word."""
+        text = " " + text
+        return self.cuts.split(text) if self.others.search(text) else self.words.findall(text)
+
+    def tokens(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments in A and in B, one after the other. Segments that do not end in white space
+        stay apart when they are joined; a guard takes B's space of the beginning."""
+        a, b, joined = [], [], []
+
+        def flush() -> None:
+            if joined:
+                text = "".join(joined)
+                a.append(self.a.encode(text, add_special_tokens=False).ids)
+                b.append(self.b.encode(self.guard + text)[self.guard_ids :])
+                joined.clear()
+
+        for k, s in enumerate(segments):
+            joined.append(s)
+            if not k % 500 or len(s) > 500 or s[-1].isspace():  # the next must not run into white space at the end
+                flush()
+        flush()
+        return np.array(list(chain.from_iterable(a)), np.int64), np.array(list(chain.from_iterable(b)), np.int64)
+
+    def aligned(self, segments: list[str]) -> dict[str, np.ndarray | pa.Array]:
+        """Of each segment: ``groups`` as text, ``n_a``, the ``links`` (A's id in the high half, B's in the low) and ``ends``,
+        where the segment's links end.
+
+        Between two neighbouring ends of tokens lies one A and one B token, and each two tokens that
+        overlap do so between one such pair of ends.
+        """
+        a, b = self.tokens(segments)
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        cuts = np.cumsum([len(s.encode()) for s in segments])
+        ends, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b)
+        links = a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
+        # tokens in order of their group, A's before B's; what follows each: , within a side, | after A's, ; after a group, nothing after a segment
+        ids, side = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
+        group = np.concatenate([np.searchsorted(both, end_a), np.searchsorted(both, end_b)])
+        order = np.argsort(group * 2 + side, kind="stable")
+        ids, part = ids[order], (group * 2 + side)[order]
+        last = np.append(part[1:] != part[:-1], True) if len(part) else np.zeros(0, bool)
+        after = np.where(last, np.where(part % 2 == 0, 2, np.where(np.isin(both, cuts)[part // 2], 0, 3)), 1)
+        data = "".join(chain.from_iterable(zip(map(str, ids.tolist()), map(["", ",", "|", ";"].__getitem__, after.tolist()), strict=True)))
+        sizes = np.cumsum(np.floor(np.log10(np.maximum(ids, 1))).astype(np.int64) + 1 + (after > 0))
+        segment_ends = np.concatenate([[0], sizes[after == 0]]).astype(np.int32)
+        groups = pa.StringArray.from_buffers(len(segments), pa.py_buffer(segment_ends.tobytes()), pa.py_buffer(data.encode()))
+        n_a = np.diff(np.searchsorted(end_a, cuts, side="right"), prepend=0)
+        return {"groups": groups, "n_a": n_a, "links": links, "ends": np.searchsorted(ends, cuts, side="right")}
 
 
 def pair(vocabulary: str | None = None, model: str | None = None) -> Pair:
@@ -121,71 +147,127 @@ class Numbered(dict):
         return n
 
 
-SEGMENTS, LISTS = "array<struct<seg:string,n:bigint>>", pa.list_(pa.struct([("seg", pa.string()), ("n", pa.int64())]))
-
-
 def blocks(rows: DataFrame, vocabulary: str | None = None, model: str | None = None) -> DataFrame:
-    """``row``, ``block`` and ``places`` (little-endian 32-bit, null without tokens) for each row, and for each
+    """``row``, ``block`` and ``places`` (their size in bytes, then 32-bit numbers, compressed; null without tokens) for each row, and for each
     block one more with ``segments``, its dictionary with how often each stands in its texts."""
+    lists = pa.list_(pa.struct([("seg", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, block, size = pair(vocabulary, model), TaskContext.get().partitionId() << 33, 0
         numbers, counts = Numbered(), np.zeros(0, dtype=np.int64)
         kind = None
 
+        def batch_of(row, places, segments) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([row, pa.array(np.full(len(row), block)), places, segments], names=["row", "block", "places", "segments"])
+
         def dictionary() -> pa.RecordBatch:
-            entries = [{"seg": " " + k if isinstance(k, str) else k[0], "n": n} for k, n in zip(numbers, counts.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([entries], LISTS)], names=["row", "block", "places", "segments"])
+            entries = [{"seg": s, "n": n} for s, n in zip(numbers, counts.tolist(), strict=True)]
+            return batch_of(pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([entries], lists))
 
         for batch in batches:
             for part in text_slices(batch, "text", BLOCK):
-                kind = part.column("row").type
-                places = []
+                kind, places = part.column("row").type, []
                 for t in texts_of(part):
                     places.append(np.array(list(map(numbers.__getitem__, p.segments(t))), np.int32) if t and p.spelled(t) else None)
                     size += len(t)
-                met = np.concatenate([np.zeros(0, np.int32), *[x for x in places if x is not None]])
-                now = np.bincount(met, minlength=len(numbers))
+                now = np.bincount(np.concatenate([np.zeros(0, np.int32), *[x for x in places if x is not None]]), minlength=len(numbers))
                 now[: len(counts)] += counts
                 counts = now
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(np.full(n, block)), pa.array([None if x is None else x.tobytes() for x in places], pa.binary()), pa.nulls(n, LISTS)],
-                    names=["row", "block", "places", "segments"],
-                )
+                yield batch_of(part.column("row"), pa.array([None if x is None else x.nbytes.to_bytes(4, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True) for x in places], pa.binary()), pa.nulls(part.num_rows, lists))
                 if size >= BLOCK:
                     yield dictionary()
                     block, size, numbers, counts = block + 1, 0, Numbered(), np.zeros(0, dtype=np.int64)
         if numbers:
             yield dictionary()
 
-    kinds = with_fields(rows, [], block="bigint", places="binary", segments=SEGMENTS)
+    kinds = with_fields(rows, [], block="bigint", places="binary", segments="array<struct<seg:string,n:bigint>>")
     return map_texts(rows, run, T.StructType([T.StructField("row", rows.schema["row"].dataType, True), *kinds]))
 
 
-ALIGNED = "seg string, n long, id long, groups string, n_a long, n_b long, n_groups long, n_links long, links array<struct<a:int,b:int,m:bigint>>"
+#: Segments that are aligned at a time.
+CHUNK = 20_000
+ALIGNED = "id long, groups string, n_a long, links array<bigint>, at array<struct<block:bigint,i:int>>, pairs array<struct<link:bigint,n:bigint>>"
+
 
+def align_segments(met: DataFrame, vocabulary: str | None = None, model: str | None = None) -> DataFrame:
+    """Aligns each segment of ``met`` (seg, n, block, i), sorted by segment within its partitions, once.
 
-def align_segments(distinct: DataFrame, vocabulary: str | None = None, model: str | None = None) -> DataFrame:
-    """Each row of ``distinct`` (seg, n) with an ``id``, its numbers of tokens, groups and links, the groups, and the links."""
+    A row has its ``groups``, ``n_a`` and ``links``, and ``at``, the places of blocks' dictionaries that it
+    stands in. A chunk's first row also has ``pairs``, the chunk's links with their counts in the
+    corpus. A segment that crosses chunks has a row in each.
+    """
+    places = pa.struct([("block", pa.int64()), ("i", pa.int32())])
+    counted = pa.struct([("link", pa.int64()), ("n", pa.int64())])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        some, rows, size = [], 0, 0
+        for batch in batches:
+            for part in text_slices(batch, "seg"):
+                some.append(part)
+                rows, size = rows + part.num_rows, size + part.column("seg").nbytes
+                if rows >= CHUNK or size >= 4 << 20:
+                    yield pa.Table.from_batches(some).combine_chunks()
+                    some, rows, size = [], 0, 0
+        if some:
+            yield pa.Table.from_batches(some).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, at = pair(vocabulary, model), TaskContext.get().partitionId() << 33
+        for chunk in chunks(batches):
+            runs = pc.run_end_encode(chunk.column("seg").combine_chunks())
+            ends = runs.run_ends.to_numpy()
+            done = p.aligned(runs.values.to_pylist())
+            times = np.add.reduceat(chunk.column("n").to_numpy(), np.concatenate([[0], ends[:-1]]))
+            own = np.repeat(times, np.diff(done["ends"], prepend=0))
+            link, which = np.unique(done["links"], return_inverse=True)
+            totals = np.zeros(len(link), np.int64)
+            np.add.at(totals, which, own)
+            n = len(ends)
+            offsets = lambda x: pa.array(np.concatenate([[0], x]).astype(np.int32))
+            where = pa.StructArray.from_arrays([chunk.column("block").combine_chunks(), chunk.column("i").combine_chunks()], fields=list(places))
+            first = pa.StructArray.from_arrays([pa.array(link), pa.array(totals)], fields=list(counted))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(at, at + n)), done["groups"], pa.array(done["n_a"]), pa.ListArray.from_arrays(offsets(done["ends"]), pa.array(done["links"])),
+                    pa.ListArray.from_arrays(offsets(ends), where), pa.ListArray.from_arrays(offsets([len(link)] * n), first),
+                ], names=["id", "groups", "n_a", "links", "at", "pairs"],
+            )
+            at += n
+
+    return met.select("seg", "n", "block", "i").mapInArrow(run, ALIGNED)
+
+
+#: The most pairs of ids whose counts are sent to all tasks (24 bytes each); more are joined by a shuffle.
+MOST_PAIRS = 4_000_000
+ENTRY = ["groups", "n_a", "n_best", "count_sum"]
+
+
+def scored(aligned: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """(of, i, groups, n_a, n_best, count_sum) for each place of a stored ``align_segments``."""
+    counts = stored(aligned.select(F.explode("pairs").alias("p")).groupBy("p.link").agg(F.sum("p.n").alias("n")), "alignment-counts")
+    best = counts.groupBy(F.expr("int(link & 4294967295)").alias("b")).agg(F.max("n").alias("best"))
+    judged = counts.withColumn("b", F.expr("int(link & 4294967295)")).join(best, "b").select("link", "n", (F.col("n") == F.col("best")).cast("long").alias("is_best"))
+    if counts.count() > most_pairs:
+        scores = aligned.select("id", F.explode("links").alias("link")).join(judged, "link").groupBy("id").agg(F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
+        found = aligned.select("id", "groups", "n_a", "at").join(scores, "id").select(F.explode("at").alias("p"), *ENTRY)
+        return found.select(F.col("p.block").alias("of"), "p.i", *ENTRY)
+    table = judged.toArrow().sort_by("link")
+    known = aligned.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("link", "n", "is_best")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link, n, is_best = known.value
         for batch in batches:
-            for part in text_slices(batch, "seg"):
-                segments = part.column("seg").to_pylist()
-                a, b = p.tokens(segments)
-                done = [p.aligned(x, y) for x, y in zip(a, b, strict=True)]
-                links = [[{"a": x, "b": y, "m": m} for (x, y), m in d[2].items()] for d in done]
-                columns = [
-                    part.column("seg"), part.column("n"), pa.array(range(at, at + len(a)), pa.int64()), pa.array([d[0] for d in done], pa.string()),
-                    *[pa.array(c, pa.int64()) for c in ([len(x) for x in a], [len(x) for x in b], [d[1] for d in done], [sum(d[2].values()) for d in done])],
-                    pa.array(links, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int64())]))),
-                ]
-                at += len(a)
-                yield pa.RecordBatch.from_arrays(columns, names=["seg", "n", "id", "groups", "n_a", "n_b", "n_groups", "n_links", "links"])
+            if not batch.num_rows:
+                continue
+            lists, at = batch.column("links"), batch.column("at")
+            which = np.searchsorted(link, lists.flatten().to_numpy())
+            starts = np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy())
+            sums = [pa.array(np.add.reduceat(x[which], starts)[row]) for x in (is_best, n)]
+            block, i = at.flatten().flatten()
+            yield pa.RecordBatch.from_arrays([block, i, batch.column("groups").take(pa.array(row)), batch.column("n_a").take(pa.array(row)), *sums], names=["of", "i", *ENTRY])
 
-    return map_texts(distinct, run, ALIGNED)
+    return map_texts(aligned.select("groups", "n_a", "links", "at"), run, "of long, i int, groups string, n_a long, n_best long, count_sum long")
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -193,21 +275,41 @@ SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 def _compose(documents: pa.Table, entries: pa.Table) -> pa.Table:
     """A block's documents of their places and the alignments in its dictionary."""
-    order = np.argsort(entries.column("i").to_numpy())
-    groups = [""] * len(order)
-    for i, g in zip(entries.column("i").to_pylist(), entries.column("groups").to_pylist(), strict=True):
-        groups[i] = g
-    values = np.array([entries.column(c).to_numpy()[order] for c in SUMS], dtype=np.int64).reshape(len(SUMS), len(order))
-    texts, sums = [], []
-    for x in documents.column("places").to_pylist():
-        places = np.frombuffer(x or b"", np.int32)
-        texts.append(";".join([groups[i] for i in places.tolist()]))
-        sums.append(values[:, places].sum(axis=1))
-    sums = np.array(sums, dtype=np.int64).reshape(len(texts), len(SUMS))
-    return pa.table([documents.column("row").combine_chunks(), pa.array(texts, pa.string()), *[pa.array(sums[:, k]) for k in range(len(SUMS))]], names=["row", "groups", *SUMS])
-
+    order = entries.column("i").to_numpy()
+    groups = np.empty(len(order), object)
+    groups[order] = entries.column("groups").to_numpy()
+    groups = groups.tolist()
+    values = np.empty((3, len(order)), np.int64)
+    for k, c in enumerate(("n_a", "n_best", "count_sum")):
+        values[k, order] = entries.column(c).to_numpy()
+    done, texts, sums, size = [], [], [], 0
+    rows = documents.column("row").combine_chunks()
+    rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+
+    def flush() -> None:
+        columns = np.array(sums, dtype=np.int64).reshape(len(texts), len(SUMS))
+        row = rows.slice(sum(len(x) for x in done), len(texts))
+        done.append(pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), *[pa.array(columns[:, k]) for k in range(len(SUMS))]], names=["row", "groups", *SUMS]))
+        texts.clear()
+        sums.clear()
 
-def align(docs: DataFrame, carry: list[str], text: str = "text", vocabulary: str | None = None, model: str | None = None) -> DataFrame:
+    for x in documents.column("places").to_pylist():
+        places = np.frombuffer(pa.decompress(x[4:], int.from_bytes(x[:4], "little"), "zstd", asbytes=True) if x else b"", np.int32)
+        text = ";".join([groups[i] for i in places.tolist()])
+        n_a, n_best, count_sum = values[:, places].sum(axis=1).tolist()
+        n_groups = text.count(";") + (text != "")
+        n_b = text.count(",") + 2 * n_groups - n_a
+        texts.append(text)
+        sums.append((n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum))
+        size += len(text)
+        if size >= 8 << 20:
+            flush()
+            size = 0
+    flush()
+    return pa.Table.from_batches(done)
+
+
+def align(docs: DataFrame, carry: list[str], text: str = "text", vocabulary: str | None = None, model: str | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """For each row of ``docs``: ``row`` (a struct of ``carry``), ``groups`` (``a1,a2|b1;a3|b2``), ``n_a``, ``n_b``,
     ``n_groups``, ``n_links``, ``n_best`` and ``count_sum``.
 
@@ -218,15 +320,8 @@ def align(docs: DataFrame, carry: list[str], text: str = "text", vocabulary: str
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text}`").alias("text"))
     table = stored(blocks(rows, vocabulary, model), "alignment-blocks")
     met = table.filter("segments is not null").select("block", F.posexplode("segments").alias("i", "s")).select("block", "i", "s.seg", "s.n")
-    distinct = met.groupBy("seg").agg(F.sum("n").alias("n"))
-    aligned = stored(align_segments(distinct, vocabulary, model), "alignment-segments")
-    links = aligned.select("id", "n", F.explode("links").alias("l")).select("id", "n", "l.a", "l.b", "l.m")
-    counts = stored(links.groupBy("a", "b").agg(F.sum(F.col("m") * F.col("n")).alias("count")), "alignment-counts")
-    best = counts.groupBy("b").agg(F.max("count").alias("best"))
-    judged = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("best")).cast("int").alias("is_best"))
-    scores = links.join(judged, ["a", "b"]).groupBy("id").agg(F.sum(F.col("m") * F.col("is_best")).alias("n_best"), F.sum(F.col("m") * F.col("count")).alias("count_sum"))
-    known = aligned.drop("links", "n").join(scores, "id").select("seg", "groups", *SUMS)
-    entries = met.select("block", "i", "seg").join(known, "seg").select(F.col("block").alias("of"), "i", "groups", *SUMS)
+    aligned = stored(align_segments(met.repartition("seg").sortWithinPartitions("seg"), vocabulary, model), "alignment-segments")
+    entries = scored(aligned, most_pairs)
     documents = table.filter("segments is null").select("row", "block", "places")
     out = documents.select("row").schema.add("groups", "string")
     for c in SUMS:
