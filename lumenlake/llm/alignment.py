@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlake.llm.common import map_texts, stored, text_slices, texts_of, with_fields
+from lumenlake.llm.packing import byte_letters
 
 MARKER = "▁"
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -36,13 +37,6 @@ BLOCK = 16 << 20
 _loaded: dict[tuple, Pair] = {}
 
 
-def _bytes_of_letters() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Pair:
     """A byte-level vocabulary A and a piece vocabulary B, with the bytes of their tokens."""
 
@@ -59,7 +53,7 @@ class Pair:
         kind = json.loads(self.a.to_str())
         if kind["normalizer"] or kind["pre_tokenizer"].get("type") != "ByteLevel" or kind["pre_tokenizer"]["add_prefix_space"] or not kind["pre_tokenizer"]["use_regex"]:
             raise ValueError("vocabulary A must be byte-level with plain pre-tokens")
-        letters = _bytes_of_letters()
+        letters = byte_letters()
         entries = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.a_size = np.array([len(entries.get(i, b"")) for i in range(max(entries) + 1)])
         pieces = [self.b.id_to_piece(i).replace(MARKER, " ") for i in range(self.b.get_piece_size())]

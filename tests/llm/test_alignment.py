@@ -8,10 +8,10 @@ import public_tokenizers
 import pytest
 from test_tokens import texts
 
-from lumenlake.llm import alignment
+from lumenlake.llm import alignment, packing
 from lumenlake.llm.common import stored
 
-LETTERS = alignment._bytes_of_letters()
+LETTERS = packing.byte_letters()
 
 
 def libraries():

@@ -31,12 +31,32 @@ def test_pieces_equal_the_library():
         assert decoded == [c.lib.decode(c.lib.encode(t, add_bos=True, add_eos=True)) for t in own]
 
 
+def library(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def test_bpe_equals_the_library():
-    own = texts()
-    b = packing.bpe()
-    for limit in (250_000, 10):
-        b.table.limit = limit
-        assert b.code(own, b"") == [packed(b.lib.encode(t, add_special_tokens=False).ids) for t in own]
+    own = texts() + ["a<|endoftext|>b <|endoftext|> c", "<|endoftext|>", " <|endoftext|", "<|endoftext|><|endoftext|>\n"]
+    b, lib = packing.bpe(), library("byte_bpe_50k.json")
+    assert b.ranked is not None
+    assert b.code(own, b"") == [packed(lib.encode(t, add_special_tokens=False).ids) for t in own]
+    assert packed([50256]) in b.code(["a <|endoftext|> b"], b"")[0]
+
+
+def test_bpe_of_every_letter():
+    """Both libraries put each code point into the same kind of pre-token."""
+    b, lib = packing.bpe(), library("byte_bpe_50k.json")
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    own = ["".join(f"a{c}b {c} 1{c}2 .{c}. {c}  {c}{c} " for c in every[i : i + 50]) for i in range(0, len(every), 50)]
+    assert b.code(own, b"") == [packed(x.ids) for x in lib.encode_batch_fast(own, add_special_tokens=False)]
+
+
+def test_other_vocabularies_stay_with_their_library():
+    b, lib = packing.bpe(public_tokenizers.path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    assert b.ranked is None
+    assert b.code(HARD, b"") == [packed(lib.encode(t, add_special_tokens=False).ids) for t in HARD]
 
 
 def indented():
@@ -64,11 +84,9 @@ def test_pieces_past_the_limit_of_marks():
         assert decoded == [c.lib.decode(whole.encode(t, add_bos=True, add_eos=True)) for t in own[i : i + 2]]
 
 
-def test_bpe_past_the_limit_of_marks():
-    own, b = indented(), packing.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
-    b.table.limit = 3
-    for i in [*range(0, len(own), 2), *range(len(own) - 2)]:
-        assert b.code(own[i : i + 2], b"") == [packed(b.lib.encode(t, add_special_tokens=False).ids) for t in own[i : i + 2]]
+def test_bpe_of_indented_texts():
+    own, b, lib = indented(), packing.Bpe(public_tokenizers.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    assert b.code(own, b"") == [packed(lib.encode(t, add_special_tokens=False).ids) for t in own]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -99,7 +117,7 @@ def test_two_replace_one():
 
 
 def test_pack_documents(spark):
-    docs = [(1, "a b c"), (2, None), (2, None), (None, "x"), (3, "word " * 3000), (4, ""), (5, "é" * 700)]
+    docs = [(1, "a b c"), (2, None), (2, None), (None, "x"), (3, "word " * 3000), (4, ""), (5, "é" * 700), (6, "x <|endoftext|> y")]
     frame = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, sequence_id long")
     rows = packing.pack_documents(frame, ["doc_id"]).collect()
     own = sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
