@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlake.llm.common import map_texts, stored, text_slices, texts_of, with_fields
+from lumenlake.llm.common import give_back, map_texts, stored, text_slices, texts_of, with_fields
 from lumenlake.llm.packing import byte_letters
 
 MARKER = "▁"
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 _loaded: dict[tuple, Pair] = {}
 
 
@@ -227,6 +227,7 @@ def align_segments(met: DataFrame, vocabulary: str | None = None, model: str | N
                 ], names=["id", "groups", "n_a", "links", "at", "pairs"],
             )
             at += n
+        give_back()
 
     return met.select("seg", "n", "block", "i").mapInArrow(run, ALIGNED)
 
@@ -269,6 +270,7 @@ SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 def _compose(documents: pa.Table, entries: pa.Table) -> pa.Table:
     """A block's documents of their places and the alignments in its dictionary."""
+    give_back()  # what the block before took
     order = entries.column("i").to_numpy()
     groups = np.empty(len(order), object)
     groups[order] = entries.column("groups").to_numpy()
