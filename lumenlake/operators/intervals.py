@@ -1,4 +1,4 @@
-"""Interval joins. Overlap joins meet in time buckets, so they are equi-joins that shuffle."""
+"""Interval joins. They meet in the cells of a dyadic index, so they are equi-joins that shuffle."""
 
 from __future__ import annotations
 
@@ -16,19 +16,48 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
     ).drop("island")
 
 
+def _cells(intervals: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """Each interval in the cells of its level that it touches, three at most: ``_level`` and ``_cell``.
+
+    Cells of level k are ``width * 2**k`` long, and an interval's level is the first whose cells are
+    as long as itself.
+    """
+    rows = intervals.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col(end) - F.col(start)) / width, F.lit(1.0))))).cast("int"))
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))
+    first = F.floor(F.col(start) / size)
+    return rows.withColumn("_cell", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col(end) / size)))))
+
+
+def _asked(points: DataFrame, at: str, indexed: DataFrame, width: float) -> DataFrame:
+    """Each point with its cell at each level that ``indexed`` has: a few dozen levels, as lengths are doubles."""
+    levels = indexed.agg(F.collect_set("_level").alias("_levels"))
+    rows = points.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels")  # one row
+    return rows.withColumn("_cell", F.floor(F.col(at) / (F.lit(width) * F.pow(F.lit(2.0), F.col("_level")))))
+
+
+def stab_join(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """Points of a session with the intervals that hold them: start <= t < end. Each such pair comes once.
+
+    A dyadic index: an interval of any length is in three cells at most, and a point asks one cell of
+    each level, so that what is shuffled does not grow with the lengths. ``width`` is the length of
+    the finest cells. Null ends and times meet nothing.
+    """
+    indexed = _cells(intervals, start, end, width)
+    met = _asked(points, at, indexed, width).join(indexed, ["session_id", "_level", "_cell"])
+    return met.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_cell")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
     """Pairs of one session whose half-open ranges overlap; right's columns are ``r_start, r_end, ...``.
 
-    Both sides are repeated for the buckets of ``width`` seconds that they touch; a pair counts in
-    the later of their first buckets only.
+    Of two ranges that overlap one begins within the other: either left within right, or right
+    within left and later. Both are found in a dyadic index, and each pair by one of them.
     """
-    def dealt(df: DataFrame, a: str, b: str, first: str) -> DataFrame:
-        at = F.floor(F.col(a) / width)
-        return df.withColumn(first, at).withColumn("bucket", F.explode(F.sequence(at, F.greatest(at, F.ceil(F.col(b) / width) - 1))))
-
-    both = dealt(left, "start_sec", "end_sec", "l_first").join(dealt(right, "r_start", "r_end", "r_first"), ["session_id", "bucket"])
-    both = both.filter((F.col("bucket") == F.greatest("l_first", "r_first")) & (F.col("start_sec") < F.col("r_end")) & (F.col("r_start") < F.col("end_sec")))
-    return both.drop("bucket", "l_first", "r_first")
+    columns = [*left.columns, *[c for c in right.columns if c != "session_id"]]
+    overlap = (F.col("start_sec") < F.col("r_end")) & (F.col("r_start") < F.col("end_sec"))
+    earlier = stab_join(left, "start_sec", right, "r_start", "r_end", width)
+    later = stab_join(right, "r_start", left, "start_sec", "end_sec", width).filter("r_start > start_sec")
+    return earlier.filter(overlap).select(*columns).unionByName(later.filter(overlap).select(*columns))
 
 
 def overlap_duration(windows: DataFrame, keys: list[str], intervals: DataFrame, width: float) -> DataFrame:
@@ -47,24 +76,17 @@ def overlap_reasons(windows: DataFrame, keys: list[str], intervals: DataFrame, w
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
-    """Adds ``inside``: whether some interval has start <= t < end."""
-    ranges = intervals.select("session_id", F.col("start_sec").alias("r_start"), F.col("end_sec").alias("r_end"))
-    at = F.floor(F.col("r_start") / width)
-    ranges = ranges.withColumn("bucket", F.explode(F.sequence(at, F.greatest(at, F.ceil(F.col("r_end") / width) - 1))))
-    dealt = points.withColumn("bucket", F.floor(F.col("t_sec") / width))
-    near = ranges.groupBy("session_id", "bucket").agg(F.collect_list(F.struct("r_start", "r_end")).alias("_ranges"))  # those of one bucket
-    hit = F.exists("_ranges", lambda r: (F.col("t_sec") >= r["r_start"]) & (F.col("t_sec") < r["r_end"]))
-    return dealt.join(near, ["session_id", "bucket"], "left").withColumn("inside", F.coalesce(hit, F.lit(False))).drop("bucket", "_ranges")
+    """Adds ``inside``: whether some interval has start <= t < end. Merged intervals hold a point once at most."""
+    merged = merge_intervals(intervals).select("session_id", "start_sec", "end_sec")
+    times = points.select("session_id", F.col("t_sec").alias("_t")).distinct()
+    found = stab_join(times, "_t", merged, "start_sec", "end_sec", width).select("session_id", F.col("_t").alias("t_sec"), F.lit(True).alias("_hit"))
+    return points.join(found, ["session_id", "t_sec"], "left").withColumn("inside", F.coalesce("_hit", F.lit(False))).select(*points.columns, "inside")
 
 
 def align_by_midpoint(utterances: DataFrame, ranges: DataFrame, width: float) -> DataFrame:
     """Each utterance with the first range that holds its midpoint."""
-    mid = (F.col("start_sec") + F.col("end_sec")) / 2
-    dealt = utterances.withColumn("mid", mid).withColumn("bucket", F.floor(F.col("mid") / width))
-    at = F.floor(F.col("r_start") / width)
-    r = ranges.withColumn("bucket", F.explode(F.sequence(at, F.greatest(at, F.ceil(F.col("r_end") / width) - 1))))
-    found = dealt.join(r, ["session_id", "bucket"]).filter((F.col("mid") >= F.col("r_start")) & (F.col("mid") < F.col("r_end")))
-    return found.groupBy("session_id", "utterance_id").agg(F.min("segment_id").alias("segment_id"))
+    mids = utterances.withColumn("mid", (F.col("start_sec") + F.col("end_sec")) / 2)
+    return stab_join(mids, "mid", ranges, "r_start", "r_end", width).groupBy("session_id", "utterance_id").agg(F.min("segment_id").alias("segment_id"))
 
 
 def align_by_overlap(utterances: DataFrame, ranges: DataFrame, width: float) -> DataFrame:

@@ -41,18 +41,12 @@ def pick_segments(groups: list[Column], available: Column, most: int = 3) -> Col
 
 
 def risk_threshold(risks: DataFrame, rate: float) -> DataFrame:
-    """The risk at or above which a share ``rate`` lies: the k-th largest, k rounded half to even.
+    """The risk at or above which a share ``rate`` lies: the k-th largest, k rounded half to even."""
+    from lumenlake.operators.quantiles import prefix_sums
 
-    Counts by bucket of risk find the bucket of the k-th largest; only that one is ranked.
-    """
     n = risks.groupBy().agg(F.count("*").alias("n")).withColumn("k", F.bround(F.col("n") * rate).cast("long"))
-    bucket = F.floor(F.col("risk") * 4096)
-    counts = risks.groupBy(bucket.alias("_b")).agg(F.count("*").alias("m"))  # 4,097 rows at most
-    before = F.coalesce(F.sum("m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    home = counts.withColumn("before", before).crossJoin(F.broadcast(n)).filter("before < k and before + m >= k").select("_b", "before", "k")
-    own = risks.groupBy(bucket.alias("_b"), "risk").agg(F.count("*").alias("m")).join(F.broadcast(home), "_b")  # one bucket
-    upto = F.col("before") + F.sum("m").over(Window.partitionBy("_b").orderBy(F.desc("risk")))
-    found = own.withColumn("upto", upto).filter("upto >= k").groupBy().agg(F.max("risk").alias("t"))
+    counts = prefix_sums(risks.groupBy("risk").agg(F.count("*").alias("m")), [], [F.desc("risk")], ["m"])
+    found = counts.crossJoin(F.broadcast(n)).filter("m_before < k and m_before + m >= k").groupBy().agg(F.max("risk").alias("t"))  # one row
     return n.crossJoin(found).select(F.when(F.col("k") <= 0, F.lit(1.0)).otherwise(F.col("t")).alias("threshold"))
 
 

@@ -1,8 +1,8 @@
 """Exact quantiles and running sums that no single task has to sort.
 
 A window over a few keys would put all values of a key into one task. Here values are dealt to
-buckets of their range first; only counts of buckets are accumulated key by key, and values are
-ordered within a bucket.
+ranges or buckets first; only their totals are accumulated key by key, and values are ordered
+within a range.
 """
 
 from __future__ import annotations
@@ -10,29 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.sources.scratch import stored
+
 BUCKETS = 4096
 #: Values of one key that a single aggregate may hold.
 PLAIN = 1 << 20
 
 
-def prefix_sums(rows: DataFrame, keys: list[str], by: str, order: list[Column], sums: list[str], descending: bool = False) -> DataFrame:
-    """Adds ``<name>_before``: the sums over the rows of the same keys that come earlier in ``order``, whose first part
-    must be ``by`` in that direction, and ``last_by``, the value of ``by`` in the row before (null for the first).
+def ranged(rows: DataFrame, keys: list[str], order: list[Column], part: str = "_p") -> DataFrame:
+    """``rows`` dealt to ranges of (keys, order) with sampled borders; ``part`` numbers the ranges in that order.
+
+    Equal values of the first columns are split by the later ones. The dealt rows are stored, since
+    borders sampled twice may differ.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()), "ranges")
+
+
+def prefix_sums(rows: DataFrame, keys: list[str], order: list[Column], sums: list[str], last: str | None = None) -> DataFrame:
+    """Adds ``<name>_before``: the sums over the rows of the same keys that come earlier in ``order``, and, for a
+    column ``last``, ``last_before``: its value in the row before (null for the first).
 
-    ``by`` lies within 0 and 1, as scores do; values outside share the end buckets.
+    A scan over ranges: each range adds up its rows, the totals of the ranges are accumulated (a row for
+    each key and range), and rows are ordered within their range only.
     """
-    bucket = F.least(F.greatest(F.floor(F.col(by) * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
-    dealt = rows.withColumn("_b", bucket)
-    edge = F.min(by) if descending else F.max(by)
-    per = dealt.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums], edge.alias("_edge"))  # BUCKETS rows a key at most
-    turn = F.desc("_b") if descending else F.asc("_b")
-    earlier = Window.partitionBy(*keys).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    start = per.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums], F.last("_edge").over(earlier).alias("_edge"))
-    own = Window.partitionBy(*keys, "_b").orderBy(*order)
+    dealt = ranged(rows, keys, order)
+    own = Window.partitionBy(*keys, "_p").orderBy(*order)
+    edge = [F.max_by(last, "_n").alias("_last")] if last else []
+    ends = dealt.withColumn("_n", F.row_number().over(own)) if last else dealt
+    per = ends.groupBy(*keys, "_p").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums], *edge)
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    start = per.select(*keys, "_p", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums], *([F.last("_last").over(earlier).alias("_last")] if last else []))
     before = own.rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(start, [*keys, "_b"])
     added = {f"{c}_before": F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums}
-    return out.withColumns(added | {"last_by": F.coalesce(F.lag(by).over(own), F.col("_edge"))}).drop("_b", "_edge", *[f"_s_{c}" for c in sums])
+    if last:
+        added["last_before"] = F.coalesce(F.lag(last).over(own), F.col("_last"))
+    return dealt.join(start, [*keys, "_p"]).withColumns(added).select(*rows.columns, *added)
 
 
 def largest_group(rows: DataFrame, keys: list[str]) -> int:

@@ -32,23 +32,11 @@ def balanced_subset(rows: DataFrame, label: str, key: str, per_class: int, seed:
 
 
 def lowest_quota(rows: DataFrame, value: str, key: str, share: float) -> DataFrame:
-    """The max(1, round(share * n)) rows of smallest (value, key).
-
-    The cut comes from running counts of distinct values, kept by bucket of their range; only rows at
-    the cut itself are ranked.
-    """
-    ends = rows.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    counts = rows.groupBy(value).agg(F.count("*").alias("_m")).crossJoin(F.broadcast(ends))  # one row
-    counts = counts.withColumn("_u", F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))).drop("_lo", "_hi")
-    counts = prefix_sums(counts, [], "_u", [F.col(value)], ["_m"]).withColumnRenamed("_m_before", "_before")
-    quota = F.greatest(F.lit(1), F.bround(F.col("_all") * share).cast("long"))
-    total = rows.groupBy().agg(F.count("*").alias("_all")).select(quota.alias("_k"))
-    cut = counts.crossJoin(F.broadcast(total))
-    cut = cut.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_m") >= F.col("_k"))).select(F.col(value).alias("_cut"), (F.col("_k") - F.col("_before")).alias("_room"))
-    marked = rows.crossJoin(F.broadcast(cut))  # one row
-    at = marked.filter(F.col(value) == F.col("_cut"))
-    at = at.withColumn("_n", F.row_number().over(Window.partitionBy("_cut").orderBy(key))).filter("_n <= _room").drop("_n")
-    return marked.filter(F.col(value) < F.col("_cut")).unionByName(at).drop("_cut", "_room")
+    """The max(1, round(share * n)) rows of smallest (value, key), whatever ties there are."""
+    quota = F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("long"))
+    total = rows.groupBy().agg(quota.alias("_k"))
+    counted = prefix_sums(rows.withColumn("_one", F.lit(1)), [], [F.col(value), F.col(key)], ["_one"])
+    return counted.crossJoin(F.broadcast(total)).filter("_one_before < _k").select(*rows.columns)  # one row
 
 
 def even_places(n: Column, k: int) -> Column:

@@ -118,14 +118,35 @@ def test_exact_quantiles(spark):
 
 def test_running_sums(spark):
     r = random.Random(2)
-    rows = [(r.choice("ab"), round(r.random(), 2), r.randrange(9)) for _ in range(300)] + [("a", 1.0, 1), ("b", 0.0, 2)]
+    rows = [(r.choice("ab"), round(r.random(), 2), r.randrange(9)) for _ in range(300)] + [("a", 1.0, 1), ("b", 0.0, 2), (None, -5.0, 3), (None, 7e9, 4)]
     rows = [(i, *x) for i, x in enumerate(rows)]
     for down in (False, True):
-        got = quantiles.prefix_sums(frame(spark, rows, "i int, k string, p double, m int"), ["k"], "p", [F.desc("p") if down else F.col("p"), F.col("i")], ["m"], down).collect()
+        got = quantiles.prefix_sums(frame(spark, rows, "i int, k string, p double, m int").filter("k is not null"), ["k"], [F.desc("p") if down else F.col("p"), F.col("i")], ["m"], last="p").collect()
+        assert len(got) == 302
         for x in got:
             before = [y for y in rows if y[1] == x.k and ((-y[2] if down else y[2]), y[0]) < ((-x.p if down else x.p), x.i)]
             assert x.m_before == sum(y[3] for y in before)
-            assert x.last_by == (None if not before else (min if down else max)(y[2] for y in before))
+            assert x.last_before == (None if not before else (min if down else max)(y[2] for y in before))
+
+
+def test_a_million_equal_scores_spread_over_all_tasks(spark):
+    rows = spark.range(1_000_000).select(F.lit(1).alias("g"), F.lit(0.5).alias("p"), "id", (F.col("id") % 4 == 0).cast("int").alias("y"))
+    parts = [r.n for r in quantiles.ranged(rows, ["g"], [F.desc("p"), F.col("id")]).groupBy("_p").agg(F.count("*").alias("n")).collect()]
+    assert len(parts) == 4 and max(parts) < 400_000
+    got = metrics.average_precision_ranked(rows, ["g"], "id").first().average_precision
+    ranks = np.arange(0, 1_000_000, 4) + 1
+    assert got == pytest.approx(((np.arange(len(ranks)) + 1) / ranks).mean(), rel=1e-12)
+    assert metrics.auc(rows, ["g"]).first().auc == 0.5 and metrics.average_precision(rows, ["g"]).first().average_precision == 0.25
+    picked = selection.lowest_quota(rows, "p", "id", 0.00001).collect()
+    assert sorted(r.id for r in picked) == list(range(10))
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_scores_without_a_rank_are_errors(spark, bad):
+    rows = frame(spark, [(1, 0, 0.2, 1, 0.3), (1, 1, bad, 2, bad)], "g int, y int, p double, i int, confidence double")
+    for run in (lambda: metrics.auc(rows, ["g"]), lambda: metrics.average_precision(rows, ["g"]), lambda: metrics.average_precision_ranked(rows, ["g"], "i"), lambda: metrics.best_threshold(rows, ["g"]), lambda: metrics.selective(rows, ["g"], "i", 0.1)):
+        with pytest.raises(Exception, match="null or NaN"):
+            run().collect()
 
 
 def test_bootstraps(spark):
