@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.operators import bootstraps
+
 
 def impute_scale(rows: DataFrame, columns: list[str], train: str) -> DataFrame:
     """Median-imputed, standardised ``columns`` and ``<column>_missing``; fitted on ``train`` rows.
@@ -38,26 +38,10 @@ def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2, most: int = 50_
 
 
 def bootstrap(rows: DataFrame, key: str, value: str, stratum: str, samples: int, seed: int) -> DataFrame:
-    """``estimate, low, high``: the mean of ``value`` and 2.5 and 97.5 % quantiles of its replicates.
-
-    A row counts Poisson(1) times in each replicate, drawn from a hash of seed, key and replicate:
-    one pass with map-side sums and the same result on every rerun. Replicates weigh each stratum
-    by its share of the rows.
-    """
-    u = F.expr(f"pmod(xxhash64({seed}, `{key}`, _b), 4503599627370496) / 4503599627370496D")
-    total, cuts = 0.0, []
-    for k in range(15):  # beyond 14 the chance is below 1e-12
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    draw = F.lit(len(cuts))
-    for k in reversed(range(len(cuts))):
-        draw = F.when(u < cuts[k], k).otherwise(draw)
-    drawn = rows.select(key, value, stratum, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b")).withColumn("_w", draw)
-    sums = drawn.groupBy("_b", stratum).agg(F.sum(F.col("_w") * F.col(value)).alias("_x"), F.sum("_w").alias("_n"))
-    shares = rows.groupBy(stratum).agg(F.count("*").alias("_m"))
-    means = sums.join(shares, stratum).filter("_n > 0").groupBy("_b").agg((F.sum(F.col("_m") * F.col("_x") / F.col("_n")) / F.sum("_m")).alias("_mean"))
-    ends = means.agg(F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).select(F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
-    return rows.agg(F.avg(value).alias("estimate")).crossJoin(ends)  # one row each
+    """``estimate, low, high``: the mean of ``value`` and 2.5 and 97.5 % quantiles of its replicates, which weigh each
+    stratum by its share of the rows."""
+    drawn = bootstraps.means(rows, key, [value], samples, seed, stratum).agg(*bootstraps.ends("m"))
+    return rows.agg(F.avg(value).alias("estimate")).crossJoin(drawn)  # one row each
 
 
 def session_features(units: DataFrame, observations: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.operators import bootstraps
 from lumenlake.operators.metrics import log_loss, transition
 
 EPSILON = 1e-7
@@ -81,61 +82,13 @@ def improvements(rows: DataFrame) -> DataFrame:
     return rows.select("session_id", ((q - y) * (q - y) - (p - y) * (p - y)).alias("brier_improvement"), (loss(q) - loss(p)).alias("log_loss_improvement"), ((~a & b & ~r).cast("double") - (a & ~b & ~r).cast("double")).alias("net_correction"))
 
 
-def _weight(key: str, seed: int) -> Column:
-    """Poisson(1) from a hash of seed, key and replicate ``_b``."""
-    import math
-
-    u = F.expr(f"pmod(xxhash64({seed}, `{key}`, _b), 4503599627370496) / 4503599627370496D")
-    total, cuts = 0.0, []
-    for k in range(15):  # beyond 14 the chance is below 1e-12
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    draw = F.lit(len(cuts))
-    for k in reversed(range(len(cuts))):
-        draw = F.when(u < cuts[k], k).otherwise(draw)
-    return draw
-
-
-def resampled(rows: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
-    """``rows`` once for each replicate ``_b`` with its weight ``_w``; rows of weight 0 are left out."""
-    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_w", _weight(key, seed)).filter("_w > 0")
-
-
-def _ends(c: str) -> list[Column]:
-    q = F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
-    return [q[0].alias("low"), q[1].alias("high")]
-
-
 def paired_bootstrap(rows: DataFrame, key: str, values: list[str], samples: int, seed: int) -> DataFrame:
     """``statistic, estimate, low, high``: mean and 2.5 and 97.5 % quantiles of the replicates' means.
 
-    Weights come from a hash of the key, so the same row counts alike for every statistic, and a
-    rerun gives the same. Sums are combined before the shuffle.
+    The same row counts alike for every statistic. A value that is null or NaN is left out of its
+    statistic.
     """
-    sums = resampled(rows.select(key, *values), key, samples, seed).groupBy("_b").agg(*[(F.sum(F.col("_w") * F.col(v)) / F.sum("_w")).alias(v) for v in values])
-    each = sums.select(F.explode(F.array(*[F.struct(F.lit(v).alias("statistic"), F.col(v).alias("m")) for v in values])).alias("x")).select("x.*")
-    return each.groupBy("statistic").agg(F.avg("m").alias("estimate"), *_ends("m"))
-
-
-def ranking_bootstrap(rows: DataFrame, key: str, scores: list[str], samples: int, seed: int) -> DataFrame:
-    """``score, statistic, estimate, low, high`` of the area under the curve and the average precision of
-    several scores of the same rows (key, y), on the same replicates, and of the first score's lead
-    over each other (``score`` is then ``first - other``). Replicates with one class are left out."""
-    drawn = resampled(rows.select(key, "y", F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("p")) for s in scores])).alias("x")).select(key, "y", "x.*"), key, samples, seed)
-    points = drawn.groupBy("_b", "score", "p").agg(F.sum(F.col("_w") * F.col("y")).alias("pos"), F.sum(F.col("_w") * (1 - F.col("y"))).alias("neg"))
-    up, down = Window.partitionBy("_b", "score").orderBy("p"), Window.partitionBy("_b", "score").orderBy(F.desc("p"))
-    points = points.withColumns({
-        "below": F.coalesce(F.sum("neg").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "tp": F.sum("pos").over(down), "seen": F.sum(F.col("pos") + F.col("neg")).over(down),
-    })
-    pairs = F.sum("pos") * F.sum("neg")
-    each = points.groupBy("_b", "score").agg(
-        F.when(pairs > 0, F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / pairs).alias("auc"), F.when(F.sum("pos") > 0, F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")).alias("average_precision"),
-    ).filter("auc is not null")
-    first = each.filter(F.col("score") == scores[0]).select("_b", F.col("auc").alias("a"), F.col("average_precision").alias("ap"))
-    leads = each.filter(F.col("score") != scores[0]).join(first, "_b").select(F.concat(F.lit(f"{scores[0]} - "), F.col("score")).alias("score"), (F.col("a") - F.col("auc")).alias("auc"), (F.col("ap") - F.col("average_precision")).alias("average_precision"))
-    both = each.select("score", "auc", "average_precision").unionByName(leads)
-    long = both.select("score", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("m")) for s in ("auc", "average_precision")])).alias("x")).select("score", "x.*")
-    return long.groupBy("score", "statistic").agg(F.avg("m").alias("estimate"), *_ends("m"))
+    return bootstraps.means(rows, key, values, samples, seed).groupBy("statistic").agg(F.avg("m").alias("estimate"), *bootstraps.ends("m"))
 
 
 def checks(**conditions: Column) -> Column:

@@ -473,4 +473,4 @@ def l4(spark, d):
     return records.within_budget(e, "run_id", "event_id", "cost", 2400).select("run_id", "event_id", F.col("used").cast("long").alias("used"), F.col("remaining").cast("long").alias("remaining"), "fits")
 
 
-from lumenlake.plans import composites, evidence, files, lineage, loops, more, signals  # noqa: E402, F401  (their queries use those above)
+from lumenlake.plans import composites, evidence, files, lineage, loops, models, more, signals  # noqa: E402, F401  (their queries use those above)

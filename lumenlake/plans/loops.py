@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.functions import json as js
+from lumenlake.operators import bootstraps, metrics, retrieval, training
 from lumenlake.operators import evaluation as ev
-from lumenlake.operators import metrics, retrieval, training
 from lumenlake.plans import views as v
 from lumenlake.plans.catalog import query
 
@@ -78,13 +78,14 @@ def m18(spark, d):
 @query("m18_paired_bootstrap")
 def m18_bootstrap(spark, d):
     rows = ev.improvements(ev.fail_closed(arms(spark, d)).filter("arm_id = 'agent'"))
-    return ev.paired_bootstrap(rows, "session_id", ["brier_improvement", "log_loss_improvement", "net_correction"], 200, 42)
+    return ev.paired_bootstrap(rows, "session_id", ["brier_improvement", "log_loss_improvement", "net_correction"], 5000, 42)
 
 
 @query("m20_ranking_bootstrap")
 def m20(spark, d):
+    """The six paired statistics: both curves of two scores and the first's lead."""
     p = v.predictions(spark, d).groupBy("session_id").agg(F.first("y").alias("y"), *[F.max(F.when(F.col("seed") == s, F.col("p"))).alias(f"s{s}") for s in (42, 43)]).filter("y is not null")
-    return ev.ranking_bootstrap(p, "session_id", ["s42", "s43"], 100, 7)
+    return bootstraps.ranking_intervals(p, "session_id", ["s42", "s43"], 5000, 7)
 
 
 @query("m23_benefit_gate", "SELECT (x = 0) AS point_pass, false AS uncertainty_pass FROM range(1) r(x)")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import json as js
 from lumenlake.functions import text
-from lumenlake.operators import acoustics, baselines, evaluation, lineage, metrics, policy, quantiles, records, references, retrieval, selection, shortlists, slots, training, transcripts
+from lumenlake.operators import acoustics, baselines, bootstraps, evaluation, lineage, metrics, policy, quantiles, records, references, retrieval, selection, shortlists, slots, training, transcripts
 from lumenlake.plans.catalog import QUERIES
 from lumenlake.sources import files, sessions, sinks
 
@@ -156,7 +156,7 @@ def test_bootstraps(spark):
     x = np.array([v for _, v in rows])
     assert got.estimate == pytest.approx(x.mean(), abs=0.03) and got.low == pytest.approx(x.mean() - 1.96 * x.std() / 20, abs=0.04) and got.high == pytest.approx(x.mean() + 1.96 * x.std() / 20, abs=0.04)
     pairs = [(i, i % 2, i % 2 * 0.5 + r.random() * 0.6, r.random()) for i in range(300)]
-    out = {(x.score, x.statistic): x for x in evaluation.ranking_bootstrap(frame(spark, pairs, "id int, y int, a double, b double"), "id", ["a", "b"], 100, 2).collect()}
+    out = {(x.score, x.statistic): x for x in bootstraps.ranking_intervals(frame(spark, pairs, "id int, y int, a double, b double"), "id", ["a", "b"], 100, 2).collect()}
     true = metrics.auc(frame(spark, [(1, y, a) for _, y, a, _ in pairs], "g int, y int, p double"), ["g"]).first().auc
     assert out["a", "auc"].estimate == pytest.approx(true, abs=0.02) and out["a - b", "auc"].low > 0 and ("b", "average_precision") in out
 
