@@ -74,11 +74,10 @@ def fold_vectors(rows: DataFrame, text: str, folds: int, min_df: int, most: int)
     number = F.row_number().over(Window.partitionBy("model").orderBy("term")) - 1
     vocabulary = stored(vocabulary.withColumn("i", number), "text-vocabulary")  # folds * most rows at most
     met = counts.join(F.broadcast(vocabulary), "term").select("model", "_r", F.struct("i", ((1 + F.log("tf")) * F.col("idf")).alias("v")).alias("x"))
-    vectors = met.groupBy("model", "_r").agg(F.collect_list("x").alias("x"))  # the terms of one text
+    vectors = met.groupBy("model", "_r").agg(F.collect_list("x").alias("x"), F.sqrt(F.sum(F.col("x.v") * F.col("x.v"))).alias("length"))  # the terms of one text
     each = rows.select("_r", "y", "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("model"))
-    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
     full = each.join(vectors, ["model", "_r"], "left").withColumn("x", F.coalesce("x", F.expr("cast(array() as array<struct<i:int,v:double>>)")))
-    return full.select("model", "_r", "y", "fold", F.transform("x", lambda x: x["i"]).alias("i"), F.transform("x", lambda x: x["v"] / length).alias("v"))
+    return full.select("model", "_r", "y", "fold", F.transform("x", lambda x: x["i"]).alias("i"), F.transform("x", lambda x: x["v"] / F.col("length")).alias("v"))
 
 
 def _margins(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
