@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lumenlake.functions.text import normal_key
 
 #: Keys that may not occur in what a model sees, as ``normal_key`` writes them. Fixed values.
-LABEL_KEYS = ("label", "labels", "groundtruth", "goldlabel", "truelabel", "target", "targetlabel", "samplelabel", "phq8binary", "phq8score", "phqbinary", "phqscore", "diagnosis")
+LABEL_KEYS = (
+    "label", "label2", "label3", "labels", "target", "targetlabel", "groundtruth", "goldlabel", "samplelabel", "truelabel", "ytrue",
+    "diagnosis", "depressed", "depressionlabel", "phq8", "phq8binary", "phq8score", "phq9", "phq9score", "phqbinary", "phqscore",
+)
 
 
 def completion(text: Column) -> Column:
@@ -59,11 +62,11 @@ def key_differences(text: Column, expected: list[str]) -> Column:
 
 
 def unit_number(text: Column, path: str) -> Column:
-    """A JSON number within 0 and 1 at a top-level key; null for anything else, true and false included."""
-    raw = F.get_json_object(text, f"$.{path}")
-    quoted = F.coalesce(F.regexp_extract(text, rf'"{path}"\s*:\s*(.)', 1), F.lit(""))
-    n = raw.try_cast("double")
-    return F.when(~quoted.isin('"', "t", "f", "") & n.between(0, 1), n)
+    """A JSON number within 0 and 1 at a top-level key; null for anything else, true and false included,
+    and for a text that is no JSON or repeats a key."""
+    value = F.try_variant_get(F.try_parse_json(text), f"$.{path}", "variant")
+    n = F.try_variant_get(value, "$", "double")
+    return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE)") & n.between(0, 1), n)
 
 
 def source_problem(status: Column, risk: Column, reliability: Column) -> Column:

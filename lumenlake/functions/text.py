@@ -70,8 +70,15 @@ def number(value: Column, digits: int = 3) -> Column:
     return F.when(finite, F.when(plain.isin("", "-0"), "0").otherwise(plain)).otherwise("unavailable")
 
 
+def plain_number(raw: Column) -> Column:
+    """A decimal number, blanks around it or not; null for anything else, as for ``1d``, ``5f``, ``NaN`` and ``0x1``, of
+    which a cast would take some."""
+    t = F.trim(raw)
+    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+
+
 def normal_id(raw: Column) -> Column:
     """``300.0`` becomes ``300``; what is no whole number stays as it is, trimmed."""
     t = F.trim(raw)
-    n = t.try_cast("double")
-    return F.when(n.isNotNull() & ~F.isnan(n) & (F.abs(n) < 1e15) & (n == F.floor(n)), n.cast("long").cast("string")).otherwise(t)
+    n = plain_number(t)
+    return F.when(n.isNotNull() & (F.abs(n) < 1e15) & (n == F.floor(n)), n.cast("long").cast("string")).otherwise(t)

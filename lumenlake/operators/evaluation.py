@@ -149,19 +149,22 @@ def best_checkpoint(history: DataFrame, keys: list[str], step: str, metric: str)
     return history.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def prior_shift(margins: DataFrame, column: str, prior: float, reach: float = 80.0, cuts: int = 32, rounds: int = 12) -> float:
-    """The shift of logits under which their mean probability is ``prior``.
+def prior_shift(margins: DataFrame, column: str, prior: float, reach: float = 80.0, rounds: int = 100, tolerance: float = 1e-13) -> float:
+    """The shift of logits, within ``reach``, under which their mean probability is ``prior``.
 
-    A pass evaluates ``cuts`` shifts at once and narrows the range by as many; twelve passes leave
-    less than doubles can tell.
+    Newton steps that stay within the bracket known so far, else its middle. Each round is one pass
+    over ``margins``, which should be stored; a handful do.
     """
-    low, high = -reach, reach
+    low, high, shift = -reach, reach, 0.0
     for _ in range(rounds):
-        grid = [low + (high - low) * i / cuts for i in range(cuts + 1)]
-        means = margins.agg(*[F.avg(1 / (1 + F.exp(-(F.col(column) + F.lit(g))))).alias(f"m{i}") for i, g in enumerate(grid)]).first()
-        at = max((i for i in range(cuts) if means[i] is not None and means[i] <= prior), default=0)
-        low, high = grid[at], grid[at + 1]
-    return (low + high) / 2
+        p = 1 / (1 + F.exp(-(F.col(column) + F.lit(shift))))
+        mean, slope = margins.agg(F.avg(p), F.avg(p * (1 - p))).first()
+        if mean is None or abs(mean - prior) <= tolerance or high - low <= tolerance:
+            break
+        low, high = (shift, high) if mean < prior else (low, shift)
+        step = shift - (mean - prior) / slope if slope else low
+        shift = step if low < step < high else (low + high) / 2
+    return shift
 
 
 def preference_audit(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,13 +42,13 @@ def canonical_digest(value: dict) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def ids_digest(ids: DataFrame, key: str, ranges: int = 4096) -> DataFrame:
-    """``n, digest`` of a set of ids, whatever their order: digests of hashed ranges, then of these.
+def ids_digest(ids: DataFrame, key: str, digits: int = 3) -> DataFrame:
+    """``n, digest`` of a set of ids, whatever their order: digests of ranges of the ids' own digests, then of these.
 
-    No task joins more ids than a range holds, ``ranges`` of them.
+    No task joins more ids than a range holds, one of 16 to the power of ``digits``.
     """
     own = ids.select(F.col(key).cast("string").alias("_k")).distinct()
-    each = own.groupBy(F.pmod(F.xxhash64("_k"), F.lit(ranges)).alias("_r")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_k")), "\n"), 256).alias("_d"))
+    each = own.groupBy(F.substring(F.sha2("_k", 256), 1, digits).alias("_r")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_k")), "\n"), 256).alias("_d"))
     return each.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_d"))), lambda x: x["_d"]), "\n"), 256).alias("digest"))
 
 

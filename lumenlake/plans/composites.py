@@ -8,6 +8,7 @@ from lumenlake.operators import composites, evidence, records
 from lumenlake.plans import views as v
 from lumenlake.plans.catalog import query
 from lumenlake.plans.evidence import AGGREGATED_SQL, CUED_SQL, PROJECTED_SQL, aggregated, projected
+from lumenlake.plans.files import as_text, cells
 from lumenlake.sources import files, sessions
 from lumenlake.sources.scratch import scratch
 
@@ -160,30 +161,32 @@ def l3(spark, d):
     return both.groupBy("run_id").agg(F.count("*").alias("entries")).join(bad, "run_id", "left").select("run_id", "entries", F.coalesce("n", F.lit(0)).alias("violations"))
 
 
-@query("s6_arrays", "SELECT 'a' AS session_id, 3 AS rows, 15.0::DOUBLE AS total FROM range(1)")
+@query("s6_arrays", """SELECT label::VARCHAR || '-' || vec_id // 500 AS session_id, count(*)::INTEGER AS rows, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 6) AS total, round(max(embedding[1])::DOUBLE, 6) AS first FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 GROUP BY 1""")
 def s6(spark, d):
-    """A small array of the driver's as a file, read back."""
+    """The vectors of each label as array files of 500 ids each, which are parsed again."""
     import io
 
     import numpy as np
+    import pyarrow as pa
 
-    buffer, folder = io.BytesIO(), scratch(spark, "arrays")
-    np.save(buffer, np.arange(6.0).reshape(3, 2))
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/a_visual.npy")
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray(buffer.getvalue()))
-    out.close()
-    rows = files.read_arrays(spark, folder, 2)
-    return rows.groupBy("session_id").agg(F.count("*").cast("int").alias("rows"), F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        buffer = io.BytesIO()
+        np.save(buffer, table.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, 64))
+        return pa.table({"path": [f"/arrays/{key[0].as_py()}-{key[1].as_py()}_visual.npy"], "content": pa.array([buffer.getvalue()], pa.binary())})
+
+    own = v.table(spark, d, "embeddings").filter("label is not null and size(embedding) = 64 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('inf'))")
+    made = own.select("label", F.expr("vec_id div 500").alias("part"), "embedding").groupBy("label", "part").applyInArrow(packed, "path string, content binary")
+    rows = files.parsed_arrays(made, 64)
+    total = F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x))
+    return rows.groupBy("session_id").agg(F.count("*").cast("int").alias("rows"), F.round(total, 6).alias("total"), F.round(F.max(F.col("features")[0]), 6).alias("first"))
 
 
 @query("s7_transcripts", "SELECT conv_id::DOUBLE * 100 + turn AS start_sec, CASE WHEN turn % 4 <> 1 THEN 'said' END AS text, turn % 4 = 1 AS privacy_scrubbed, CASE role WHEN 'user' THEN 'participant' WHEN 'assistant' THEN 'interviewer' ELSE 'unassigned' END AS speaker_role FROM conversations WHERE turn % 5 <> 4")
 def s7(spark, d):
-    c = v.table(spark, d, "conversations").selectExpr("concat_ws('\\t', if(turn % 5 = 4, 'x', cast(conv_id * 100 + turn as string)), conv_id * 100 + turn + 1, case role when 'user' then 'Participant' when 'assistant' then 'Ellie' else '?' end, if(turn % 4 = 1, 'scrubbed_entry', 'said')) as value")
-    folder = scratch(spark, "transcripts")
-    header = spark.createDataFrame([("Start_Time\tstop_time\tspeaker\tvalue",)], "value string")
-    header.unionByName(c).coalesce(1).write.text(folder)  # one file, its header first
-    return files.read_transcripts(spark, folder).select("start_sec", "text", "privacy_scrubbed", "speaker_role")
+    c = v.table(spark, d, "conversations")
+    rows = c.select(cells(F.expr("case when turn % 5 = 4 then concat(conv_id * 100 + turn, 'd') else cast(conv_id * 100 + turn as string) end"), F.expr("conv_id * 100 + turn + 1"), F.expr("case role when 'user' then 'Participant' when 'assistant' then 'Ellie' else '?' end"), F.expr("if(turn % 4 = 1, 'scrubbed_entry', 'said')")))
+    return files.read_transcripts(spark, as_text(rows, "transcripts", ["Start_Time", "stop_time", "speaker", "value"], "\t")).select("start_sec", "text", "privacy_scrubbed", "speaker_role")
 
 
 @query("s15_json_lines", "SELECT o_orderkey AS a FROM orders")
@@ -193,15 +196,15 @@ def s15(spark, d):
     return files.read_jsonl(spark, folder, "a long")
 
 
-@query("s22_bundles", "SELECT r_regionkey::VARCHAR AS bundle, 1::BIGINT AS files FROM region")
+@query("s22_bundles", r"""WITH f AS (SELECT o_custkey AS k, name, string_agg(CASE name WHEN 'index.jsonl' THEN '{"id":' || o_orderkey || '}' ELSE 'EVIDENCE E' || o_orderkey END, chr(10) ORDER BY o_orderkey) AS content FROM orders, (VALUES ('index.jsonl'), ('atomic.txt')) t(name) WHERE name = 'index.jsonl' OR o_custkey % 3 > 0 GROUP BY 1, 2)
+  SELECT k::VARCHAR AS bundle, count(*) AS files, sha256(string_agg(sha256(encode(name) || '\x00'::BLOB || encode(content) || '\x00'::BLOB), '' ORDER BY name)) AS fingerprint FROM f GROUP BY 1""")
 def s22(spark, d):
-    folder = scratch(spark, "bundles")
-    for key in [r[0] for r in v.table(spark, d, "region").select("r_regionkey").collect()]:  # five bundles
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{key}/index.jsonl")
-        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
-        out.write(bytearray(str(key).encode()))
-        out.close()
-    return sessions.bundle_fingerprints(spark, folder, ["index.jsonl"]).filter("length(fingerprint) = 64").select("bundle", "files")
+    """The files of each customer's bundle; a third of the bundles lack one, and one that is not named does not count."""
+    o = v.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.explode(F.array(F.lit("index.jsonl"), F.lit("atomic.txt"), F.lit("notes.txt"))).alias("name")).filter("name <> 'atomic.txt' or o_custkey % 3 > 0")
+    line = F.when(F.col("name") == "index.jsonl", F.concat(F.lit('{"id":'), "o_orderkey", F.lit("}"))).otherwise(F.concat(F.lit("EVIDENCE E"), "o_orderkey"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])
+    made = o.groupBy("o_custkey", "name").agg(F.array_join(lines, "\n").cast("binary").alias("content"))
+    return sessions.fingerprints(made.select(F.concat_ws("/", F.lit("/bundles"), "o_custkey", "name").alias("path"), "content"), ["index.jsonl", "atomic.txt"])
 
 
 @query("g12_session_lines", "SELECT count(*) AS units, count(DISTINCT unit_id) AS lines FROM units", "units")

@@ -55,9 +55,13 @@ def g2(spark, d):
     return slots.extensions(v.units(spark, d), v.observations(spark, d), profiles(spark))
 
 
-@query("g3_merged_profiles", f"WITH {DIM_SQL} SELECT source_id, slot_id, name AS observation_name FROM prof WHERE source_id <> 'beta_audio' UNION ALL SELECT 'beta_audio', 'voice', 'jitter_level'")
+@query("g3_merged_profiles", f"""WITH {DIM_SQL}, seen AS (SELECT u.source_id, u.modality, b.name, count(*) AS n FROM units u JOIN observations b USING (unit_id) WHERE u.source_id LIKE 'beta%' GROUP BY ALL), own AS (SELECT source_id, CASE modality WHEN 'audio' THEN 'voice' ELSE 'face' END AS slot_id, name FROM seen QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n DESC, name) = 1)
+  SELECT source_id, slot_id, name AS observation_name FROM prof WHERE source_id NOT IN (SELECT source_id FROM own) UNION ALL SELECT source_id, slot_id, name FROM own""", "units", "observations")
 def g3(spark, d):
-    own = spark.createDataFrame([("beta_audio", "audio", "voice", 0, "jitter_level", "derived")], profiles(spark).schema)
+    """The profiles of two sources give way to their commonest measurement."""
+    seen = v.units(spark, d).filter("source_id like 'beta%'").select("unit_id", "source_id", "modality").join(v.observations(spark, d).select("unit_id", "name"), "unit_id").groupBy("source_id", "modality", "name").agg(F.count("*").alias("n"))
+    first = seen.groupBy("source_id", "modality").agg(F.min(F.struct((-F.col("n")).alias("n"), "name")).alias("x"))
+    own = first.select("source_id", "modality", F.expr("if(modality = 'audio', 'voice', 'face')").alias("slot_id"), F.lit(0).alias("binding_order"), F.col("x.name").alias("observation_name"), F.lit("derived").alias("mapping"))
     return slots.merged_profiles(profiles(spark), own).select("source_id", "slot_id", "observation_name")
 
 

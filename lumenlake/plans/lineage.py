@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenlake.operators import baselines, lineage, shortlists
 from lumenlake.plans import views as v
 from lumenlake.plans.catalog import query
-from lumenlake.plans.evidence import definitions, profiles
+from lumenlake.plans.evidence import DIM_SQL, PROFILES, definitions, profiles
 from lumenlake.plans.loops import drafts
 
 CANDIDATES_SQL = """cand AS (SELECT o_custkey % 40 AS session_id, printf('S%03d', o_orderkey % 3) AS segment_id, 'Q' || (o_orderkey % 2) AS query_id, o_orderkey AS atomic_no, 'E' || o_orderkey AS atomic_id, o_orderkey * 5::DOUBLE AS mid, 5::DOUBLE AS duration,
@@ -150,11 +150,12 @@ def r3(spark, d):
     return lineage.reservoir(rows, ["l_returnflag"], "id", 100, 42).groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("r8_ids_digest", "SELECT count(DISTINCT o_custkey) AS n, true AS same FROM orders")
+@query("r8_ids_digest", """WITH k AS (SELECT DISTINCT o_custkey::VARCHAR AS k FROM orders), r AS (SELECT substr(sha256(k), 1, 3) AS r, sha256(string_agg(k, chr(10) ORDER BY k)) AS d, count(*) AS n FROM k GROUP BY 1)
+  SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, chr(10) ORDER BY r)) AS digest, true AS same FROM r""")
 def r8(spark, d):
     o = v.table(spark, d, "orders")
     a, b = lineage.ids_digest(o, "o_custkey"), lineage.ids_digest(o.select("o_custkey").distinct().orderBy(F.desc("o_custkey")), "o_custkey")
-    return a.join(b.withColumnRenamed("digest", "other").drop("n"), F.lit(True)).select("n", (F.col("digest") == F.col("other")).alias("same"))
+    return a.join(b.withColumnRenamed("digest", "other").drop("n"), F.lit(True)).select("n", "digest", (F.col("digest") == F.col("other")).alias("same"))
 
 
 @query("w3_row_slices", "SELECT o_orderkey, floor(o_totalprice / 1000)::BIGINT AS first_row, ceil(o_totalprice / 1000 + 4.5)::BIGINT AS end_row FROM orders")
@@ -194,10 +195,10 @@ def f2(spark, d):
     return features(spark, d).filter(keep).select("session_id", "feature", F.round("value", 9).alias("value"))
 
 
-@query("p14_feature_views", "SELECT session_id, 1 + count(DISTINCT modality) FILTER (WHERE modality = 'audio') AS features FROM units GROUP BY 1", "units")
+@query("p14_feature_views", "SELECT session_id, 'session.duration_seconds' AS feature, max(start_sec) AS value FROM units GROUP BY 1 UNION ALL SELECT session_id, 'audio.unit_count', count(*)::DOUBLE FROM units WHERE modality = 'audio' GROUP BY 1", "units")
 def p14(spark, d):
     own = features(spark, d).filter("feature like 'session.%' or feature like '%.unit_count'")
-    return lineage.feature_view(own, "audio").groupBy("session_id").agg(F.count("*").alias("features"))
+    return lineage.feature_view(own, "audio").select("session_id", "feature", "value")
 
 
 @query("f3_feature_matrix", "SELECT session_id, count(*) FILTER (WHERE modality = 'audio')::DOUBLE AS audio_units, count(*) FILTER (WHERE modality = 'visual')::DOUBLE AS visual_units FROM units GROUP BY 1", "units")
@@ -265,12 +266,13 @@ def j11(spark, d):
     return lineage.triple_join(s.select("session_id"), s.filter("session_id % 2 = 0").select("session_id", "plan"), s.filter("session_id % 3 = 0").select("session_id", "decision"))
 
 
-@query("j13_frozen_with_labels", "SELECT session_id, row_number() OVER (ORDER BY session_id) AS place, any_value(y) AS label, round(avg(p), 6) AS probability FROM preds WHERE y IS NOT NULL AND session_id % 4 = 0 GROUP BY 1", "preds")
+@query("j13_frozen_with_labels", "SELECT session_id, row_number() OVER (ORDER BY session_id DESC) AS place, any_value(y) AS label, round(avg(p), 6) AS probability FROM preds WHERE y IS NOT NULL AND session_id % 4 = 0 GROUP BY 1", "preds")
 def j13(spark, d):
-    from pyspark.sql import Window
+    from lumenlake.operators.quantiles import prefix_sums
 
     s = seeds(spark, d).filter("split = 'test'")
-    official = s.groupBy("session_id").agg(F.max("label").alias("label")).withColumn("place", F.row_number().over(Window.orderBy("session_id")).cast("long"))  # an official test file, small
+    own = s.groupBy("session_id").agg(F.max("label").alias("label")).withColumn("one", F.lit(1))
+    official = prefix_sums(own, [], [F.desc("session_id")], ["one"]).withColumn("place", (F.col("one_before") + 1).cast("long"))
     out = lineage.frozen_with_labels(lineage.seed_freeze(s, [42, 43, 44]), official)
     return out.select("session_id", "place", "label", F.round("probability", 6).alias("probability"))
 
@@ -282,14 +284,15 @@ def v15(spark, d):
     return lineage.window_units(w, m, ["audio", "visual"]).select("session_id", "modality", "availability")
 
 
-@query("v19_view_digest", "SELECT count(*) AS n FROM (SELECT 1)")
+@query("v19_view_digest", """WITH l AS (SELECT o_orderkey AS o, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS d FROM orders), r AS (SELECT o // 4096 AS r, sha256(string_agg(d, chr(10) ORDER BY o, d)) AS d FROM l GROUP BY 1)
+  SELECT sha256(string_agg(d, chr(10) ORDER BY r)) AS digest FROM r""")
 def v19(spark, d):
     """The digest of an ordered view does not change with its partitions."""
     from lumenlake.sources.sessions import view_digest
 
     o = v.table(spark, d, "orders")
     line = F.to_json(F.struct("o_orderkey", "o_orderstatus"))
-    return view_digest(o, "o_orderkey", line).unionByName(view_digest(o.repartition(7), "o_orderkey", line)).agg(F.countDistinct("digest").alias("n"))
+    return view_digest(o, "o_orderkey", line).unionByName(view_digest(o.repartition(7), "o_orderkey", line)).distinct()
 
 
 @query("v17_token_audit", "SELECT conv_id AS session_id, count(*) AS lines, sum(len(regexp_extract_all(text, '[^ ]+'))) AS tokens, max(len(regexp_extract_all(text, '[^ ]+')))::INTEGER AS longest, sum(len(regexp_extract_all(text, '[^ ]+'))) <= 300 AS fits FROM conversations GROUP BY 1")
@@ -377,9 +380,13 @@ def v48(spark, d):
     return v.table(spark, d, "documents").select("doc_id", p.alias("problem"))
 
 
-@query("v49_slot_descriptions", """SELECT 'gamma_audio' AS source_id, '[{"slot_id":"voice","label":"Voicing","observation_name":"voiced_activity_ratio"}]' AS description FROM range(1)""")
+@query("v49_slot_descriptions", f"""WITH {DIM_SQL}, x AS (SELECT source_id, '[' || string_agg('{{"slot_id":"' || slot_id || '","label":"' || label || '","observation_name":"' || name || '"}}', ',' ORDER BY slot_id, label, name) || ']' AS description FROM prof JOIN defs USING (modality, slot_id) GROUP BY 1)
+  SELECT session_id, source_id, description, count(*) AS units FROM units JOIN x USING (source_id) GROUP BY ALL""", "units")
 def v49(spark, d):
-    return lineage.slot_descriptions(profiles(spark), definitions(spark), ["gamma_audio"])
+    """What the sources of each session measure."""
+    met = v.units(spark, d).groupBy("session_id", "source_id").agg(F.count("*").alias("units"))
+    names = sorted({p[0] for p in PROFILES})
+    return met.join(F.broadcast(lineage.slot_descriptions(profiles(spark), definitions(spark), names)), "source_id").select("session_id", "source_id", "description", "units")
 
 
 @query("v50_aliases", "SELECT n_nationkey, ['daic_woz', 'e_daic', NULL][n_nationkey % 3 + 1] AS dataset, CASE WHEN n_nationkey % 4 = 0 THEN 'stride' WHEN n_nationkey % 4 = 1 THEN 'ratio' END AS problem FROM nation")

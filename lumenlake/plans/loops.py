@@ -9,6 +9,7 @@ from lumenlake.operators import bootstraps, metrics, retrieval, training
 from lumenlake.operators import evaluation as ev
 from lumenlake.plans import views as v
 from lumenlake.plans.catalog import query
+from lumenlake.sources.scratch import stored
 
 ARMS = ["direct_refer", "two_pass", "query_guided", "agent"]
 ARMS_SQL = f"""arms AS (SELECT d.doc_id AS session_id, a::INTEGER AS place, {ARMS}[a + 1] AS arm_id, quality AS label, (d.doc_id * 37 % 101)::DOUBLE / 100 AS initial_probability, (d.doc_id * 53 % 97)::DOUBLE / 96 AS initial_confidence, 0.5::DOUBLE AS threshold,
@@ -88,10 +89,24 @@ def m20(spark, d):
     return bootstraps.ranking_intervals(p, "session_id", ["s42", "s43"], 5000, 7)
 
 
-@query("m23_benefit_gate", "SELECT (x = 0) AS point_pass, false AS uncertainty_pass FROM range(1) r(x)")
+@query("m23_benefit_gate", f"""WITH {CLOSED_SQL}, i AS (SELECT session_id, arm_id, (initial_probability - label) ** 2 - (final_probability - label) ** 2 AS brier_improvement, ln(CASE WHEN label = 1 THEN {_CUT} ELSE 1 - {_CUT} END) - ln(CASE WHEN label = 1 THEN {_CUT.replace('final', 'initial')} ELSE 1 - {_CUT.replace('final', 'initial')} END) AS log_loss_improvement,
+  CASE WHEN referred THEN 0 ELSE ((final_probability >= threshold)::INT = label)::INT - ((initial_probability >= threshold)::INT = label)::INT END::DOUBLE AS net_correction FROM closed),
+  f AS (SELECT arm_id, session_id % 10 AS part, avg(brier_improvement) AS b, avg(log_loss_improvement) AS l, avg(net_correction) AS n FROM i GROUP BY 1, 2),
+  e AS (SELECT arm_id, avg(b) AS b, avg(l) AS l, quantile_cont(b, 0.025) AS b_low, quantile_cont(l, 0.025) AS l_low, quantile_cont(n, 0.025) AS n_low FROM f GROUP BY 1), s AS (SELECT arm_id, sum(net_correction) AS net FROM i GROUP BY 1)
+  SELECT arm_id, b > 0 AND l > 0 AND net > 0 AS point_pass, b_low > 0 AND l_low > 0 AND n_low >= 0 AS uncertainty_pass FROM e JOIN s USING (arm_id)""")
 def m23(spark, d):
-    boot = spark.createDataFrame([("brier_improvement", 0.02, -0.01, 0.04), ("log_loss_improvement", 0.05, 0.01, 0.09), ("net_correction", 0.0, 0.0, 0.1)], "statistic string, estimate double, low double, high double")
-    return ev.benefit_gate(boot, 3)
+    """The gate of each arm, with the means of ten parts of the sessions as replicates."""
+    names = ["brier_improvement", "log_loss_improvement", "net_correction"]
+    closed, out = ev.fail_closed(arms(spark, d)), None
+    for arm in ARMS:
+        rows = ev.improvements(closed.filter(F.col("arm_id") == arm))
+        means = rows.groupBy((F.col("session_id") % 10).alias("part")).agg(*[F.avg(n).alias(n) for n in names])
+        q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
+        summary = means.select(F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("m")) for n in names])).alias("x")).select("x.*").groupBy("statistic").agg(F.avg("m").alias("estimate"), q[0].alias("low"), q[1].alias("high"))
+        net = int(rows.agg(F.sum("net_correction")).first()[0] or 0)
+        gate = ev.benefit_gate(summary, net).select(F.lit(arm).alias("arm_id"), "point_pass", "uncertainty_pass")
+        out = gate if out is None else out.unionByName(gate)
+    return out
 
 
 _AUC_SQL = """auc AS (SELECT seed, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc FROM (SELECT seed, y, rank() OVER (PARTITION BY seed ORDER BY p) + (count(*) OVER (PARTITION BY seed, p) - 1) / 2 AS r FROM preds) GROUP BY 1),
@@ -130,11 +145,13 @@ def m27(spark, d):
     return ev.best_checkpoint(h, ["run"], "step", "roc_auc").select("run", "step")
 
 
-@query("m28_prior_shift", "SELECT 0.3::DOUBLE AS mean_after FROM range(1)")
+@query("m28_prior_shift", """WITH RECURSIVE m AS (SELECT (p - 0.4) * 6 AS margin FROM preds), b AS (SELECT 0 AS i, -80.0::DOUBLE AS lo, 80.0::DOUBLE AS hi
+  UNION ALL SELECT i + 1, CASE WHEN a <= 0.3 THEN mid ELSE lo END, CASE WHEN a <= 0.3 THEN hi ELSE mid END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, avg(1 / (1 + exp(-(margin + (lo + hi) / 2)))) AS a FROM b, m WHERE i < 60 GROUP BY ALL))
+  SELECT round(lo, 6) AS shift, round((SELECT avg(1 / (1 + exp(-(margin + lo)))) FROM m), 9) AS mean_after FROM b WHERE i = 60""", "preds")
 def m28(spark, d):
-    m = v.predictions(spark, d).select(((F.col("p") - 0.4) * 6).alias("margin"))
+    m = stored(v.predictions(spark, d).select(((F.col("p") - 0.4) * 6).alias("margin")), "margins")  # read in each round
     shift = ev.prior_shift(m, "margin", 0.3)
-    return m.agg(F.round(F.avg(1 / (1 + F.exp(-(F.col("margin") + F.lit(shift))))), 9).alias("mean_after"))
+    return m.agg(F.round(F.lit(shift), 6).alias("shift"), F.round(F.avg(1 / (1 + F.exp(-(F.col("margin") + F.lit(shift))))), 9).alias("mean_after"))
 
 
 @query("m29_preference_audit", "SELECT l_returnflag AS preference_kind, count(*) AS n, round(avg((l_discount - l_tax > 0)::INT), 6) AS accuracy, round(avg(l_discount - l_tax), 6) AS mean_margin FROM lineitem GROUP BY 1")
@@ -175,7 +192,8 @@ def d1r(spark, d):
     return training.frozen_drafts(drafts(spark, d), "train", "m", "full").select("session_id", "label", F.round("probability", 6).alias("probability"))
 
 
-@query("d1r_draft_violations", "SELECT 'several_thresholds' AS reason FROM range(1)")
+@query("d1r_draft_violations", f"""WITH d AS ({DRAFT_SQL}), x AS (SELECT count(DISTINCT if(session_id % 9 = 0, 0.5, 0.4)) AS t, count(DISTINCT label) AS l, count(*) - count(DISTINCT session_id) AS r FROM d)
+  SELECT 'repeated_session' AS reason FROM x WHERE r > 0 UNION ALL SELECT 'several_thresholds' FROM x WHERE t <> 1 UNION ALL SELECT 'one_class' FROM x WHERE l <> 2""", "assessments")
 def d1r_violations(spark, d):
     return training.draft_violations(drafts(spark, d))
 
@@ -353,9 +371,9 @@ def x8(spark, d):
     return v.table(spark, d, "documents").select("doc_id", js.leading_object(raw).alias("parsed"))
 
 
-@query("p16_label_keys", "SELECT doc_id, doc_id % 3 = 0 AS names_label FROM documents")
+@query("p16_label_keys", "SELECT doc_id, doc_id % 5 < 3 AS names_label FROM documents")
 def p16(spark, d):
-    raw = F.expr("""concat('{"a": [{"', if(doc_id % 3 = 0, 'Ground-Truth', 'text'), '": "label"}]}')""")
+    raw = F.expr("""concat('{"a": [{"', element_at(array('Ground-Truth', 'y_true', 'PHQ-9', 'text', 'labelled'), cast(doc_id % 5 + 1 as int)), '": "label"}]}')""")
     return v.table(spark, d, "documents").select("doc_id", js.names_label(raw).alias("names_label"))
 
 
@@ -367,7 +385,7 @@ def p20(spark, d):
 
 @query("p21_unit_numbers", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 0.25::DOUBLE WHEN 1 THEN 1.0::DOUBLE END AS value FROM documents")
 def p21(spark, d):
-    raw = F.expr("""concat('{"p": ', element_at(array('0.25', '1', 'true', '1.5', '"0.5"'), cast(doc_id % 5 + 1 as int)), '}')""")
+    raw = F.expr("""concat('{"q": {"p": "x"}, "p": ', element_at(array('0.25', '1', 'true', '1.5', '"0.5"'), cast(doc_id % 5 + 1 as int)), '}')""")
     return v.table(spark, d, "documents").select("doc_id", js.unit_number(raw, "p").alias("value"))
 
 

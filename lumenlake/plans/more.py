@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import text
 from lumenlake.operators import audit, baselines, geometry, selection
 from lumenlake.plans import views as v
-from lumenlake.plans.catalog import frames, query, segmented
+from lumenlake.plans.catalog import ATOMIC_SQL, SEGMENT_SQL, WINDOWS_SQL, frames, query, segmented
 
 AFTER = "text || (CASE doc_id % 4 WHEN 0 THEN ' is sad. T12' WHEN 1 THEN ' saddle' WHEN 2 THEN ' Depression ^A' ELSE ' true label: 1' END)"
 
@@ -43,11 +43,11 @@ def x3(spark, d):
     return v.signals(spark, d).select("row_id", text.number(F.col("value") / 7).alias("label"))
 
 
-@query("x13_ids", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN doc_id || '.5' ELSE 'P' || doc_id END AS id FROM documents")
+@query("x13_ids", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN doc_id || '.5' WHEN 2 THEN 'P' || doc_id ELSE doc_id || 'd' END AS id FROM documents")
 def x13(spark, d):
-    raw = F.expr("' ' || doc_id || ' '"), F.expr("doc_id || '.5'"), F.expr("'P' || doc_id")
-    whole = F.when(F.col("doc_id") % 2 == 0, F.expr("doc_id || '.0'")).otherwise(raw[0])
-    return v.table(spark, d, "documents").select("doc_id", text.normal_id(F.when(F.expr("doc_id % 3 = 0"), whole).when(F.expr("doc_id % 3 = 1"), raw[1]).otherwise(raw[2])).alias("id"))
+    raw = F.expr("' ' || doc_id || ' '"), F.expr("doc_id || '.5'"), F.expr("if(doc_id % 4 = 2, 'P' || doc_id, doc_id || 'd')")
+    whole = F.when(F.col("doc_id") % 8 == 0, F.expr("doc_id || '.0'")).otherwise(raw[0])
+    return v.table(spark, d, "documents").select("doc_id", text.normal_id(F.when(F.expr("doc_id % 4 = 0"), whole).when(F.expr("doc_id % 4 = 1"), raw[1]).otherwise(raw[2])).alias("id"))
 
 
 _DIM = lambda i: f"embedding[{i}]::DOUBLE"
@@ -250,7 +250,8 @@ def l6(spark, d):
     return audit.unlock_once(e.filter("event_type = 'purchase'"), e.filter("event_type = 'error'"), "user_id", "event_id").select("event_id", "user_id")
 
 
-@query("w7_segment_labels")
+@query("w7_segment_labels", f"""WITH {WINDOWS_SQL}, {ATOMIC_SQL}, {SEGMENT_SQL}, c AS (SELECT session_id, segment_id, count(DISTINCT atomic_id) AS c, min_by(atomic_id, substr(atomic_id, 2)::BIGINT) AS a, max_by(atomic_id, substr(atomic_id, 2)::BIGINT) AS z, max(substr(atomic_id, 2)::BIGINT) - min(substr(atomic_id, 2)::BIGINT) + 1 AS w FROM segmented GROUP BY 1, 2)
+  SELECT session_id, segment_id, CASE WHEN c = 1 THEN a WHEN c = w THEN a || ' to ' || z ELSE a || ' to ' || z || ' (' || c || ' refs; exact list in segment plan)' END AS label FROM c""", "signals", "sessions")
 def w7_labels(spark, d):
     """G13 over W7: each segment's atomic windows as one label."""
     return selection.id_range(segmented(spark, d), ["session_id", "segment_id"], "atomic_id")

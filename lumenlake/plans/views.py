@@ -89,7 +89,7 @@ def observations(spark, sf_dir: str) -> DataFrame:
 def talk(spark, sf_dir: str) -> DataFrame:
     """Utterances with cue words, scrubbed ones among them."""
     said = "element_at(array({}), cast(utterance_id * 3 % 5 + 1 as int))".format(", ".join(f"'{x}'" for x in SAYS))
-    return utterances(spark, sf_dir).withColumns({"text": F.expr(f"concat(substring(text, 1, 60), {said})"), "privacy_scrubbed": F.expr("utterance_id % 7 = 3")})
+    return utterances(spark, sf_dir).withColumns({"text": F.expr(f"concat(text, {said})"), "privacy_scrubbed": F.expr("utterance_id % 7 = 3")})
 
 
 VIEWS = {
@@ -114,10 +114,14 @@ VIEWS = {
         SELECT unit_id, pos::INTEGER AS pos, CASE modality WHEN 'audio' THEN {NAMES["audio"]} ELSE {NAMES["visual"]} END[pos + 1] AS name, ((unit_id * 13 + pos * 29) % 997)::DOUBLE / 10 AS value, CASE pos WHEN 3 THEN 'ratio' ELSE 'raw_unit' END AS unit,
         CASE WHEN (unit_id + pos) % 9 <> 0 THEN ((unit_id * 37 + pos * 17) % 101)::DOUBLE END AS percentile, ((unit_id * 31 + pos * 19) % 81 - 40)::DOUBLE / 10 AS subject_z, ((unit_id * 17 + pos * 23) % 61 - 30)::DOUBLE / 10 AS robust_z,
         ['direct', 'derived', 'weak', 'latent'][(unit_id + 2 * pos) % 4 + 1] AS reliability FROM units, range(0, 4) r(pos) WHERE (unit_id + pos) % 4 <> 0)""",
-    "talk": f"""SELECT session_id, utterance_id, start_sec, end_sec, substr(text, 1, 60) || {SAYS}[utterance_id * 3 % 5 + 1] AS text, speaker_role, utterance_id % 7 = 3 AS privacy_scrubbed FROM utterances""",
+    "talk": f"""SELECT session_id, utterance_id, start_sec, end_sec, text || {SAYS}[utterance_id * 3 % 5 + 1] AS text, speaker_role, utterance_id % 7 = 3 AS privacy_scrubbed FROM utterances""",
 }
 
 
 def with_views(sql: str, *names: str) -> str:
     """``sql`` behind the definitions of the views it uses."""
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + (", " if sql.lstrip().lower().startswith("with ") else " ") + (sql.lstrip()[5:] if sql.lstrip().lower().startswith("with ") else sql)
+    views, own = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names), sql.lstrip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if own.startswith(start):
+            return f"{start}{views}, {own[len(start):]}"
+    return f"WITH {views} {own}"

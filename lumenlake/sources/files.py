@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.functions.text import plain_number
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; fails on a blank or malformed line, and where there is none at all."""
@@ -23,6 +25,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_arrays(spark: SparkSession, path: str, width: int) -> DataFrame:
     """``session_id, row_idx, features`` of two-dimensional .npy files ``{session}_{kind}.npy``."""
+    return parsed_arrays(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path), width)
+
+
+def parsed_arrays(files: DataFrame, width: int) -> DataFrame:
+    """The same of files that are read already (path, content); another shape than rows of ``width`` is an error."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,7 +43,6 @@ def read_arrays(spark: SparkSession, path: str, width: int) -> DataFrame:
                     values = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, width, dtype=np.int32)), pa.array(part.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array([session] * len(part)), pa.array(np.arange(start, start + len(part))), values], names=["session_id", "row_idx", "features"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
     return files.select("path", "content").mapInArrow(rows, "session_id string, row_idx long, features array<double>")
 
 
@@ -51,7 +57,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "start_sec double, end_sec double, text string, privacy_scrubbed boolean, speaker_role string")
     text = F.trim("value")
     rows = raw.select(
-        F.expr("try_cast(start_time as double)").alias("start_sec"), F.expr("try_cast(stop_time as double)").alias("end_sec"),
+        plain_number(F.col("start_time")).alias("start_sec"), plain_number(F.col("stop_time")).alias("end_sec"),
         F.when(F.lower(text).contains("scrubbed"), None).otherwise(text).alias("text"), F.lower(text).contains("scrubbed").alias("privacy_scrubbed"),
         F.when(F.lower("speaker").contains("participant"), "participant").when(F.lower("speaker").contains("ellie"), "interviewer").otherwise("unassigned").alias("speaker_role"),
     )

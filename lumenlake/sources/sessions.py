@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlake.functions.text import normal_id
+from lumenlake.functions.text import normal_id, plain_number
 
 #: Column names that may hold a session's id, its split and its label, fixed values.
 ID_COLUMNS = ("participant_id", "participant", "participantid", "index", "session_id", "video_id")
@@ -77,7 +77,7 @@ def read_measures(spark: SparkSession, path: str, delimiter: str = ",", keep: li
     """
     raw = _trimmed(spark.read.option("header", True).option("sep", delimiter).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
     names = set(keep or [])
-    return raw.select(*[F.col(f"`{c}`") if c in names else F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns], F.input_file_name().alias("source_path"))
+    return raw.select(*[F.col(f"`{c}`") if c in names else plain_number(F.col(f"`{c}`")).alias(c) for c in raw.columns], F.input_file_name().alias("source_path"))
 
 
 def read_positional(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -100,10 +100,10 @@ def read_recognised_speech(spark: SparkSession, path: str) -> DataFrame:
     ddl = "start_sec double, end_sec double, text string, confidence double, privacy_scrubbed boolean"
     if not (start and end and text):
         return spark.createDataFrame([], ddl)
-    said, sure = F.coalesce(F.col(text), F.lit("")), F.col("confidence").try_cast("double") if "confidence" in raw.columns else F.lit(None).cast("double")
+    said, sure = F.coalesce(F.col(text), F.lit("")), plain_number(F.col("confidence")) if "confidence" in raw.columns else F.lit(None).cast("double")
     scrubbed = F.lower(said).contains("scrubbed_entry")
     clean = F.trim(F.regexp_replace(said, r"\s+", " "))
-    rows = raw.select(F.col(start).try_cast("double").alias("start_sec"), F.col(end).try_cast("double").alias("end_sec"), F.when(~scrubbed, clean).alias("text"), F.when(sure.between(0, 1), sure).alias("confidence"), scrubbed.alias("privacy_scrubbed"))
+    rows = raw.select(plain_number(F.col(start)).alias("start_sec"), plain_number(F.col(end)).alias("end_sec"), F.when(~scrubbed, clean).alias("text"), F.when(sure.between(0, 1), sure).alias("confidence"), scrubbed.alias("privacy_scrubbed"))
     return rows.filter("start_sec is not null and end_sec >= start_sec and start_sec >= 0 and (privacy_scrubbed or text <> '')")
 
 
@@ -146,10 +146,10 @@ def read_labels(spark: SparkSession, path: str, label: str, threshold: float | N
     above ``threshold``. Any other value is an error."""
     raw = spark.read.option("header", True).csv(path)
     id_, value = _resolved(raw.columns, ID_COLUMNS, "session id"), _resolved(raw.columns, (label,), label)
-    number = F.col(f"`{value}`").try_cast("double")
+    number = plain_number(F.col(f"`{value}`"))
     bad = F.raise_error(F.concat(F.lit("bad label of "), F.coalesce(F.col(f"`{id_}`"), F.lit("?"))))
     strict = F.when(number.isin(0.0, 1.0), number.cast("int")).otherwise(bad.cast("int"))
-    target = strict if threshold is None else F.when(number.isNull() | F.isnan(number), bad.cast("int")).otherwise((number >= threshold).cast("int"))
+    target = strict if threshold is None else F.when(number.isNull(), bad.cast("int")).otherwise((number >= threshold).cast("int"))
     rows = raw
     out = [normal_id(F.trim(F.col(f"`{id_}`"))).alias("session_id"), target.alias("label")]
     if splits is not None:
@@ -182,7 +182,7 @@ def official_test_labels(labels: DataFrame, mapping: dict[str, int]) -> DataFram
     value = F.lit(None).cast("int")
     for name, y in mapping.items():
         value = F.when(F.lower(F.trim("label")) == name, y).otherwise(value)
-    seconds = F.col("duration").try_cast("double")
+    seconds = plain_number(F.col("duration"))
     good = value.isNotNull() & (seconds > 0) & ~F.isnan(seconds) & (seconds < float("inf"))
     fail = F.raise_error(F.concat(F.lit("bad test row "), F.coalesce("session_id", F.lit("?"))))
     return test.select("session_id", F.when(F.coalesce(good, F.lit(False)), value).otherwise(fail.cast("int")).alias("label"), seconds.alias("duration"))
@@ -239,7 +239,11 @@ def index_rows(index: DataFrame) -> DataFrame:
 def bundle_fingerprints(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """``bundle, files, fingerprint`` of each folder: a digest over name and content of its named files
     (a fixed few a bundle), in the order of the names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return fingerprints(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), names)
+
+
+def fingerprints(files: DataFrame, names: list[str]) -> DataFrame:
+    """The same of files that are read already (path, content)."""
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.withColumn("name", name).filter(F.col("name").isin(*names)).withColumn("bundle", F.element_at(F.split("path", "/"), -2))
     one = F.sha2(F.concat(F.encode("name", "utf-8"), F.unhex(F.lit("00")), F.col("content"), F.unhex(F.lit("00"))), 256)
