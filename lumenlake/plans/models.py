@@ -34,3 +34,35 @@ def f6_text(spark, d):
     """words and word pairs of whole texts, 50,000 of each fold's training rows."""
     docs = v.table(spark, d, "documents").join(v.table(spark, d, "labels").select("doc_id", "quality"), "doc_id").select(F.col("doc_id").alias("session_id"), F.col("quality").alias("label"), F.expr("int(pmod(doc_id, 5))").alias("fold"), "text")
     return textmodels.out_of_fold_text(docs, "text", "label", "fold", 5, tolerance=1e-3).withColumn("probability", F.round("probability", 3))
+
+
+@query("l2_ledger_stream", """WITH e AS (SELECT user_id AS run_id, event_id AS o, CASE event_type WHEN 'signup' THEN 'agent_opened' WHEN 'view' THEN 'candidates_exposed' WHEN 'click' THEN 'evidence_released' WHEN 'purchase' THEN 'revision_recorded' ELSE 'agent_closed' END AS t, value FROM events),
+  c AS (SELECT *, row_number() OVER w - 1 AS sequence, round(coalesce(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS used, coalesce(count(*) FILTER (WHERE t = 'agent_opened') OVER b, 0) AS op, coalesce(count(*) FILTER (WHERE t = 'agent_closed') OVER b, 0) AS cl,
+    coalesce(count(*) FILTER (WHERE t = 'revision_recorded') OVER b, 0) AS rv, coalesce(count(*) FILTER (WHERE t = 'evidence_released') OVER b, 0) AS rel FROM e WINDOW w AS (PARTITION BY run_id ORDER BY o), b AS (PARTITION BY run_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  r AS (SELECT run_id, o, rule FROM (SELECT run_id, o, unnest([CASE WHEN sequence = 0 AND t <> 'agent_opened' THEN 'not_opened_first' END, CASE WHEN t = 'agent_opened' AND op > 0 THEN 'multiple_opens' END, CASE WHEN t = 'agent_closed' AND cl > 0 THEN 'multiple_closes' END, CASE WHEN cl > 0 THEN 'records_after_close' END,
+    CASE WHEN t = 'revision_recorded' AND rv > 0 THEN 'multiple_revisions' END, CASE WHEN t = 'revision_recorded' AND rv = 0 AND rel = 0 THEN 'revision_before_release' END, CASE WHEN t IN ('candidates_exposed', 'evidence_released') AND rv > 0 THEN 'access_after_revision' END]) AS rule FROM c) WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, rule ORDER BY o) = 1),
+  l AS (SELECT run_id, o, string_agg(rule, ',' ORDER BY rule) AS violations FROM r GROUP BY 1, 2)
+  SELECT c.run_id, c.o AS order_key, sequence, used, used + value <= 2400 AS fits, coalesce(violations, '') AS violations FROM c LEFT JOIN l ON c.run_id = l.run_id AND c.o = l.o""")
+def l2_stream(spark, d):
+    """The events as a stream of three micro-batches, which goes on from its checkpoint after the second."""
+    from lumenlake.sources.scratch import scratch
+    from lumenlake.streaming import ledger
+
+    kind = "case event_type when 'signup' then 'agent_opened' when 'view' then 'candidates_exposed' when 'click' then 'evidence_released' when 'purchase' then 'revision_recorded' else 'agent_closed' end"
+    events = v.table(spark, d, "events").selectExpr("user_id as run_id", "event_id as order_key", f"{kind} as event_type", "value as cost")
+    low, high = events.agg(F.min("order_key"), F.max("order_key")).first()
+    folder, conf = scratch(spark, "ledger"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            part = events.filter(F.expr(f"int(least(2, 3 * (order_key - {low or 0}) div {(high or 0) - (low or 0) + 1})) = {k}"))
+            part.write.parquet(f"{folder}/in/{k}")
+            if k:
+                stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+                out = ledger.checked(stream, 2400.0).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+                out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(conf, before) if before else spark.conf.unset(conf)
+    told = F.array_join(F.array_sort(F.split("violations", ",")), ",")
+    return spark.read.parquet(f"{folder}/out").select("run_id", "order_key", "sequence", F.round("used", 6).alias("used"), "fits", told.alias("violations"))
