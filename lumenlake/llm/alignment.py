@@ -33,7 +33,7 @@ from lumenlake.llm.packing import byte_letters
 
 MARKER = "▁"
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 12 << 20
+BLOCK = 16 << 20
 _loaded: dict[tuple, Pair] = {}
 
 
