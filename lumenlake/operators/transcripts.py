@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Families of cue words and their terms, fixed values.
 CUE_FAMILIES = {
@@ -21,18 +25,21 @@ CUE_FAMILIES = {
 TIERS = {"full": None, "standard": 4, "compact": 2, "minimal": 1}
 
 
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility composition. ASCII texts, which it leaves alone, stay in the JVM."""
+    plain = text.rlike(r"\A\p{ASCII}*\z")
+    return F.when(plain, text).otherwise(_composed(F.when(~plain, text)))
+
+
 def normalised(text: Column) -> Column:
-    """Compatibility forms of the common kinds, one blank for each white space run, no bar.
-
-    Full-width letters, digits and signs, ligatures and odd blanks become their plain forms; other
-    compatibility characters stay.
-    """
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　   "
-    narrow = "".join(chr(c) for c in range(0x21, 0x7F)) + "    "
-    out = F.translate(text, wide, narrow)
-    for a, b in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.translate(out, "|", " "), r"\s+", " "))
+    """Compatibility composition, one blank for each white space run, no bar."""
+    out = F.regexp_replace(nfkc(text), r"[|\t-\r\x1c-\x20\x85\u1680\u2028\u2029]+", " ")
+    return F.trim(out)
 
 
 def visible(utterances: DataFrame, role: str = "participant") -> DataFrame:

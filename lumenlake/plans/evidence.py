@@ -261,10 +261,10 @@ def p15(spark, d):
     return transcripts.visible(t).select("session_id", "utterance_id")
 
 
-@query("x1_normalised_text", r"""SELECT session_id, utterance_id, trim(regexp_replace(replace(replace(substr(text, 1, 40) || ' ｆｉｎｅ！　ﬁn' || '… a|b', '|', ' '), '…', '...'), '\s+', ' ', 'g'))
+@query("x1_normalised_text", r"""SELECT session_id, utterance_id, trim(regexp_replace(replace(replace(text || ' ｆｉｎｅ！　ﬁn' || '… a|b', '|', ' '), '…', '...'), '\s+', ' ', 'g'))
   .replace('ｆｉｎｅ！　ﬁn', 'fine! fin') AS clean FROM talk""", "utterances", "talk")
 def x1(spark, d):
-    return v.talk(spark, d).select("session_id", "utterance_id", transcripts.normalised(F.concat(F.substring("text", 1, 40), F.lit(" ｆｉｎｅ！　ﬁn… a|b"))).alias("clean"))
+    return v.talk(spark, d).select("session_id", "utterance_id", transcripts.normalised(F.concat("text", F.lit(" ｆｉｎｅ！　ﬁn… a|b"))).alias("clean"))
 
 
 @query("v14_session_intervals", """SELECT session_id, kind, start_sec, end_sec, reason FROM (SELECT *, unnest(list_filter([CASE WHEN speaker_role = 'participant' THEN {'kind': 'participant', 'reason': 'participant_speaking'} END, CASE WHEN privacy_scrubbed THEN {'kind': 'privacy', 'reason': 'privacy_scrubbed'} END,

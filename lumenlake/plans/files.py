@@ -199,3 +199,45 @@ def k8(spark, d):
 @query("k7_markdown", "SELECT '| r_name | r_regionkey |' AS line UNION ALL SELECT '|---|---|' UNION ALL SELECT '| ' || r_name || ' | ' || r_regionkey || ' |' FROM region")
 def k7(spark, d):
     return sinks.markdown(v.table(spark, d, "region"), ["r_name", "r_regionkey"]).select("line")
+
+
+@query("s2_archives", """SELECT k::VARCHAR AS session_id, CASE k % 2 WHEN 0 THEN 'notes.txt' ELSE 'x/notes.txt' END AS member, sha256(string_agg(sha256(coalesce(text, '')), ',' ORDER BY doc_id)) AS digest FROM (SELECT doc_id // 10 AS k, * FROM documents) WHERE k % 5 <> 4 GROUP BY k""")
+def s2_archives(spark, d):
+    """Whole documents, ten an archive, read back as the wanted member of each; a fifth of the archives lack it."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        k, buffer = key[0].as_py(), io.BytesIO()
+        text = "\x00".join(t or "" for _, t in sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)))
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("x/y/notes.txt" if k % 5 < 4 else "other.txt", "deep")
+            if k % 5 < 4:
+                archive.writestr("notes.txt" if k % 2 == 0 else "x/notes.txt", text)
+                archive.writestr("xx/notes.txt", "longer")
+        return pa.table({"path": [f"/archives/{k}_P.zip"], "content": pa.array([buffer.getvalue()], pa.binary())})
+
+    docs = v.table(spark, d, "documents").select("doc_id", "text", F.expr("doc_id div 10").alias("k"))
+    made = docs.groupBy("k").applyInArrow(packed, "path string, content binary")
+    each = F.transform(F.split(F.col("content").cast("string"), "\x00"), lambda t: F.sha2(t, 256))
+    return sessions.archived(made, "notes.txt").select("session_id", "member", F.sha2(F.array_join(each, ","), 256).alias("digest"))
+
+
+@query("k5_incremental", "SELECT o_custkey AS session_id, CASE WHEN o_custkey % 20 = 3 THEN 2 ELSE 1 END AS run, CASE WHEN o_custkey % 20 = 3 THEN 'changed' WHEN o_custkey % 20 = 7 THEN 'gone' END AS state, count(*) AS orders, round(sum(o_totalprice + CASE WHEN o_custkey % 20 = 3 THEN 1 ELSE 0 END), 2) AS total FROM orders GROUP BY 1")
+def k5(spark, d):
+    """Sessions compiled once, then again after a twentieth of them changed and another went; with what the
+    second refresh found, and the rows of those that are gone as they were."""
+    from lumenlake.sources import incremental
+
+    folder = scratch(spark, "compiled")
+    first = v.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    second = first.filter("o_custkey % 20 <> 7").withColumn("price", F.expr("if(o_custkey % 20 = 3, price + 1, price)"))
+    totals = lambda rows: rows.groupBy(F.col("o_custkey").alias("session_id")).agg(F.count("*").alias("orders"), F.sum("price").alias("total"))
+    incremental.refresh(spark, folder, first, "o_custkey", "v1", totals)
+    before = spark.read.parquet(f"{folder}/data/run=1").withColumn("run", F.lit(1))
+    found = incremental.refresh(spark, folder, second.repartition(3), "o_custkey", "v1", totals)
+    gone = before.join(found.filter("state = 'gone'"), "session_id", "left_semi")
+    rows = incremental.current(spark, folder).unionByName(gone).join(found, "session_id", "left")
+    return rows.select("session_id", F.col("run").cast("int").alias("run"), "state", "orders", F.round("total", 2).alias("total"))

@@ -7,8 +7,12 @@ rule, the check that says so is returned as rows (``..._violations``) or raised
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -236,6 +240,31 @@ def index_rows(index: DataFrame) -> DataFrame:
     return checked.select("session_id", "atomic_id", "start_sec", "end_sec", cells).select("session_id", "atomic_id", "start_sec", "end_sec", F.col("c.canonical_ids").alias("canonical_id"), F.col("c.modalities").alias("modality"), F.col("c.source_ids").alias("source_id"))
 
 
+def archived(files: DataFrame, name: str) -> DataFrame:
+    """``session_id, member, content`` of the member called ``name`` in each archive ``{session}_P.zip`` of files (path,
+    content): of several the one with the fewest slashes, then the shortest. An archive without it has no row.
+
+    Each archive is opened once, in the task that reads it; only the wanted member is unpacked.
+    """
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    own = [m for m in archive.namelist() if m.rsplit("/", 1)[-1] == name]
+                    if own:
+                        best = min(own, key=lambda m: (m.count("/"), len(m), m))
+                        session = path.rsplit("/", 1)[-1].removesuffix("_P.zip")
+                        yield pa.RecordBatch.from_arrays([pa.array([session]), pa.array([best]), pa.array([archive.read(best)], pa.binary())], names=["session_id", "member", "content"])
+
+    return files.select("path", "content").mapInArrow(members, "session_id string, member string, content binary")
+
+
+def read_archives(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The same of the archives below ``path``, in any store that Spark reads; an archive of over 2 GB is an error."""
+    return archived(spark.read.format("binaryFile").option("pathGlobFilter", "*_P.zip").option("recursiveFileLookup", "true").load(path), name)
+
+
 def bundle_fingerprints(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """``bundle, files, fingerprint`` of each folder: a digest over name and content of its named files
     (a fixed few a bundle), in the order of the names."""

@@ -55,3 +55,17 @@ def test_fixtures(spark):
     t = metrics.best_threshold(one([(1, 0, 0.2), (1, 1, 0.8)], "g int, y int, p double"), ["g"]).first()
     assert t.threshold == 0.5 and t.balanced_accuracy == 1
     assert [x.s for x in one([(3723.5,), (61.0005,)], "t double").select(windowing.format_time(windowing.F.col("t")).alias("s")).collect()] == ["01:02:03.500", "01:01.000"]
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    from lumenlake.sources import sessions
+
+    for name, members in {"300_P.zip": {"a/x.csv": "deep", "x.csv": "own", "y.csv": "no"}, "301_P.zip": {"bb/x.csv": "long", "a/x.csv": "short"}, "302_P.zip": {"x.csv.bak": "no"}, "other.zip": {"x.csv": "no"}}.items():
+        (tmp_path / "sub").mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / "sub" / name, "w") as archive:
+            for member, content in members.items():
+                archive.writestr(member, content)
+    got = sessions.read_archives(spark, str(tmp_path), "x.csv").collect()
+    assert sorted((r.session_id, r.member, bytes(r.content)) for r in got) == [("300", "x.csv", b"own"), ("301", "a/x.csv", b"short")]
