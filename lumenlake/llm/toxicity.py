@@ -132,14 +132,17 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, smoothin
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = 1500, longest: int = 60_000) -> Model:
-    """Fits on labelled rows whose crc32(key as text) mod 3 is not 1."""
+    """Fits on labelled rows whose crc32(key as text) mod 3 is not 1: at most ``per_class`` keys of each class, and of
+    rows that share a key the one with the smallest hash of its text."""
     own = labels.filter(f"`{key}` is not null and toxic is not null and crc32(cast(cast(`{key}` as string) as binary)) % 3 <> 1")
     own = own.groupBy(key).agg(F.max("toxic").alias("toxic"))
     n, n_toxic = own.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     # at most 2 * per_class keys
     order = [F.xxhash64(key), F.col(key)]
     picked = own.filter("toxic = 1").orderBy(*order).limit(per_class).union(own.filter("toxic = 0").orderBy(*order).limit(per_class))
-    rows = docs.select(key, text).join(F.broadcast(picked), key).filter(F.length(text) <= longest).collect()
+    met = docs.select(key, text).join(F.broadcast(picked), key).filter(F.length(text) <= longest)
+    # one row a key, so that no key brings more than its share to the driver
+    rows = met.groupBy(key, "toxic").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias(text)).collect()
     rows.sort(key=lambda r: (r[key], r[text]))
     texts, toxic = [r[text] for r in rows], [int(r["toxic"]) for r in rows]
     del rows
