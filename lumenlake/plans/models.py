@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenlake.operators import forests, textmodels
+from lumenlake.operators import features, forests, rendering, textmodels
 from lumenlake.plans import views as v
 from lumenlake.plans.catalog import query
+from lumenlake.plans.evidence import _PRIORITY_SQL, PRIORITIES
 
 SHAPES = ["length", "words", "word_length", "capitals", "digits", "marks", "lines", "longest", "distinct"]
 
@@ -66,3 +67,41 @@ def l2_stream(spark, d):
         spark.conf.set(conf, before) if before else spark.conf.unset(conf)
     told = F.array_join(F.array_sort(F.split("violations", ",")), ",")
     return spark.read.parquet(f"{folder}/out").select("run_id", "order_key", "sequence", F.round("used", 6).alias("used"), "fits", told.alias("violations"))
+
+
+_FIXED = lambda x, n: f"regexp_replace(regexp_replace(printf('%.{n}f', {x}), '0+$', ''), '\\.$', '')"
+_TIME = lambda x: f"printf('%02d:%02d.%03d', ({x})::BIGINT // 60 % 60, ({x})::BIGINT % 60, 0)"
+_CLOCK = lambda x: f"CASE WHEN ({x})::BIGINT >= 3600 THEN printf('%02d:', ({x})::BIGINT // 3600) ELSE '' END || {_TIME(x)}"
+_CASES = lambda x, names: " ".join(f"WHEN '{k}' THEN '{w}'" for k, w in names.items())
+RENDER_SQL = f"""u AS (SELECT *, start_sec + 5 AS end_sec, CASE WHEN valid_ratio <= 0 THEN 'unavailable' WHEN valid_ratio < 0.3 THEN 'low_quality' WHEN valid_ratio < 0.8 THEN 'partial' ELSE 'good' END AS quality, unit_id % 7 = 0 AS scrubbed,
+    list_filter([CASE WHEN availability <> 'present' THEN 'no_valid_measurements' END, CASE WHEN unit_id % 7 = 0 THEN 'privacy_scrubbed' END, CASE WHEN unit_id % 13 = 0 THEN 'odd reason' END], lambda x: x IS NOT NULL) AS reasons FROM units),
+  k AS (SELECT *, count(*) OVER (PARTITION BY unit_id) AS n_all, row_number() OVER (PARTITION BY unit_id ORDER BY {_PRIORITY_SQL} DESC, coalesce(abs(percentile - 50), -1) DESC, CASE reliability WHEN 'direct' THEN 3 WHEN 'derived' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END DESC, pos) AS place FROM observations),
+  o AS (SELECT unit_id, any_value(n_all) AS n_all, count(*) AS n, string_agg(name || '=' || {_FIXED('value', 3)} || ':' || unit || '[category=' || category || coalesce(',p=' || round_even(percentile, 0)::INT, '') || ',z=' || {_FIXED('robust_z', 2)} || ',subject_z=' || {_FIXED('subject_z', 2)} || ',reliability=' || reliability || ']', '; ' ORDER BY pos) AS fields,
+    string_agg(CASE name {_CASES('name', rendering.DISPLAY_NAMES)} ELSE replace(name, '_', ' ') END || CASE WHEN category = 'unreferenced' THEN ' had no fitted training reference' ELSE ' was ' || CASE category {_CASES('category', rendering.CATEGORY_WORDS)} END || ' the source-specific training reference' || coalesce(' (percentile ' || round_even(percentile, 0)::INT || ')', '') END
+      || CASE WHEN unit = 'ratio' THEN ', with a measured value of ' || printf('%.1f%%', 100 * value) ELSE '' END || CASE WHEN reliability IN ('weak', 'latent') THEN ' [' || reliability || '-reliability pattern]' ELSE '' END, '; ' ORDER BY pos) AS phrases FROM k WHERE place <= 2 GROUP BY 1),
+  texts AS (SELECT session_id, unit_id, start_sec, '[set|' || {_CLOCK('start_sec')} || '-' || {_CLOCK('end_sec')} || '|' || upper(modality) || '|' || source_id || '|id=' || unit_id || '] ' || concat_ws('; ', 'availability=' || availability, 'quality=' || quality, 'valid_ratio=' || {_FIXED('valid_ratio', 3)}, CASE WHEN scrubbed THEN 'privacy_scrubbed=true' END,
+      CASE WHEN len(reasons) > 0 THEN 'missing=' || replace(array_to_string(reasons, ','), ' ', '_') END, fields, CASE WHEN n < n_all THEN 'observations_shown=' || n || '/' || n_all END) || '.' AS dsl,
+    concat_ws(' ', 'Evidence ' || unit_id || ', from ' || {_CLOCK('start_sec')} || ' to ' || {_CLOCK('end_sec')} || ': the ' || modality || ' measurements from ' || extractor || ' were ' || availability || '.',
+      CASE WHEN len(reasons) > 0 THEN 'Availability note: ' || array_to_string(list_transform(reasons, lambda r: CASE r {_CASES('r', rendering.REASON_WORDS)} ELSE replace(r, '_', ' ') END), '; ') || '.' END,
+      CASE WHEN phrases IS NOT NULL THEN 'Observed measurements: ' || phrases || '.' WHEN availability = 'unavailable' THEN 'No measurement is substituted for the unavailable source.' END,
+      'Source quality was ' || replace(quality, '_', ' ') || ', with ' || printf('%.1f%%', 100 * valid_ratio) || ' valid coverage.', 'These statements describe measurements only; no psychological state is inferred.') AS prose FROM u LEFT JOIN o USING (unit_id))"""
+
+
+def rendered(spark, d):
+    """Units with a level of quality and reasons; every seventh is scrubbed, and two observations of each are shown."""
+    reasons = F.expr("filter(array(if(availability <> 'present', 'no_valid_measurements', null), if(unit_id % 7 = 0, 'privacy_scrubbed', null), if(unit_id % 13 = 0, 'odd reason', null)), x -> x is not null)")
+    units = v.units(spark, d).withColumns({"dataset": F.lit("set"), "end_sec": F.col("start_sec") + 5, "quality": features.quality_level(F.col("valid_ratio"), F.col("valid_ratio") <= 0), "privacy_scrubbed": F.expr("unit_id % 7 = 0"), "reasons": reasons})
+    return units, rendering.unit_texts(units, v.observations(spark, d), PRIORITIES, 2)
+
+
+@query("g15_unit_texts", f"WITH {RENDER_SQL} SELECT unit_id, dsl, prose FROM texts", "units", "observations")
+def g15_texts(spark, d):
+    """Each unit as a line of fields and as prose, word for word."""
+    return rendered(spark, d)[1]
+
+
+@query("g12_session_texts", f"WITH {RENDER_SQL} SELECT session_id, sha256(string_agg(dsl || chr(10), '' ORDER BY start_sec, unit_id)) AS digest, sum(length(dsl) + 1)::BIGINT AS letters FROM texts GROUP BY 1", "units", "observations")
+def g12_texts(spark, d):
+    """The lines of whole sessions as one text."""
+    units, lines = rendered(spark, d)
+    return rendering.session_texts(units, lines, "dsl").select("session_id", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("letters"))
