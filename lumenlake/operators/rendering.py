@@ -109,3 +109,27 @@ def session_texts(units: DataFrame, lines: DataFrame, line: str) -> DataFrame:
     rows = units.select("unit_id", "session_id", "start_sec").join(lines.select("unit_id", line), "unit_id")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_sec", "unit_id", line))), lambda x: F.concat(x[line], F.lit("\n"))), "")
     return rows.groupBy("session_id").agg(whole.alias("text"))
+
+
+def token_report(lines: DataFrame, overhead: Column, most_session: int = 7500, most_atomic: int = 512, most_segment: int = 768) -> DataFrame:
+    """A session's token audit: for the kinds ``atomic`` and ``segment`` of lines (session_id, kind, tokens, unknown) their
+    number, fewest, median, 95th percentile and most tokens, what the ``session`` text takes with and without the chat
+    template (``overhead`` tokens more), unknown tokens, the four checks, and whether all pass.
+
+    A kind without lines has zeros; null counts are 0. ``overhead`` is a column of the session's
+    aggregates, as a literal is.
+    """
+    n, p = F.coalesce("tokens", F.lit(0)), {}
+    for kind in ("atomic", "segment"):
+        own = F.when(F.col("kind") == kind, n)
+        q = F.percentile(own, F.array(F.lit(0.5), F.lit(0.95)))
+        p |= {f"{kind}_count": F.count(own), f"{kind}_min": F.coalesce(F.min(own), F.lit(0)), f"{kind}_median": F.coalesce(q[0], F.lit(0.0)), f"{kind}_p95": F.coalesce(q[1], F.lit(0.0)), f"{kind}_max": F.coalesce(F.max(own), F.lit(0))}
+    p["session_tokens"] = F.coalesce(F.sum(F.when(F.col("kind") == "session", n)), F.lit(0))
+    p["unknown_tokens"] = F.coalesce(F.sum("unknown"), F.lit(0))
+    each = lines.groupBy("session_id").agg(*[c.alias(k) for k, c in p.items()]).withColumn("session_with_template", F.col("session_tokens") + overhead)
+    checks = {
+        "no_unknown_tokens": F.col("unknown_tokens") == 0, "session_with_chat_template_within_target": F.col("session_with_template") <= most_session,
+        "atomic_p95_within_target": F.col("atomic_p95") <= most_atomic, "segment_p95_within_target": F.col("segment_p95") <= most_segment,
+    }
+    failed = F.filter(F.array(*[F.when(~c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
+    return each.withColumn("failed", failed).withColumn("passed", F.size("failed") == 0)

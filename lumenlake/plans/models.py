@@ -105,3 +105,16 @@ def g12_texts(spark, d):
     """The lines of whole sessions as one text."""
     units, lines = rendered(spark, d)
     return rendering.session_texts(units, lines, "dsl").select("session_id", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("letters"))
+
+
+@query("v17_token_report", """WITH l AS (SELECT conv_id AS session_id, CASE role WHEN 'user' THEN 'atomic' ELSE 'segment' END AS kind, len(regexp_extract_all(text, '[^ ]+')) AS n, len(regexp_extract_all(text, '[0-9]+')) AS u FROM conversations),
+  a AS (SELECT session_id, sum(n)::BIGINT AS session_tokens, sum(u)::BIGINT AS unknown_tokens, count(*) FILTER (WHERE kind = 'atomic') AS atomic_count, coalesce(quantile_cont(n, 0.95) FILTER (WHERE kind = 'atomic'), 0) AS atomic_p95, coalesce(median(n) FILTER (WHERE kind = 'segment'), 0) AS segment_median, coalesce(max(n) FILTER (WHERE kind = 'segment'), 0)::BIGINT AS segment_max, coalesce(quantile_cont(n, 0.95) FILTER (WHERE kind = 'segment'), 0) AS segment_p95 FROM l GROUP BY 1)
+  SELECT session_id, session_tokens + 9 AS session_with_template, unknown_tokens, atomic_count, round(atomic_p95, 6) AS atomic_p95, segment_median::DOUBLE AS segment_median, segment_max, concat_ws(',', CASE WHEN unknown_tokens > 0 THEN 'no_unknown_tokens' END, CASE WHEN session_tokens + 9 > 200 THEN 'session_with_chat_template_within_target' END,
+    CASE WHEN atomic_p95 > 40 THEN 'atomic_p95_within_target' END, CASE WHEN segment_p95 > 60 THEN 'segment_p95_within_target' END) AS failed FROM a""")
+def v17_report(spark, d):
+    """users' turns as atomic lines and others as segments, words as tokens, digit runs as unknown ones."""
+    n, unknown = F.size(F.regexp_extract_all("text", F.lit("([^ ]+)"), 1)), F.size(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1))
+    rows = v.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.when(F.col("role") == "user", "atomic").otherwise("segment").alias("kind"), F.greatest(n, F.lit(0)).alias("tokens"), F.greatest(unknown, F.lit(0)).alias("unknown"))
+    whole = rows.withColumns({"kind": F.lit("session"), "unknown": F.lit(0)})
+    out = rendering.token_report(rows.unionByName(whole), F.lit(9), 200, 40, 60)
+    return out.select("session_id", "session_with_template", "unknown_tokens", "atomic_count", F.round("atomic_p95", 6).alias("atomic_p95"), "segment_median", F.col("segment_max").cast("long").alias("segment_max"), F.array_join("failed", ",").alias("failed"))
