@@ -36,10 +36,12 @@ def session_stats(values: DataFrame, keys: list[str], value: str = "value", time
     v, t = F.col(value), F.col(time)
     rows = values.filter(finite(value))
     slope = F.when((F.count(v) >= 2) & (F.max(t) > F.min(t)), F.regr_slope(v, t)).otherwise(F.lit(0.0))
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"),
-        F.percentile(v, F.lit(0.1)).alias("q10"), F.percentile(v, F.lit(0.9)).alias("q90"), F.min(v).alias("lowest"), F.max(v).alias("highest"), slope.alias("slope"),
+    own = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"),
+        F.min(v).alias("lowest"), F.max(v).alias("highest"), slope.alias("slope"),
     )
+    q = lambda i: F.col("_q")[i]
+    return own.select(*keys, "n", "mean", "std", q(1).alias("median"), q(0).alias("q10"), q(2).alias("q90"), "lowest", "highest", "slope")
 
 
 def consecutive_change(frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -23,11 +23,11 @@ def fit(values: DataFrame, keys: list[str], value: str = "value", bucketed: bool
     """
     v = F.col(value)
     finite = values.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    if bucketed if bucketed is not None else largest_group(finite, keys) > PLAIN:
+    if bucketed if bucketed is not None else finite.count() > PLAIN and largest_group(finite, keys) > PLAIN:
         return _fit_by_buckets(finite, keys, value)
     basic = finite.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.percentile(v, F.array(*map(F.lit, QUANTILES))).alias("knots")
-    )
+        F.count("*").alias("n"), F.stddev_pop(v).alias("std"), F.percentile(v, F.array(*map(F.lit, QUANTILES))).alias("knots")
+    ).withColumn("median", F.element_at("knots", 4))
     spread = finite.join(basic.select(*keys, "median"), keys).groupBy(*keys).agg(F.median(F.abs(v - F.col("median"))).alias("mad"))
     iqr = F.element_at("knots", 5) - F.element_at("knots", 3)
     return basic.join(spread, keys).withColumn("scale", robust_scale(F.col("mad"), iqr, F.col("std"))).drop("std")
@@ -42,18 +42,24 @@ def _fit_by_buckets(finite: DataFrame, keys: list[str], value: str) -> DataFrame
     return basic.join(mad, keys).withColumn("scale", robust_scale(F.col("mad"), iqr, F.col("std"))).drop("std")
 
 
-def percentile_of(value: str, knots: str) -> Column:
-    """Piecewise-linear percentile through the knots; equal knots share their mean, ends clamp."""
+def curve(knots: str) -> Column:
+    """The points (x, y) through which percentiles are read: equal knots share their mean, and the last is repeated
+    up to the number of knots. Made once for a reference, not for each value."""
     p = ", ".join(f"{q * 100:g}D" for q in QUANTILES)
-    pairs = f"""transform(array_distinct({knots}), k -> named_struct('x', k, 'y',
-        aggregate(filter(arrays_zip({knots}, array({p})), z -> z['0'] = k), named_struct('s', 0D, 'c', 0D),
-        (a, z) -> named_struct('s', a.s + z['1'], 'c', a.c + 1D), a -> a.s / a.c)))"""
-    pairs = pairs.replace(f"arrays_zip({knots}, array({p}))", f"zip_with({knots}, array({p}), (a, b) -> named_struct('0', a, '1', b))")
-    below = f"element_at(filter(u, z -> z.x <= {value}), -1)"
-    above = f"element_at(filter(u, z -> z.x > {value}), 1)"
-    body = f"""case when size(u) = 1 then 50D when {value} <= u[0].x then u[0].y when {value} >= u[size(u) - 1].x then u[size(u) - 1].y
-        else {below}.y + ({above}.y - {below}.y) * ({value} - {below}.x) / ({above}.x - {below}.x) end"""
-    return F.expr(f"element_at(transform(array({pairs}), u -> {body}), 1)")
+    points = f"""transform(array_distinct({knots}), k -> named_struct('x', k, 'y',
+        aggregate(filter(zip_with({knots}, array({p}), (a, b) -> named_struct('x', a, 'p', b)), z -> z.x = k), named_struct('s', 0D, 'c', 0D),
+        (a, z) -> named_struct('s', a.s + z.p, 'c', a.c + 1D), a -> a.s / a.c)))"""
+    return F.expr(f"transform(array({points}), u -> concat(u, array_repeat(element_at(u, -1), {len(QUANTILES)} - size(u))))[0]")
+
+
+def percentile_of(value: Column, points: Column) -> Column:
+    """Piecewise-linear percentile along a ``curve``; ends clamp, and a curve of one point says 50."""
+    x, y = (lambda i: F.element_at(points, i + 1)["x"]), (lambda i: F.element_at(points, i + 1)["y"])
+    last = len(QUANTILES) - 1
+    out = F.when(x(0) == x(last), F.lit(50.0)).when(value <= x(0), y(0))
+    for i in range(last):
+        out = out.when(value < x(i + 1), y(i) + (y(i + 1) - y(i)) * (value - x(i)) / (x(i + 1) - x(i)))
+    return out.otherwise(y(last))
 
 
 def robust_z(value: Column, median: Column, scale: Column) -> Column:
@@ -68,8 +74,8 @@ def category(percentile: Column) -> Column:
 
 def enrich(values: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``percentile, robust_z, category``; nulls where no reference is known."""
-    known = values.join(reference.select(*keys, "median", "scale", "knots"), keys, "left")
-    known = known.withColumn("percentile", F.when(F.col("knots").isNotNull(), percentile_of("value", "knots")))
+    known = values.join(reference.select(*keys, "median", "scale", "knots", curve("knots").alias("_curve")), keys, "left")
+    known = known.withColumn("percentile", F.when(F.col("knots").isNotNull(), percentile_of(F.col("value"), F.col("_curve")))).drop("_curve")
     z = F.when(F.col("knots").isNotNull(), robust_z(F.col("value"), F.col("median"), F.col("scale")))
     return known.withColumn("robust_z", z).withColumn("category", F.when(F.col("knots").isNull(), "unreferenced").otherwise(category(F.col("percentile")))).drop("median", "scale", "knots")
 

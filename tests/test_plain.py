@@ -290,3 +290,18 @@ def test_npy_widths(spark, tmp_path):
     (tmp_path / "s1_visual.npy").write_bytes(buffer.getvalue())
     with pytest.raises(Exception, match="shape"):
         files.read_arrays(spark, str(tmp_path), 3).collect()
+
+
+def test_percentiles_along_a_curve(spark):
+    """Equal knots share their mean percentile, ends clamp, one point says 50."""
+    p = [1, 5, 25, 50, 75, 95, 99]
+    knots = {"a": [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0], "b": [1.0, 1.0, 1.0, 3.0, 3.0, 9.0, 9.0], "c": [2.0] * 7}
+    values = [(k, x) for k in "abcd" for x in (-1.0, 1.0, 1.5, 2.0, 3.0, 5.0, 9.0, 63.0, 64.0, 99.0)]
+    ref = frame(spark, [(k, 0.0, 1.0, v) for k, v in knots.items()], "k string, median double, scale double, knots array<double>")
+    for x in references.enrich(frame(spark, values, "k string, value double"), ref, ["k"]).collect():
+        if x.k == "d":
+            assert x.percentile is None and x.category == "unreferenced"
+            continue
+        xs = sorted(set(knots[x.k]))
+        ys = [np.mean([b for a, b in zip(knots[x.k], p, strict=True) if a == u]) for u in xs]
+        assert x.percentile == pytest.approx(50 if len(xs) == 1 else np.interp(x.value, xs, ys))
