@@ -32,7 +32,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, the row with the smallest doc_id; of rows that share it, one.
+    """Of near copies, the row with the smallest doc_id; of rows that share it, one. Near copies are found by
+    SimHash fingerprints in the BK-trees of shards, and checked on whole sets of shingles.
 
     Null and empty texts are copies of each other; a null doc_id is the largest; an empty table
     stays empty.

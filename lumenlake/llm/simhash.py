@@ -96,6 +96,44 @@ class BkTree:
         return found
 
 
+    def first_within(self, value: int, radius: int) -> int | None:
+        """One within the radius, the first that the search meets."""
+        ahead = [self.root] if self.root else []
+        while ahead:
+            own, children = ahead.pop()
+            d = (own ^ value).bit_count()
+            if d <= radius:
+                return own
+            if children:
+                ahead += [c for k, c in children.items() if d - radius <= k <= d + radius]
+        return None
+
+
+def group_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links that connect all distinct ``values`` within the radius of each other.
+
+    Each group that is connected so far has a tree of its own. A value needs one hit in it, so a crowd of
+    like values costs a few steps each and not its square.
+    """
+    groups: list[tuple[BkTree, list[int]]] = []
+    links = []
+    for v in values:
+        met, apart = [], []
+        for g in groups:
+            u = g[0].first_within(v, radius)
+            if u is None:
+                apart.append(g)
+            else:
+                met.append(g)
+                links.append((v, u))
+        tree, own = max(met, key=lambda g: len(g[1]), default=(BkTree(), []))
+        for x in [v, *(x for g in met if g[1] is not own for x in g[1])]:
+            tree.add(x)
+            own.append(x)
+        groups = [*apart, (tree, own)]
+    return links
+
+
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     """For each value linked to others of its shard: the value and the smallest it reaches."""
     tree, seen, links = BkTree(), set(), []
