@@ -40,13 +40,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     bands, row = fresh(docs, "bands"), fresh(docs, "_row")
     rows = stored(nearcopies.banded(docs, docs.columns, bands=bands).withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    before = written()
     plain = rows.select(F.col(row).alias("_row"), "doc_id", "text", F.col(bands).alias("bands"))
     groups = stored(nearcopies.near_copies(plain).select(F.col("node").alias("_row"), "root"), "pipeline-groups")
+    release(spark, before, keep=1)  # what the search stored
     keys = plain.select("_row", "doc_id").join(groups, "_row")
     # one row stays for each group: of those with its smallest key, the first; a null key is the largest
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     stays = stored(keys.groupBy("root").agg(first.alias("first")).select("first._row"), "pipeline-stays")
     gone = stored(groups.select("_row").join(stays, "_row", "left_anti").withColumnRenamed("_row", row), "pipeline-gone")
+    release(spark, before, keep=1)
     clear, doubtful = nearcopies.split(rows.drop(bands), gone, row)
     return clear.unionByName(doubtful.join(gone, row, "left_anti")).select(*docs.columns)
 

@@ -101,3 +101,10 @@ def test_blocks_and_crowds(spark, monkeypatch, texts, most, most_in_trees):
     monkeypatch.setattr(nearcopies, "CROWD", most_in_trees)
     docs = crowd(random.Random(9), 90)
     assert kept(spark, docs) == brute.first_of_near_copies(docs)
+
+
+def test_search_leaves_no_tables(spark):
+    """Only what the result reads stays on disk: the rows and those that go."""
+    before = common.written()
+    assert kept(spark, crowd(random.Random(10), 30))
+    assert [p.rpartition("/")[2].rpartition("-")[0] for p in common._written[before:]] == ["pipeline-rows", "pipeline-gone"]
