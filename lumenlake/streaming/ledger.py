@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "n long, used double, last string, opens int, closes int, aborts int, revisions int, releases int, unlocked int, told string"
-COLUMNS = ["order_key", "event_type", "sequence", "previous", "entry", "used", "remaining", "fits", "unlocks", "violations"]
-TYPES = "order_key long, event_type string, sequence long, previous string, entry string, used double, remaining double, fits boolean, unlocks boolean, violations string"
+COLUMNS = ["order_key", "event_type", "cost", "sequence", "previous", "entry", "used", "remaining", "fits", "unlocks", "violations"]
+TYPES = "order_key long, event_type string, cost double, sequence long, previous string, entry string, used double, remaining double, fits boolean, unlocks boolean, violations string"
 ACCESS = ("candidates_exposed", "evidence_released")
 
 
@@ -59,7 +59,8 @@ class Ledger(StatefulProcessor):
             known.update(new)
             before, last = last, hashlib.sha256(f"{n}|{event}|{last}".encode()).hexdigest()
             left = max(0.0, self.limit - used)
-            out.append((at, event, n, before, last, used, left, bool(cost <= left), event == self.unlock and not count["unlocked"], ",".join(new)))
+            fits = cost <= left if cost <= 0 else round(used, 6) + cost <= self.limit
+            out.append((at, event, cost, n, before, last, used, left, bool(fits), event == self.unlock and not count["unlocked"], ",".join(new)))
             used, n = used + cost, n + 1
             count["unlocked"] += event == self.unlock
             if event in COUNTED:
@@ -73,7 +74,7 @@ class Ledger(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         n, used, last, opens, closes, aborts, *_ = self.state.get()
-        rows = [(None, "", n, last, last, used, max(0.0, self.limit - used), False, False, "abandoned")] if opens and not closes and not aborts else []
+        rows = [(None, "", 0.0, n, last, last, used, max(0.0, self.limit - used), False, False, "abandoned")] if opens and not closes and not aborts else []
         yield pd.DataFrame(rows, columns=COLUMNS).assign(run_id=key[0])[["run_id", *COLUMNS]]
 
     def close(self) -> None:
@@ -81,10 +82,11 @@ class Ledger(StatefulProcessor):
 
 
 def checked(events: DataFrame, limit: float, unlock: str = "metric_unlocked", idle: int | None = None) -> DataFrame:
-    """Each event of a stream with its ``sequence``, hashes, budget before it, whether it fits and whether it unlocks (the
+    """Each event of a stream with its ``cost``, ``sequence``, hashes, budget before it, whether it fits and whether it unlocks (the
     first ``unlock`` of its run), and the rules that the run breaks from here on, comma-joined; each rule is told once.
 
-    Null costs count as 0, a null type is an event of no kind. Needs the RocksDB state store.
+    Whether a cost fits is asked of the sum rounded to six digits, so that the last bits of a running sum don't decide;
+    what costs nothing always fits. Null costs count as 0, a null type is an event of no kind. Needs the RocksDB state store.
     """
     key = events.schema["run_id"].dataType.simpleString()
     own = events.selectExpr("run_id", "cast(order_key as long) as order_key", "event_type", "coalesce(cast(cost as double), 0D) as cost")
