@@ -62,7 +62,7 @@ def unit_texts(units: DataFrame, observations: DataFrame, priorities: dict[str,
 
     A unit has a few dozen observations at most. A null extractor is told by the source; missing
     quality and availability are ``unknown`` and ``unavailable``. Numbers are rounded from their
-    shortest decimal form.
+    shortest decimal form. Neither side of a join is broadcast, however few units Spark expects.
     """
     c = F.col
     level = F.when(c("category") == "unreferenced", F.lit("")).otherwise(c("category"))
@@ -82,7 +82,7 @@ def unit_texts(units: DataFrame, observations: DataFrame, priorities: dict[str,
     n = observations.groupBy("unit_id").agg(F.count("*").alias("_all"))
     list_ = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c(name)))), lambda x: x[name]), "; ").alias(name)
     shown = rendered_observations(observations, priorities, most).withColumns({"_fields": fields, "_phrases": phrase})
-    told = shown.groupBy("unit_id").agg(list_("_fields"), list_("_phrases"), F.count("*").alias("_shown")).join(n, "unit_id")
+    told = shown.groupBy("unit_id").agg(list_("_fields"), list_("_phrases"), F.count("*").alias("_shown")).hint("merge").join(n, "unit_id")
     start, end, status, quality = format_time(c("start_sec")), format_time(c("end_sec")), F.coalesce("availability", F.lit("unavailable")), F.coalesce("quality", F.lit("unknown"))
     some = F.size(F.coalesce("reasons", F.array().cast("array<string>"))) > 0
     dsl = F.concat(
@@ -101,7 +101,7 @@ def unit_texts(units: DataFrame, observations: DataFrame, priorities: dict[str,
         F.concat(F.lit("Source quality was "), F.replace(quality, F.lit("_"), F.lit(" ")), cover),
         F.lit("These statements describe measurements only; no psychological state is inferred."),
     ], " ")
-    return units.join(told, "unit_id", "left").select("unit_id", dsl.alias("dsl"), prose.alias("prose"))
+    return units.join(told.hint("merge"), "unit_id", "left").select("unit_id", dsl.alias("dsl"), prose.alias("prose"))
 
 
 def session_texts(units: DataFrame, lines: DataFrame, line: str) -> DataFrame:
