@@ -59,7 +59,8 @@ def g2(spark, d):
   SELECT source_id, slot_id, name AS observation_name FROM prof WHERE source_id NOT IN (SELECT source_id FROM own) UNION ALL SELECT source_id, slot_id, name FROM own""", "units", "observations")
 def g3(spark, d):
     """The profiles of two sources give way to their commonest measurement."""
-    seen = v.units(spark, d).filter("source_id like 'beta%'").select("unit_id", "source_id", "modality").join(v.observations(spark, d).select("unit_id", "name"), "unit_id").groupBy("source_id", "modality", "name").agg(F.count("*").alias("n"))
+    own_units = v.units(spark, d).filter("source_id like 'beta%'").select("unit_id", "source_id", "modality").hint("merge")  # made of orders, many times what Spark expects of them
+    seen = own_units.join(v.observations(spark, d).select("unit_id", "name"), "unit_id").groupBy("source_id", "modality", "name").agg(F.count("*").alias("n"))
     first = seen.groupBy("source_id", "modality").agg(F.min(F.struct((-F.col("n")).alias("n"), "name")).alias("x"))
     own = first.select("source_id", "modality", F.expr("if(modality = 'audio', 'voice', 'face')").alias("slot_id"), F.lit(0).alias("binding_order"), F.col("x.name").alias("observation_name"), F.lit("derived").alias("mapping"))
     return slots.merged_profiles(profiles(spark), own).select("source_id", "slot_id", "observation_name")
