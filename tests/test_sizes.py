@@ -23,7 +23,7 @@ def test_ledger_stream_at_its_budget(spark, budget_events):
     assert {(r.run_id, r.sequence): r.fits for r in f(spark, budget_events).filter("sequence between 1 and 2 and run_id = 2 or sequence = 9").collect()} == {(1, 9): True, (2, 1): False, (2, 2): False}
 
 
-@pytest.mark.parametrize("name", ["f3_feature_matrix", "g15_unit_texts", "g3_merged_profiles"])
+@pytest.mark.parametrize("name", ["f3_feature_matrix", "g15_unit_texts", "g3_merged_profiles", "p14_feature_views"])
 def test_units_are_not_broadcast(spark, name):
     """Spark takes the units that an order gives for a few bytes; as a broadcast they fill the driver."""
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().sparkPlan().toString()
