@@ -61,3 +61,16 @@ def test_out_of_fold_text(spark, most):
 def test_empty(spark):
     df = spark.createDataFrame([], "session_id int, label int, fold int, text string")
     assert textmodels.out_of_fold_text(df, "text", "label", "fold", 3).collect() == []
+
+
+def test_few_passes(spark):
+    """A word of all texts makes the problem a badly scaled one, which must not cost passes over the data."""
+    r = random.Random(5)
+    docs = [(i, int(r.random() < 0.1), i % 2, "the " * 9 + " ".join(f"w{int(r.paretovariate(0.6)) % 900}" for _ in range(60))) for i in range(1500)]
+    df = spark.createDataFrame(docs, "session_id int, label int, fold int, text string").coalesce(2)
+    spark.sparkContext.setJobGroup("passes", "passes")
+    try:
+        assert textmodels.out_of_fold_text(df, "text", "label", "fold", 2, tolerance=1e-3).count() == 1500
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("passes")) < 50
