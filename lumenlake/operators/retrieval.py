@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,27 +41,20 @@ def candidate_limit(most: Column, n: Column, budget: Column) -> Column:
 def diverse(candidates: DataFrame, keys: list[str], budget: int, penalty: float = 0.12) -> DataFrame:
     """Greedy choice of ``budget`` rows by score less ``penalty`` times closeness to those chosen.
 
-    Sequential by nature, so each group goes through pandas. A row can only be chosen if fewer than
-    ``budget - 1`` better ones exclude it: a row outside the best by score loses at most the
-    penalty, so rows below the ``budget``-th score less the penalty are left out first, exactly.
+    A row outside the best by score loses at most the penalty, so rows below the ``budget``-th score
+    less the penalty are left out first, exactly. Each choice is one window over the groups' rest;
+    ties go to the earlier row (``mid``, then ``atomic_no``).
     """
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "mid", "atomic_no")
-    ranked = candidates.withColumn("_n", F.row_number().over(w))
-    bar = F.max(F.when(F.col("_n") == budget, F.col("score"))).over(Window.partitionBy(*keys))
-    able = ranked.withColumn("_bar", bar).filter("_bar is null or score >= _bar - %r" % penalty)
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rest = rows.sort_values(["score", "mid", "atomic_no"], ascending=[False, True, True]).to_dict("records")
-        chosen: list[dict] = []
-        while rest and len(chosen) < budget:
-            def value(r: dict) -> float:
-                near = max((max(0.0, 1 - abs(r["mid"] - c["mid"]) / (2 * max(r["duration"], 1e-9))) for c in chosen), default=0.0)
-                return r["score"] - penalty * near
-
-            best = max(rest, key=lambda r: (round(value(r), 12), -r["mid"], -r["atomic_no"]))
-            rest.remove(best)
-            chosen.append(best | {"pick": len(chosen) + 1})
-        return pd.DataFrame(chosen, columns=[*rows.columns, "pick"])
-
-    schema = able.withColumn("pick", F.lit(0)).schema
-    return able.groupBy(*keys).applyInPandas(pick, schema).drop("_n", "_bar")
+    w = Window.partitionBy(*keys)
+    best = F.row_number().over(w.orderBy(F.desc("score"), "mid", "atomic_no"))
+    bar = F.max(F.when(F.col("_n") == budget, F.col("score"))).over(w)
+    rows = candidates.withColumn("_n", best).withColumn("_bar", bar).filter("_bar is null or score >= _bar - %r" % penalty)
+    rows = rows.withColumns({"_near": F.lit(0.0), "pick": F.lit(None).cast("int")})
+    for k in range(1, budget + 1):
+        value = F.when(F.col("pick").isNull(), F.round(F.col("score") - penalty * F.col("_near"), 12))
+        place = F.row_number().over(w.orderBy(F.desc_nulls_last(value), "mid", "atomic_no", "_n"))
+        rows = rows.withColumn("_place", place).withColumn("pick", F.when(F.col("pick").isNull() & (F.col("_place") == 1), k).otherwise(F.col("pick")))
+        taken = F.max(F.when(F.col("pick") == k, F.col("mid"))).over(w)
+        closeness = F.greatest(F.lit(0.0), 1 - F.abs(F.col("mid") - taken) / (2 * F.greatest("duration", F.lit(1e-9))))
+        rows = rows.withColumn("_near", F.greatest("_near", closeness))
+    return rows.filter("pick is not null").drop("_n", "_bar", "_near", "_place")

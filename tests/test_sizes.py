@@ -1,10 +1,13 @@
 """What broke on larger tables, on small ones made for it."""
 
+import random
+
 import duckdb
 import oracle
 import pytest
 
 import __spark_entry__
+from lumenlake.operators import retrieval
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +31,20 @@ def test_units_are_not_broadcast(spark, name):
     """Spark takes the units that an order gives for a few bytes; as a broadcast they fill the driver."""
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().sparkPlan().toString()
     assert "unit_id" in plan and not [x for x in plan.splitlines() if "Broadcast" in x and "unit_id" in x]
+
+
+def test_diverse_pick_of_many_groups(spark):
+    """Groups of all sizes, with ties, without a call of Python for each."""
+    r = random.Random(2)
+    rows = [(g, i, float(r.randrange(8)), r.choice([1.0, 5.0]), r.choice([0.5, 0.55, 0.6, 0.61])) for g in range(150) for i in range(r.randrange(1, 12))]
+    got = retrieval.diverse(spark.createDataFrame(rows, "g int, atomic_no int, mid double, duration double, score double"), ["g"], 3)
+    picks = {(x.g, x.pick): x.atomic_no for x in got.collect()}
+    for g in range(150):
+        rest, chosen = [x for x in rows if x[0] == g], []
+        while rest and len(chosen) < 3:
+            near = lambda x: max((max(0.0, 1 - abs(x[2] - c[2]) / (2 * x[3])) for c in chosen), default=0.0)  # noqa: B023, E731
+            best = max(rest, key=lambda x: (round(x[4] - 0.12 * near(x), 12), -x[2], -x[1]))
+            rest.remove(best)
+            chosen.append(best)
+        assert [picks.get((g, k + 1)) for k in range(3)] == [*[c[1] for c in chosen], None, None, None][:3]
+    assert "InPandas" not in got._jdf.queryExecution().toString()
