@@ -7,8 +7,8 @@ finishes its subtree. So a task never holds more than ``local_rows`` training ro
 while all rows are that few, a task gets them once for a block of trees. Held-out rows travel with
 the node they fall in and are answered there; no tree is ever gathered.
 
-Features and cuts are drawn from a generator seeded by tree and node, so a lost task draws the
-same again.
+Features and cuts are drawn from a generator or a hash seeded by tree and node, so a lost task draws
+the same again.
 """
 
 from __future__ import annotations
@@ -42,41 +42,95 @@ def best_cut(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
     return at if at >= 0 and np.isfinite(cost[at]) else -1
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits of a hash (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _uniform(keys: np.ndarray, columns: int, stream: int) -> np.ndarray:
+    """A number from 0 to 1 for each column (down) and key (across)."""
+    own = _mixed(np.arange(columns, dtype=np.uint64) + np.uint64(stream << 32))
+    return (_mixed(keys[None, :] ^ own[:, None]) >> np.uint64(11)) * 2.0**-53
+
+
 def grown(x: np.ndarray, y: np.ndarray, weights: np.ndarray, held: np.ndarray, seed: int, tree: int, node: int, tries: int, least: int) -> tuple[np.ndarray, list[tuple]]:
     """Class 1's share in the leaf of each held-out row, and the leaves as (node, weight of 0, weight of 1, rows).
 
     ``x`` and ``y`` are of the training rows below ``node``, ``weights`` of the two classes. A node
-    draws features until ``tries`` of them vary within it, each with one cut between its ends.
+    draws features until ``tries`` of them vary within it, each with one cut between its ends. All
+    nodes of a level are split together, their rows side by side; draws are hashes of seed, tree and
+    way. Numbers of nodes more than 62 levels down repeat.
     """
     shares, leaves = np.zeros(len(held)), []
-    open_nodes = [(node, np.arange(len(y)), np.arange(len(held)))]
-    while open_nodes:
-        at, own, asked = open_nodes.pop()
-        n1 = int(y[own].sum())
-        split = None
-        if len(own) >= 2 * least and 0 < n1 < len(own):
-            part, rng = x[own], generator(seed, tree, at)
-            low, high = part.min(axis=0), part.max(axis=0)
-            drawn = [f for f in rng.permutation(x.shape[1]) if high[f] > low[f]][:tries]
-            if drawn:
-                u = rng.random(len(drawn))
-                cuts = low[drawn] + u * (high[drawn] - low[drawn])
-                cuts = np.where(cuts >= high[drawn], low[drawn], cuts)
-                goes = part[:, drawn] <= cuts
-                n_left, left1 = goes.sum(axis=0), (goes & (y[own] == 1)[:, None]).sum(axis=0)
-                left = np.stack([(n_left - left1) * weights[0], left1 * weights[1]], axis=1)
-                right = np.stack([(len(own) - n1 - n_left + left1) * weights[0], (n1 - left1) * weights[1]], axis=1)
-                best = best_cut(left, right, n_left, len(own) - n_left, least)
-                if best >= 0:
-                    split = drawn[best], cuts[best], goes[:, best]
-        if split is None:
-            w0, w1 = (len(own) - n1) * weights[0], n1 * weights[1]
-            shares[asked] = w1 / (w0 + w1) if len(own) else 0.5
-            leaves.append((at, w0, w1, len(own)))
-            continue
-        feature, cut, goes = split
-        there = held[asked, feature] <= cut
-        open_nodes += [(2 * at, own[goes], asked[there]), (2 * at + 1, own[~goes], asked[~there])]
+    if not len(y):
+        return shares + 0.5, [(node, 0.0, 0.0, 0)]
+    varied = np.flatnonzero(x.min(axis=0) < x.max(axis=0))
+    columns, asked, one = np.ascontiguousarray(x[:, varied].T), np.ascontiguousarray(held[:, varied].T), (y == 1).astype(np.int64)
+    keys = generator(seed, tree, node).integers(1 << 63, size=1, dtype=np.uint64)
+    own, sizes, ids = np.arange(len(y)), np.array([len(y)]), np.array([node], np.uint64)
+    who, where = np.arange(len(held)), np.zeros(len(held), np.int64)
+    while len(sizes):
+        starts = np.cumsum(sizes) - sizes
+        n1 = np.add.reduceat(one[own], starts)
+        best, feature, cut = np.full(len(sizes), np.inf), np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+        able = (sizes >= 2 * least) & (n1 > 0) & (n1 < sizes)
+        if len(varied) and able.any():
+            mine, size, m1 = own[np.repeat(able, sizes)], sizes[able], n1[able]
+            at, nodes = np.cumsum(size) - size, np.arange(len(size))
+            group = np.repeat(nodes, size)
+            code = 1 + (one[mine] << 32)  # a row, and whether it is of class 1
+            order, u = np.argsort(_uniform(keys[able], len(varied), 1), axis=0), _uniform(keys[able], len(varied), 2)
+            cost, its, its_cut, met = np.full(len(size), np.inf), np.zeros(len(size), np.int64), np.zeros(len(size)), np.zeros(len(size), np.int64)
+            for k in range(len(varied)):
+                rest = met < tries
+                if not rest.any():
+                    break
+                if not rest.all():  # nodes that have not met enough features that vary
+                    some = np.repeat(rest[nodes], size)
+                    mine, code, size, m1, nodes = mine[some], code[some], size[rest[nodes]], m1[rest[nodes]], nodes[rest[nodes]]
+                    at, group = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+                f = order[k, nodes]
+                values = columns[f[group], mine]
+                low, high = np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)
+                c = low + u[k, nodes] * (high - low)
+                c = np.where(c >= high, low, c)
+                left = np.add.reduceat(np.where(values <= c[group], code, 0), at)
+                n_left, left1 = left & 0xFFFFFFFF, left >> 32
+                sides = [((n - o) * weights[0], o * weights[1]) for n, o in ((n_left, left1), (size - n_left, m1 - left1))]
+                impure = sum(w0 + w1 - (w0 * w0 + w1 * w1) / np.maximum(w0 + w1, 1e-300) for w0, w1 in sides)
+                impure = np.where((high > low) & (n_left >= least) & (size - n_left >= least), impure, np.inf)
+                better = impure < cost[nodes]
+                now = nodes[better]
+                cost[now], its[now], its_cut[now] = impure[better], f[better], c[better]
+                met[nodes] += high > low
+            best[able], feature[able], cut[able] = cost, its, its_cut
+        split = np.isfinite(best)
+        w0, w1 = (sizes - n1) * weights[0], n1 * weights[1]
+        done = ~split
+        leaves += zip(ids[done].astype(np.int64).tolist(), w0[done].tolist(), w1[done].tolist(), sizes[done].tolist(), strict=True)
+        ends = done[where]
+        shares[who[ends]] = (w1 / (w0 + w1))[where[ends]]
+        place = np.cumsum(split) - 1
+        who, where = who[~ends], where[~ends]
+        if len(who):
+            where = 2 * place[where] + (asked[feature[where], who] > cut[where])
+        own, group = own[np.repeat(split, sizes)], np.repeat(place[split], sizes[split])
+        if not len(own):
+            break
+        right = columns[feature[split][group], own] > cut[split][group]
+        at = np.cumsum(sizes[split]) - sizes[split]
+        n_right = np.add.reduceat(right.astype(np.int64), at)
+        before = np.cumsum(right) - right
+        before -= before[at][group]
+        to = np.where(right, (at + sizes[split] - n_right)[group] + before, np.arange(len(own)) - before)
+        moved = np.empty_like(own)
+        moved[to] = own
+        own, sizes = moved, np.stack([sizes[split] - n_right, n_right], axis=1).ravel()
+        ids = (2 * ids[split][:, None] + np.arange(2, dtype=np.uint64)).ravel()
+        keys = _mixed(keys[split][:, None] + np.arange(1, 3, dtype=np.uint64)).ravel()
     return shares, leaves
 
 
@@ -234,7 +288,7 @@ def _finish(forest: Forest, leaves: bool):
     return run
 
 
-def out_of_fold_trees(rows: DataFrame, features: list[str], label: str, fold: str, folds: int, trees: int = 500, least: int = 3, seed: int = 0, local_rows: int = 20_000, block: int = 25, leaves: bool = False) -> DataFrame:
+def out_of_fold_trees(rows: DataFrame, features: list[str], label: str, fold: str, folds: int, trees: int = 500, least: int = 3, seed: int = 0, local_rows: int = 500_000, block: int = 50, leaves: bool = False) -> DataFrame:
     """``session_id, label, probability, fold, prediction_origin`` of extremely randomised trees that never see the fold
     they predict: the mean over ``trees`` trees of class 1's weighted share in the row's leaf.
 
@@ -242,7 +296,9 @@ def out_of_fold_trees(rows: DataFrame, features: list[str], label: str, fold: st
     leaf has ``least`` training rows at least; missing values take the training median, with an
     indicator for each feature. Null or NaN counts as missing, an infinite value is an error of
     the caller; labels other than 0 and 1 and null folds are left out. ``leaves`` returns the
-    leaves instead: (tree, node, w0, w1, n), trees numbered fold by fold.
+    leaves instead: (tree, node, w0, w1, n), trees numbered fold by fold. ``local_rows`` bounds a
+    task's memory: about a kilobyte a row with a dozen features. Up to so many rows, all are
+    dealt once for each ``block`` of trees, else once for each tree.
     """
     spark = rows.sparkSession
     values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])

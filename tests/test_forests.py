@@ -97,3 +97,15 @@ def test_few_rows(spark):
     assert own([]) == []
     got = own([(1, 1, 0, 1.0), (2, 0, 1, None), (2, 0, 1, None), (3, None, 0, 1.0), (4, 1, None, 2.0)])
     assert sorted((r.session_id, r.label, r.probability) for r in got) == [(1, 1, 0.0), (2, 0, 1.0), (2, 0, 1.0)]
+
+
+def test_rows_of_a_task_are_not_split_by_passes(spark):
+    """Tens of thousands of rows go to tasks once for a block of trees: no passes level by level, no copy for each tree."""
+    rows = spark.range(24_000).selectExpr("id as session_id", "int(pmod(hash(id), 7) < 2) as label", "int(id % 2) as fold", "double(pmod(hash(id, 1), 1000)) as a", "pow(2.0, id % 400) as b")
+    spark.sparkContext.setJobGroup("trees", "trees")
+    try:
+        got = forests.out_of_fold_trees(rows, ["a", "b"], "label", "fold", 2, 3).agg(F.count("*").alias("n"), F.avg("probability").alias("p")).first()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.n == 24_000 and 0.3 < got.p < 0.7
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("trees")) < 15
